@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fairspark.llm._spark import table
 from fairspark.llm.jaccard_join import jaccard_join
+from fairspark.llm.pii import pii_spans
 from fairspark.llm.quality_rules import quality_rules
 
 
@@ -20,6 +22,13 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii_spans(table(spark, sf_dir, "documents"))
+    terms = F.array_join(F.transform("terms", lambda x: F.format_string("term:%d:%d", x["start"], x["end"])), ",")
+    spans = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.when(F.size("terms") > 0, terms))
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), spans.alias("spans"))
+
+
 OP2_SQL = r"""
 WITH w AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
 base AS (
@@ -45,6 +54,7 @@ FROM judged JOIN verdict ON judged.source IS NOT DISTINCT FROM verdict.source
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_quality_rules": op2_quality_rules,
+    "op10_pii": op10_pii,
 }
 
 SQL: dict[str, str] = {
