@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fairspark.llm._spark import table
 from fairspark.llm.jaccard_join import jaccard_join
+from fairspark.llm.packing import best_fit_packing
 from fairspark.llm.pii import pii_spans
 from fairspark.llm.quality_rules import quality_rules
 
@@ -22,6 +23,17 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def tokenizer_path() -> str:
+    """The file of the public tokenizer, which every executor has too."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing(table(spark, sf_dir, "documents"), tokenizer_path(), size=4096, end_id=1)
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii_spans(table(spark, sf_dir, "documents"))
     terms = F.array_join(F.transform("terms", lambda x: F.format_string("term:%d:%d", x["start"], x["end"])), ",")
@@ -54,6 +66,7 @@ FROM judged JOIN verdict ON judged.source IS NOT DISTINCT FROM verdict.source
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_quality_rules": op2_quality_rules,
+    "op9_best_fit_packing": op9_best_fit_packing,
     "op10_pii": op10_pii,
 }
 
