@@ -205,6 +205,10 @@ def _pack(group: pa.Table, size: int, last: bool, keep_full: float) -> pa.Table:
     return pa.table({"key": group.column("key"), "bin": pa.array(np.full(len(lengths), bin_id)), "sequence": pa.array(sequence, mask=~done), "offset": pa.array(offset, mask=~done), "length": pa.array(lengths)})
 
 
+def _packer(size: int, last: bool, keep_full: float):
+    return lambda group: _pack(group, size, last, keep_full)
+
+
 def best_fit_packing(docs: DataFrame, tokenizer_path: str, size: int = 4096, end_id: int = 1, per_partition: int = 20_000, rounds: int = 3, keep_full: float = 0.999) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of each piece of docs(doc_id, text).
 
@@ -221,7 +225,7 @@ def best_fit_packing(docs: DataFrame, tokenizer_path: str, size: int = 4096, end
         last = turn == rounds - 1
         bins = max(1, math.ceil(n / per_partition))
         dealt = left.withColumn("bin", F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(bins)))
-        packed = dealt.groupBy("bin").applyInArrow(lambda group, last=last: _pack(group, size, last, keep_full), "key long, bin long, sequence long, offset long, length long")
+        packed = dealt.groupBy("bin").applyInArrow(_packer(size, last, keep_full), "key long, bin long, sequence long, offset long, length long")
         packed = materialise(packed, f"packed-{turn}")
         # Sequence numbers: the partition's number in the upper digits, its own number below.
         settled.append(packed.where("sequence IS NOT NULL").select("key", ((F.col("bin") + used) * 1_000_000_000 + F.col("sequence")).alias("sequence_id"), "offset"))
