@@ -292,7 +292,8 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, lower: bool = T
     dealt = members.join(cut, "component").withColumn("block", F.pmod(F.xxhash64("vertex"), "blocks"))
     tiles = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     tiles = tiles.select(F.col("class_id").alias("doc_id"), "print1", "component", "block", F.least("block", "other").alias("t1"), F.greatest("block", "other").alias("t2"))
-    found = tiles.join(docs, "doc_id").groupBy("component", "t1", "t2").applyInArrow(lambda group: _tile(group, n, lower, percent), "a long, b long, n_links long")
+    # A sort-merge join at every size: tiles grow with the corpus.
+    found = tiles.hint("merge").join(docs, "doc_id").groupBy("component", "t1", "t2").applyInArrow(lambda group: _tile(group, n, lower, percent), "a long, b long, n_links long")
     found = materialise(found, "found")
     release(spark)
     joined = components(found.select("a", "b"))
