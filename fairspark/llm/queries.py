@@ -12,12 +12,17 @@ from fairspark.llm.jaccard_join import jaccard_join
 from fairspark.llm.packing import best_fit_packing
 from fairspark.llm.pii import pii_spans
 from fairspark.llm.quality_rules import quality_rules
+from fairspark.llm.substring_dedup import substring_dedup
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"), n=4, percent=85, lower=True)
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"), window=20)
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -66,6 +71,7 @@ FROM judged JOIN verdict ON judged.source IS NOT DISTINCT FROM verdict.source
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_quality_rules": op2_quality_rules,
+    "op4_substring_dedup": op4_substring_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_pii": op10_pii,
 }
