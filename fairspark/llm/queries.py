@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from fairspark.llm._spark import table
 from fairspark.llm.jaccard_join import jaccard_join
+from fairspark.llm.language_id import language_id
 from fairspark.llm.packing import best_fit_packing
 from fairspark.llm.pii import pii_spans
+from fairspark.llm.quality_gam import quality_scores
 from fairspark.llm.quality_rules import quality_rules
 from fairspark.llm.substring_dedup import substring_dedup
 
@@ -28,6 +30,19 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def _fold(n: int) -> F.Column:
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % n
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"), _fold(3) == 1)
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    return quality_scores(table(spark, sf_dir, "documents"), labels, _fold(5) == 0)
+
+
 def tokenizer_path() -> str:
     """The file of the public tokenizer, which every executor has too."""
     import public_tokenizers
@@ -72,6 +87,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_quality_rules": op2_quality_rules,
     "op4_substring_dedup": op4_substring_dedup,
+    "op6_language_id": op6_language_id,
+    "op7_quality_classifier": op7_quality_classifier,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_pii": op10_pii,
 }
