@@ -34,7 +34,7 @@ from fairspark.llm._spark import materialise
 _TAIL = b".,;:!?*$%&#|"
 _LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
 #: Words of a generation; a worker remembers this one and the one before (about 200 bytes a word).
-REMEMBERED = 300_000
+REMEMBERED = 700_000
 
 
 class WordTokenizer:
