@@ -15,12 +15,17 @@ from fairspark.llm.pii import pii_spans
 from fairspark.llm.quality_gam import quality_scores
 from fairspark.llm.quality_rules import quality_rules
 from fairspark.llm.substring_dedup import substring_dedup
+from fairspark.llm.warc import round_trip
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"), n=4, percent=85, lower=True)
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "pages"), least=0)
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), window=20)
 
@@ -86,6 +91,7 @@ FROM judged JOIN verdict ON judged.source IS NOT DISTINCT FROM verdict.source
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_quality_rules": op2_quality_rules,
+    "op3_warc": op3_warc,
     "op4_substring_dedup": op4_substring_dedup,
     "op6_language_id": op6_language_id,
     "op7_quality_classifier": op7_quality_classifier,
