@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fairspark.llm._spark import table
 from fairspark.llm.jaccard_join import jaccard_join
 from fairspark.llm.language_id import language_id
+from fairspark.llm.mixing import domain_of_source, mix
 from fairspark.llm.packing import best_fit_packing
 from fairspark.llm.pii import pii_spans
 from fairspark.llm.quality_gam import quality_scores
@@ -35,6 +36,15 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+#: Weights of op5 by domain and language; sources weigh the same.
+MIX_WEIGHTS = ({"domain0": 3, "domain1": 2, "domain2": 2, "domain3": 1}, {"en": 4, "de": 2, "fr": 2, "es": 2}, {})
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mix(table(spark, sf_dir, "documents"), domain_of_source(5), budget_share=0.9, epochs=2, seed="7", weights=MIX_WEIGHTS)
+    return out.select("doc_id", F.col("_mix_domain").alias("domain"), "lang", "source", F.col("_mix_epoch").alias("epoch"), F.col("_mix_tokens").alias("n_tokens"))
+
+
 def _fold(n: int) -> F.Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % n
 
@@ -88,11 +98,49 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged JOIN verdict ON judged.source IS NOT DISTINCT FROM verdict.source
 """
 
+
+
+def _level_sql(level: str, parents: list[str], weight: str) -> str:
+    """CTEs that share a parent's budget among a level's nodes."""
+    keys = [*parents, level]
+    part = f"PARTITION BY {', '.join(parents)}" if parents else ""
+    above = f"JOIN given_{len(parents)} g ON {' AND '.join(f'n.{p} IS NOT DISTINCT FROM g.{p}' for p in parents)}" if parents else "CROSS JOIN (SELECT budget AS given FROM root) g"
+    d = len(keys)
+    return f"""
+node_{d} AS (SELECT {', '.join(keys)}, sum(capacity) AS capacity, {weight} AS weight FROM leaf GROUP BY {', '.join(keys)}),
+ratio_{d} AS (SELECT n.*, g.given AS budget, n.capacity / n.weight AS ratio FROM node_{d} n {above}),
+run_{d} AS (
+  SELECT *, coalesce(sum(capacity) OVER before, 0.0) AS smaller, coalesce(sum(weight) OVER before, 0.0) AS lighter, sum(weight) OVER ({part}) AS everything
+  FROM ratio_{d} WINDOW before AS ({part} ORDER BY ratio, {level} NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+full_{d} AS (SELECT *, ratio * (everything - lighter) <= budget - smaller AS is_full FROM run_{d}),
+split_{d} AS (
+  SELECT *, coalesce(sum(CASE WHEN is_full THEN capacity END) OVER ({part}), 0.0) AS taken, coalesce(sum(CASE WHEN NOT is_full THEN weight END) OVER ({part}), 0.0) AS heavy FROM full_{d}),
+given_{d} AS (SELECT {', '.join(keys)}, CASE WHEN is_full THEN capacity ELSE (budget - taken) * weight / heavy END AS given FROM split_{d})"""
+
+
+OP5_SQL = rf"""
+WITH doc AS (
+  SELECT doc_id, lang, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens,
+    CASE WHEN regexp_matches(source, '[0-9]+$') THEN 'domain' || (CAST(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT) // 5)::VARCHAR ELSE 'other' END AS domain
+  FROM documents),
+leaf AS (SELECT domain, lang, source, sum(n_tokens)::DOUBLE * 2 AS capacity FROM doc GROUP BY domain, lang, source),
+root AS (SELECT floor(sum(n_tokens)::DOUBLE * 0.9) AS budget FROM doc),
+{_level_sql('domain', [], "CASE domain WHEN 'domain0' THEN 3.0 WHEN 'domain1' THEN 2.0 WHEN 'domain2' THEN 2.0 ELSE 1.0 END::DOUBLE")},
+{_level_sql('lang', ['domain'], "CASE lang WHEN 'en' THEN 4.0 WHEN 'de' THEN 2.0 WHEN 'fr' THEN 2.0 WHEN 'es' THEN 2.0 ELSE 1.0 END::DOUBLE")},
+{_level_sql('source', ['domain', 'lang'], "1.0::DOUBLE")},
+epoch AS (SELECT doc.*, e AS epoch, md5('7:' || e::VARCHAR || ':' || coalesce(doc_id::VARCHAR, '')) AS place FROM doc CROSS JOIN (VALUES (0), (1)) t(e)),
+upto AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY epoch, place) AS upto FROM epoch)
+SELECT doc_id, u.domain, u.lang, u.source, u.epoch::INTEGER AS epoch, n_tokens FROM upto u
+JOIN given_3 g ON u.domain = g.domain AND u.lang IS NOT DISTINCT FROM g.lang AND u.source IS NOT DISTINCT FROM g.source
+WHERE upto <= floor(g.given + 1e-6) AND floor(g.given + 1e-6) > 0
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_quality_rules": op2_quality_rules,
     "op3_warc": op3_warc,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_mixing": op5_mixing,
     "op6_language_id": op6_language_id,
     "op7_quality_classifier": op7_quality_classifier,
     "op9_best_fit_packing": op9_best_fit_packing,
@@ -101,4 +149,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op2_quality_rules": OP2_SQL,
+    "op5_mixing": OP5_SQL,
 }
