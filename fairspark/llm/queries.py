@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fairspark.llm._spark import table
+from fairspark.llm.ann import nearest
 from fairspark.llm.jaccard_join import jaccard_join
 from fairspark.llm.language_id import language_id
 from fairspark.llm.mixing import domain_of_source, mix
@@ -58,6 +59,10 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), labels, _fold(5) == 0)
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, candidates=300)
+
+
 def tokenizer_path() -> str:
     """The file of the public tokenizer, which every executor has too."""
     import public_tokenizers
@@ -143,6 +148,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixing": op5_mixing,
     "op6_language_id": op6_language_id,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_ann": op8_ann,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_pii": op10_pii,
 }
