@@ -1,11 +1,12 @@
 """Nearest neighbours by score-aware quantisation, four-bit table scans and exact reranking.
 
-1.  Codebooks.  A vector is cut into subspaces of two components with 16 centres each (four bits).  Squared distance is
-    |q|^2 + |x|^2 - 2 q.x, so the search is for the greatest inner product less half of |x|^2, which is kept exactly.
-    What a quantiser does to inner products with near queries depends most on the residual parallel to x; the loss
-    |r_orthogonal|^2 + eta |r_parallel|^2 with eta = (d - 1) t^2 / (1 - t^2) is lowered in turn by codes (coordinate
-    descent over subspaces) and centres (one linear system).  They are fitted on a bounded sample (``sample`` vectors on
-    average, chosen by a hash of vec_id); every vector is encoded.
+1.  Codebooks.  With p the nearest of some places and y = x - p, half the squared distance is
+    |q - p|^2 / 2 + |y|^2 / 2 - (q - p).y: an inner product to be maximised, and terms that are kept exactly.  y, by the
+    scale of its place (so that dense clusters keep their detail), is cut into subspaces of two components with 16
+    centres each (four bits).  Where q is near x, what quantising does to the inner product comes from the residual
+    parallel to y; the loss |r_orthogonal|^2 + eta |r_parallel|^2 with eta = (d - 1) t^2 / (1 - t^2) is lowered in turn
+    by codes (coordinate descent over subspaces) and centres (one linear system).  They are fitted on a bounded sample
+    (``sample`` vectors on average, chosen by a hash of vec_id); every vector is encoded.
 2.  Scan.  Codes are packed two a byte, some thousands of vectors a row.  Queries are packed in blocks, and each block
     meets each group of packed rows in a task of its own; a task sums table entries and returns the ``candidates`` best of each
     query.  Blocks and groups are bounded, their number grows with the input.
@@ -37,10 +38,20 @@ PACKED, GROUP, BLOCK = 4096, 64, 1024
 
 
 class Codebooks(NamedTuple):
-    """centres: subspaces x 16 x 2; eta: weight of the parallel residual."""
+    """centres: subspaces x 16 x 2; eta: weight of the parallel residual; places and their scales."""
 
     centres: np.ndarray
     eta: float
+    places: np.ndarray
+    scales: np.ndarray
+
+    def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest place of each vector, and what is left by its scale."""
+        at = ((self.places**2).sum(1) / 2 - x @ self.places.T).argmin(1)
+        return at, (x - self.places[at]) / self.scales[at][:, None]
+
+    def decode(self, codes: np.ndarray, d: int) -> np.ndarray:
+        return self.centres[np.arange(len(self.centres)), codes].reshape(len(codes), -1)[:, :d]
 
     def tables(self, queries: np.ndarray) -> np.ndarray:
         """Inner products of each query with what a byte of code stands for: queries x bytes x 256."""
@@ -59,7 +70,7 @@ def _split(x: np.ndarray) -> np.ndarray:
     return out.reshape(len(x), m, 2)
 
 
-def encode(x: np.ndarray, books: Codebooks, passes: int = 2) -> np.ndarray:
+def encode(x: np.ndarray, centres: np.ndarray, eta: float, passes: int = 2) -> np.ndarray:
     """The codes (vectors x subspaces) of least anisotropic loss, by coordinate descent from the nearest centres."""
     parts = _split(x)
     norm = np.maximum((parts**2).sum((1, 2)), 1e-30)
@@ -67,13 +78,13 @@ def encode(x: np.ndarray, books: Codebooks, passes: int = 2) -> np.ndarray:
     square = np.empty((n, m, 16))
     along = np.empty((n, m, 16))
     for s in range(m):
-        residual = parts[:, s, None, :] - books.centres[s]
+        residual = parts[:, s, None, :] - centres[s]
         square[:, s] = (residual**2).sum(2)
         along[:, s] = (residual * parts[:, s, None, :]).sum(2)
     codes = square.argmin(2)
     rows = np.arange(n)
     total = np.take_along_axis(along, codes[:, :, None], 2)[:, :, 0].sum(1)
-    weight = ((books.eta - 1) / norm)[:, None]
+    weight = ((eta - 1) / norm)[:, None]
     for _ in range(passes):
         for s in range(m):
             rest = total - along[rows, s, codes[:, s]]
@@ -82,12 +93,23 @@ def encode(x: np.ndarray, books: Codebooks, passes: int = 2) -> np.ndarray:
     return codes.astype(np.uint8)
 
 
-def fit(x: np.ndarray, threshold: float = THRESHOLD, rounds: int = 4, seed: int = 5) -> Codebooks:
+def fit(x: np.ndarray, threshold: float = THRESHOLD, rounds: int = 4, places: int = 64, seed: int = 5) -> Codebooks:
     """Codebooks for the rows of x."""
+    rng = np.random.default_rng(seed)
+    middle = x[rng.choice(len(x), max(1, min(places, len(x) // 20)), replace=False)]
+    for _ in range(10):
+        at = ((middle**2).sum(1) / 2 - x @ middle.T).argmin(1)
+        count = np.bincount(at, minlength=len(middle))
+        sums = np.zeros_like(middle)
+        np.add.at(sums, at, x)
+        middle = np.where(count[:, None] > 0, sums / np.maximum(count, 1)[:, None], middle)
+    at = ((middle**2).sum(1) / 2 - x @ middle.T).argmin(1)
+    spread = np.bincount(at, ((x - middle[at]) ** 2).sum(1), len(middle)) / np.maximum(np.bincount(at, minlength=len(middle)), 1)
+    scales = np.sqrt(np.maximum(spread, 1e-12))
+    x = (x - middle[at]) / scales[at][:, None]
     parts = _split(x)
     n, m, _ = parts.shape
     eta = max(1.0, (x.shape[1] - 1) * threshold**2 / (1 - threshold**2))
-    rng = np.random.default_rng(seed)
     centres = np.stack([parts[rng.choice(n, 16, replace=n < 16), s] for s in range(m)])
     for _ in range(8):  # plain k-means to begin with
         for s in range(m):
@@ -97,7 +119,7 @@ def fit(x: np.ndarray, threshold: float = THRESHOLD, rounds: int = 4, seed: int
             centres[s] = np.where(count[:, None] > 0, sums / np.maximum(count, 1)[:, None], centres[s])
     unit = parts / np.sqrt(np.maximum((parts**2).sum((1, 2)), 1e-30))[:, None, None]
     for _ in range(rounds):
-        codes = encode(x, Codebooks(centres, eta)).astype(np.int64)
+        codes = encode(x, centres, eta).astype(np.int64)
         flat = codes + 16 * np.arange(m)
         # Normal equations over all centres: counts + (eta - 1) P'P, where P has each unit vector's parts at its codes.
         a = np.zeros((32 * m, 32 * m))
@@ -112,7 +134,7 @@ def fit(x: np.ndarray, threshold: float = THRESHOLD, rounds: int = 4, seed: int
         sums = np.stack([np.bincount(flat.ravel(), parts[:, :, d].ravel(), 16 * m) for d in range(2)], 1)
         solved = np.linalg.solve(a, eta * sums.ravel()).reshape(m, 16, 2)
         centres = np.where((count > 0).reshape(m, 16, 1), solved, centres)
-    return Codebooks(centres, eta)
+    return Codebooks(centres, eta, middle, scales)
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -136,10 +158,13 @@ def _packed(batches: Iterator[pa.RecordBatch], books) -> Iterator[pa.RecordBatch
             ids, x = part.column(0).to_numpy(), _matrix(part.column(1))
             order = np.argsort(ids, kind="stable")
             ids, x = ids[order], x[order]
-            codes = encode(x, books.value)
+            b = books.value
+            places, y = b.place(x)
+            codes = encode(y, b.centres, b.eta)
             pairs = codes[:, 0::2] | codes[:, 1::2] << 4
-            norms = ((x * x).sum(1) / 2).astype("<f4")
-            yield pa.RecordBatch.from_pydict({"part": [int(ids[0])], "ids": [ids.astype("<i8").tobytes()], "norms": [norms.tobytes()], "codes": [pairs.tobytes()]})
+            scale = b.scales[places]
+            kept = ((y * y).sum(1) * scale**2 / 2 + (b.decode(codes, x.shape[1]) * b.places[places]).sum(1) * scale).astype("<f4")
+            yield pa.RecordBatch.from_pydict({"part": [int(ids[0])], "ids": [ids.astype("<i8").tobytes()], "kept": [kept.tobytes()], "places": [places.astype("<u2").tobytes()], "codes": [pairs.tobytes()]})
 
 
 def _blocks(group: pa.Table) -> pa.Table:
@@ -151,16 +176,21 @@ def _scan(queries: pa.Table, packed: pa.Table, books, candidates: int) -> pa.Tab
     """The best candidates of each query of a block among the packed rows of a group."""
     found: list[list[np.ndarray]] = [[], [], []]
     if queries.num_rows and packed.num_rows:
-        ids, norms, codes = (np.concatenate([np.frombuffer(b, t) for b in packed.column(c).to_pylist()]) for c, t in (("ids", "<i8"), ("norms", "<f4"), ("codes", np.uint8)))
+        names = (("ids", "<i8"), ("kept", "<f4"), ("places", "<u2"), ("codes", np.uint8))
+        ids, kept, places, codes = (np.concatenate([np.frombuffer(b, t) for b in packed.column(c).to_pylist()]) for c, t in names)
         order = np.argsort(ids, kind="stable")
-        ids, norms, codes = ids[order], norms[order], np.ascontiguousarray(codes.reshape(len(ids), -1)[order].T)
+        ids, kept, places, codes = ids[order], kept[order], places[order], np.ascontiguousarray(codes.reshape(len(ids), -1)[order].T)
         own = np.frombuffer(queries.column("ids")[0].as_py(), "<i8")
         x = np.frombuffer(queries.column("queries")[0].as_py(), "<f8").reshape(len(own), -1)
+        b = books.value
+        scale = b.scales[places].astype(np.float32)
         for at in range(0, len(own), 64):
-            for query, table in zip(own[at : at + 64], books.value.tables(x[at : at + 64]), strict=True):
-                score = norms.copy()
-                for b in range(len(codes)):
-                    score -= table[b][codes[b]]
+            far = ((x[at : at + 64, None, :] - b.places[None]) ** 2).sum(2) / 2
+            for query, table, half in zip(own[at : at + 64], b.tables(x[at : at + 64]), far.astype(np.float32), strict=True):
+                score = np.zeros(len(ids), np.float32)
+                for k in range(len(codes)):
+                    score -= table[k][codes[k]]
+                score = score * scale + kept + half[places]
                 score[ids == query] = np.inf
                 most = min(candidates, len(score))
                 limit = np.partition(score, most - 1)[most - 1]
@@ -197,7 +227,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, candidates: int =
     # Of equal vectors only the k + 1 of smallest vec_id can be among k nearest; Spark limits them before its shuffle.
     equal = Window.partitionBy("v").orderBy("vec_id")
     scanned = materialise(rows.withColumn("copy", F.row_number().over(equal)).where(F.col("copy") <= k + 1).select("vec_id", "v"), "scanned")
-    packed = scanned.mapInArrow(partial(_packed, books=books), "part long, ids binary, norms binary, codes binary")
+    packed = scanned.mapInArrow(partial(_packed, books=books), "part long, ids binary, kept binary, places binary, codes binary")
     packed = packed.withColumn("group", F.pmod(F.xxhash64("part"), F.lit(groups)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     keys = ["block", "group"]
     met = queries.groupBy(*keys).cogroup(packed.groupBy(*keys)).applyInArrow(lambda q, p: _scan(q, p, books, candidates), "query_id long, vec_id long, near float")
