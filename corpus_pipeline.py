@@ -1,21 +1,71 @@
-"""The corpus pipeline: stages of training-data preparation, each on the rows that its predecessor kept."""
+"""The corpus pipeline: stages of training-data preparation, each on the rows that its predecessor kept.
+
+Each stage takes (spark, docs, sf_dir) and returns the columns of documents, but the last, which returns the packing.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fairspark.llm._spark import materialise, table
+from fairspark.llm.jaccard_join import jaccard_join
+from fairspark.llm.mixing import domain_of_source, mix
+from fairspark.llm.packing import best_fit_packing
+from fairspark.llm.pii import sanitise
+from fairspark.llm.quality_gam import keep_good
+from fairspark.llm.queries import MIX_WEIGHTS, tokenizer_path
+
+#: Words of a shingle and the similarity of near duplicates; the share of all tokens that the mixture has.
+SHINGLE, SIMILAR_PERCENT, MIX_SHARE = 5, 80, 0.9
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, fitted to the labels, accepts."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    return keep_good(docs, labels, threshold=0.3)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest doc_id of each group of near duplicates; rows without doc_id stay."""
+    found = jaccard_join(docs, n=SHINGLE, percent=SIMILAR_PERCENT)
+    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
+    # A sort-merge join at every size: what goes grows with the corpus.
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data and what discloses it replaced in text."""
+    return sanitise(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each leaf's prefix of one seeded epoch, so that no document comes twice."""
+    return mix(docs, domain_of_source(5), budget_share=MIX_SHARE, epochs=1, seed="7", weights=MIX_WEIGHTS).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces in sequences of 4096."""
+    return best_fit_packing(docs, tokenizer_path(), size=4096, end_id=1)
+
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("personal_data", personal_data),
+    ("mixture", mixture),
+    ("packing", packing),
+]
 
-#: SQL can't express the trained classifier, the PII spans or the packing.
+#: SQL can't express the trained classifier, the disclosing terms or the packing.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies the stages to documents, each written as Parquet to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -219,11 +219,14 @@ def _clean(batches: Iterator[pa.RecordBatch], remove_at: float) -> Iterator[pa.R
 def sanitise(docs: DataFrame, reach: int = 60, min_support: int = 3, generalise_at: float = 0.8, remove_at: float = 1.0) -> DataFrame:
     """docs with all their columns and rows, personal data in text replaced by [KIND], disclosing terms by [TERM] or nothing.
 
-    n_chars, where there is such a column, follows the text.
+    n_chars, where there is such a column, follows a text that may hold personal data.
     """
     names, kinds = docs.columns, dict(docs.dtypes)
     spans = pii_spans(docs, reach, min_support, generalise_at).where("text_md5 IS NOT NULL")
     by_text = spans.groupBy("text_md5").agg(F.first("base").alias("_base"), F.first("terms").alias("_terms"))
-    joined = docs.withColumn("_md5", F.md5("text")).join(by_text, F.col("_md5") == F.col("text_md5"), "left").select(*names, "_base", "_terms")
+    # Only texts with a digit or an @ can have spans; the others don't move.
+    may = F.coalesce(F.col("text").rlike("[0-9@]"), F.lit(False))
+    joined = docs.where(may).withColumn("_md5", F.md5("text")).join(by_text.hint("merge"), F.col("_md5") == F.col("text_md5"), "left").select(*names, "_base", "_terms")
     out = joined.mapInArrow(partial(_clean, remove_at=remove_at), docs.schema)
-    return out.withColumn("n_chars", F.length("text").cast(kinds["n_chars"])) if "n_chars" in names else out
+    out = out.withColumn("n_chars", F.length("text").cast(kinds["n_chars"])) if "n_chars" in names else out
+    return out.union(docs.where(~may))
