@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fairspark.functions import scalar
-from fairspark.operators import contingency, corrections, distribution, encode, fairness, neighbours, performance, reduce, report
+from fairspark.operators import contingency, corrections, distribution, encode, fairness, models, neighbours, performance, reduce, report
+from fairspark.operators.feature_search import select_features
+from fairspark.operators.pipeline_search import Search, apply_sequence, decoded, gene_pool, space_size
+from fairspark.plans.storage import checkpointed
 from fairspark.plans.views import VIEW_SQL, VIEWS, documents_view, events_view, lineitem_view, orders_view, table
+from fairspark.streaming.contingency import live_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -450,3 +455,75 @@ def formatted_values(spark, d):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fairness of quality judgements by language."""
     return fairness.fairness(documents_view(spark, sf_dir), "g")
+
+
+@_register("search_space_size", "SELECT 2 AS groups, 4 AS algorithms, 494 AS size UNION ALL SELECT 3, 4, 18563 UNION ALL SELECT 5, 4, 30045014")
+def search_space_size(spark, d):
+    return spark.createDataFrame([(g, 4, space_size(g, 4)) for g in (2, 3, 5)], "groups int, algorithms int, size int")
+
+
+@_register("gene_product", "SELECT g.range::INT AS group_code, a.range::INT AS algorithm_code FROM range(5) g CROSS JOIN range(4) a")
+def gene_product(spark, d):
+    return spark.createDataFrame(gene_pool(5, 4), "group_code int, algorithm_code int")
+
+
+def _model_rows(spark, d) -> tuple[DataFrame, DataFrame]:
+    t = table(spark, d, "orders").join(table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment", "c_acctbal"), "o_custkey")
+    rows = t.select(F.col("o_orderkey").alias("row_id"), F.col("c_mktsegment").alias("g"), F.col("o_totalprice").alias("price"), F.col("c_acctbal").alias("balance"), F.pmod("o_custkey", F.lit(7)).cast("double").alias("k"), ((F.col("o_totalprice") + 100 * F.col("c_acctbal").cast("double")) > 500000).cast("double").alias("target"))
+    split = encode.stratified_split(rows, "row_id", ["g", "target"])
+    return split.where("part = 'train'").drop("part"), split.where("part = 'test'").drop("part")
+
+
+def _add_models() -> None:
+    for name in (*models.SURROGATES, models.TARGET):
+        def one(spark, d, name=name):
+            train, test = _model_rows(spark, d)
+            return models.assess(train, test, name, ["price", "balance", "k"], "g")[0]
+
+        _register(f"model_assess_{name}")(one)
+
+
+_add_models()
+
+
+@_register("feature_search")
+def feature_search(spark, d):
+    train, _ = _model_rows(spark, d)
+    kept = select_features(train, ["price", "balance", "k"], "g", "row_id", model="decision_tree", folds=2, size=4, generations=1)
+    return spark.createDataFrame([(f,) for f in kept], "feature string")
+
+
+@_register("pipeline_search")
+def pipeline_search(spark, d):
+    """Exhaustive over sequences of massaging and no change for two groups of documents, by a decision tree."""
+    rows = documents_view(spark, d).withColumn("target", F.col("y").cast("double")).withColumn("g", F.when(F.col("g") == "en", "en").otherwise("other"))
+    rows = encode.stratified_split(rows.drop("y", "p"), "id", ["g", "target"], (("train", 0.7), ("aux", 0.3)))
+    train, held = (rows.where(F.col("part") == p).drop("part").cache() for p in ("train", "aux"))
+    groups = ["en", "other"]
+
+    def massaged(df: DataFrame, group: int) -> DataFrame:
+        own = df.withColumn("u", (F.col("g") == groups[group]).cast("int"))
+        return corrections.massage(own, "u", "id", ["x"], target="target").drop("u")
+
+    def evaluate(individual):
+        changed = apply_sequence(train, individual, [massaged], checkpointed)
+        scored = models.fit_predict(changed, held, "decision_tree", ["x", "toxic"]).select("g", F.col("target").cast("int").alias("y"), F.col("prediction").alias("p"))
+        good = {k.removeprefix("performance_"): v for k, v in performance.performance(scored).first().asDict().items()}
+        return {"decision_tree": good}, {"decision_tree": fairness.group_sse(scored, "g").first().asDict()}
+
+    metrics = [f"sse_{m}" for m in fairness.METRICS]
+    found = Search(evaluate, 2, 1, ["decision_tree"], ["accuracy", "f1_score", "auc"], metrics, intended=True)
+    found.run()
+    return decoded(spark, found.history, groups, ["massaging"])
+
+
+@_register("streaming_contingency", f"WITH v AS ({VIEW_SQL['lineitem']}) SELECT g, count(*) AS n, sum(p)::BIGINT AS pp, sum(y)::BIGINT AS pos, sum(y * p)::BIGINT AS tp, sum((1 - y) * p)::BIGINT AS fp FROM v GROUP BY g")
+def streaming_contingency(spark, d):
+    """The lineitem view read as a stream to its end."""
+    schema = table(spark, d, "lineitem").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "lineitem*.parquet").option("recursiveFileLookup", True).parquet(d)
+    rows = stream.select(F.col("l_returnflag").alias("g"), (F.col("l_linestatus") == "F").cast("int").alias("y"), (F.col("l_discount") >= 0.05).cast("int").alias("p"))
+    name = f"live_{uuid.uuid4().hex}"
+    query = live_counts(rows, "g").writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.table(name)
