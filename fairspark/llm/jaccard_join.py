@@ -7,12 +7,15 @@ document's component under links.  The join is exact but for 64-bit hash collisi
     fingerprint, combined before the shuffle), and from here on the smallest doc_id of a class stands for it.
 2.  Signatures.  Set sizes fall into bands [l, l / t].  Two linked sets have the same band or neighbouring ones, so each
     set takes part in its own band and the next; there their Hamming distance is at most k.  The feature domain is cut by
-    hash into p > k parts: at most k parts can differ, so among any k + 1 parts that hold something at least one is the
-    same in both sets, and a hash of the contents of each non-empty part is a signature.  Sets that have fewer than
-    k + 1 non-empty parts also sign their empty ones.
+    hash into p > k parts: at most k parts can differ, so of any k + 1 parts that hold something at least one is the same in
+    both sets, and a hash of the contents of each non-empty part is a signature.
+    Parts of one element often agree by chance.  Where so many parts of the larger set hold m or more (up to three)
+    that they outnumber the distance, one of these agrees, and only its signatures for them count: they carry a mark,
+    and a signature that nobody marked joins nothing.  A set without enough parts marks all it has.
 3.  Frequent shingles (passages that many documents share) would put unlike sets under one signature.  They are counted
     and left out of the domain, which can only lower Hamming distances.  A set of which too little remains signs again
-    over the full domain, and two such sets meet there.  Whatever is taken for frequent, no link is lost.
+    over the full domain, and two such sets meet there; one of too few parts even there signs its empty ones too.
+    Whatever is taken for frequent, no link is lost.
 4.  Sets under one signature become candidates by a star, one row a member; components of the candidate graph bound what
     must be compared.  Large ones are cut into blocks by hash, and each pair of blocks is compared in a task of its own.
     All pairs in such a tile are checked exactly; it returns one row a document, not pairs.
@@ -99,78 +102,99 @@ def _frequent(batches: Iterator[pa.RecordBatch], n: int, lower: bool) -> Iterato
         yield counted()
 
 
-def _domain(values: np.ndarray, owner: np.ndarray, parts: np.ndarray, need: np.ndarray, salt: int, empties: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Signatures and their sets; parts: of each set; also which sets have fewer than need parts that hold something."""
+def _domain(values: np.ndarray, owner: np.ndarray, parts: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The cells (part of a set) that hold something: signature, set, number of elements, and the cell's number."""
     mixed = mix64(values ^ np.uint64(salt))
     base = np.concatenate([[0], np.cumsum(parts)])
     place = ((mixed >> np.uint64(32)) * parts[owner].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
     cell = base[owner] + place
     order = np.argsort(cell, kind="stable")
-    sorted_cells = cell[order]
-    begins = np.flatnonzero(np.concatenate([[True], sorted_cells[1:] != sorted_cells[:-1]])) if len(order) else np.empty(0, np.int64)
-    sums = np.add.reduceat(mix64(values[order] + np.uint64(salt + 1)), begins) if len(order) else np.empty(0, np.uint64)
-    cells = sorted_cells[begins]
+    ranked = cell[order]
+    begins = np.flatnonzero(np.concatenate([np.ones(min(1, len(ranked)), bool), ranked[1:] != ranked[:-1]]))
+    sums = np.add.reduceat(mix64(values[order] + np.uint64(salt + 1)), begins) if len(begins) else np.empty(0, np.uint64)
+    cells = ranked[begins]
     sets = np.searchsorted(base, cells, side="right") - 1
-    few = np.bincount(sets, minlength=len(parts)) < need
-    if empties and few.any():
-        blank = np.setdiff1d(np.flatnonzero(np.repeat(few, parts)), cells)
-        cells, sums = np.concatenate([cells, blank]), np.concatenate([sums, np.zeros(len(blank), np.uint64)])
-        sets = np.searchsorted(base, cells, side="right") - 1
-    return mix64(sums + stream64(1, salt + 2)[0] * (cells - base[sets] + 1).astype(np.uint64)), sets, few
+    return _named(sums, cells - base[sets], salt), sets, np.diff(np.append(begins, len(ranked))), cells
 
 
-def signatures(values: np.ndarray, first: np.ndarray, percent: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """PartEnum signatures (uint64) of sets laid end to end, and the set of each."""
+def _named(sums: np.ndarray, part: np.ndarray, salt: int) -> np.ndarray:
+    return mix64(sums + stream64(1, salt + 2)[0] * (part + 1).astype(np.uint64))
+
+
+def signatures(values: np.ndarray, first: np.ndarray, percent: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """PartEnum signatures (uint64) of sets laid end to end, the set of each, and whether it is marked."""
     sizes = np.diff(first)
-    low, k, parts = bands(percent, int(sizes.max(initial=1)))
-    held = np.flatnonzero(sizes)
+    low, _, parts = bands(percent, int(sizes.max(initial=1)))
     owner = np.repeat(np.arange(len(sizes)), sizes)
     rare = np.ones(len(values), bool)
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, values), len(frequent) - 1)
         rare = frequent[at] != values
-    found, owners = [], []
+    found, owners, marks = [], [], []
     own = np.searchsorted(low, sizes, side="right") - 1
+    held = sizes > 0
     for step in (0, 1):
-        band = np.where(sizes > 0, own + step, 0)
-        mine = np.where(sizes > 0, parts[band], 0)
-        need = k[band] + 1
+        band = np.where(held, own + step, 0)
+        mine = np.where(held, parts[band], 0)
+        # Differences from a set that isn't larger, and from any that may link in this band.
+        partner = np.minimum(low[band] * 100 // percent, sizes * 100 // percent)
+        from_smaller, from_any = ((100 - percent) * x // (100 + percent) for x in (2 * sizes, sizes + partner))
         salt = stream64(1, 71)[0] * (band + 1).astype(np.uint64)
-        sig, sets, few = _domain(values[rare], owner[rare], mine, need, 101, False)
+        sig, sets, count, _ = _domain(values[rare], owner[rare], mine, 101)
+        holding = [np.bincount(sets[count >= m], minlength=len(sizes)) for m in (1, 2, 3)]
+        if step == 0:
+            level = np.ones(len(sizes), np.int64)
+            for m in (2, 3):
+                level[holding[m - 1] > from_smaller] = m
+            mark = count >= level[sets]
+        else:
+            mark = np.zeros(len(sig), bool)  # the larger set, in its own band, marks
         found.append(mix64(sig ^ salt[sets]))
         owners.append(sets)
-        few[sizes == 0] = False
+        marks.append(mark)
+        few = held & (holding[0] <= from_any)
         if few.any():
-            again = few[owner]
-            sig, sets, _ = _domain(values[again], owner[again], np.where(few, mine, 0), need, 211, True)
+            again, cut = few[owner], np.where(few, mine, 0)
+            sig, sets, _, cells = _domain(values[again], owner[again], cut, 211)
+            scarce = few & (np.bincount(sets, minlength=len(sizes)) <= from_any)
+            blank = np.setdiff1d(np.flatnonzero(np.repeat(scarce, cut)), cells)
+            base = np.concatenate([[0], np.cumsum(cut)])
+            blank_sets = np.searchsorted(base, blank, side="right") - 1
+            sig = np.concatenate([sig, _named(np.zeros(len(blank), np.uint64), blank - base[blank_sets], 211)])
+            sets = np.concatenate([sets, blank_sets])
             found.append(mix64(sig + salt[sets]))
             owners.append(sets)
-    del held
-    return np.concatenate(found), np.concatenate(owners)
+            marks.append(np.ones(len(sig), bool))
+    return np.concatenate(found), np.concatenate(owners), np.concatenate(marks)
 
 
 def _signed(batches: Iterator[pa.RecordBatch], n: int, lower: bool, percent: int, shards: int, frequent) -> Iterator[pa.RecordBatch]:
-    """(shard, payload): prints of sets, signatures and the set of each, and pairs that are known already, packed.
+    """(shard, payload): prints of sets, signatures (with marks) and the set of each, and pairs that are known already, packed.
 
-    Of sets with one signature in a chunk of texts only the smallest is sent on; the others are paired with it here.
+    Of sets with one marked signature in a chunk of texts only the smallest is sent on; the others are paired with it here.
     """
     for batch in batches:
         for _, texts in chunked(batch, "text"):
             values, first = shingle_sets(words_of(texts, lower), n)
             own = prints(values, first, 3)
-            sig, sets = signatures(values, first, percent, frequent.value)
+            sig, sets, mark = signatures(values, first, percent, frequent.value)
             if not len(sig):
                 continue
             order = np.lexsort((own[sets], sig))
-            sig, sets = sig[order], sets[order]
+            sig, sets, mark = sig[order], sets[order], mark[order]
             new = np.concatenate([[True], sig[1:] != sig[:-1]])
+            begins = np.flatnonzero(new)
+            mark = np.repeat(np.logical_or.reduceat(mark, begins), np.diff(np.append(begins, len(sig))))
             least = own[sets[np.maximum.accumulate(np.where(new, np.arange(len(sig)), 0))]]
-            pairs = np.stack([own[sets], least], 1)
+            pairs = np.stack([own[sets], least], 1)[mark]
             pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0).astype("<i8")
-            sig, sets = sig[new], sets[new]
+            # Under a marked signature the first is sent on; what nobody has marked here another chunk may.
+            send = new | (~mark & np.concatenate([[True], own[sets[1:]] != own[sets[:-1]]]))
+            sig, sets, mark = sig[send], sets[send], mark[send]
             shard = (sig >> np.uint64(40)) % np.uint64(shards)
             order = np.argsort(shard, kind="stable")
-            sig, sets, shard = (sig & np.uint64((1 << 40) - 1))[order], sets[order], shard[order]
+            sig = (sig & np.uint64((1 << 39) - 1)) | (mark.astype(np.uint64) << np.uint64(39))
+            sig, sets, shard = sig[order], sets[order], shard[order]
             cuts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
             keys, payloads = [int(own[0]) % shards], [np.array([0, 0, 2, len(pairs)], "<i8").tobytes() + pairs.tobytes()]
             for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
@@ -196,11 +220,15 @@ def _stars(group: pa.Table) -> pa.Table:
         sets.append(ids[np.frombuffer(payload, f"<u{wide}", m, at + 5 * m)])
         known.append(np.frombuffer(payload, "<i8", 2 * pairs, len(payload) - 16 * pairs).reshape(-1, 2))
     sigs, sets = np.concatenate(sigs), np.concatenate(sets)
+    mark, sigs = sigs >> np.uint64(39) == 1, sigs & np.uint64((1 << 39) - 1)
     order = np.lexsort((sets, sigs))
-    sigs, sets = sigs[order], sets[order]
+    sigs, sets, mark = sigs[order], sets[order], mark[order]
     new = np.concatenate([np.ones(min(1, len(sigs)), bool), sigs[1:] != sigs[:-1]])
     least = sets[np.maximum.accumulate(np.where(new, np.arange(len(sets)), 0))] if len(sets) else sets
-    pairs = np.unique(np.concatenate([np.stack([sets, least], 1)[sets != least], *known]), axis=0)
+    begins = np.flatnonzero(new)
+    if len(begins):
+        mark = np.repeat(np.logical_or.reduceat(mark, begins), np.diff(np.append(begins, len(sigs))))
+    pairs = np.unique(np.concatenate([np.stack([sets, least], 1)[(sets != least) & mark], *known]), axis=0)
     return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
