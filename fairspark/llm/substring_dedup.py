@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fairspark.llm._spark import materialise, release
+from fairspark.llm._spark import discard, materialise, release
 from fairspark.llm._text import chunked, grams, mix64, stream64, words_of
 
 CHUNK, SHARD = 1 << 21, 1_000_000
@@ -310,6 +310,7 @@ def repeated_ranges(docs: DataFrame, window: int = 20, chunk_bytes: int = CHUNK)
     later = windows.groupBy("shard").applyInArrow(_first_occurrences, _RETURN)
     ranges = later.groupBy("chunk").applyInArrow(lambda group: _ranges(group, window), "doc_id long, text_hash long, starts array<int>, ends array<int>")
     ranges = materialise(ranges.groupBy("doc_id", "text_hash").agg(F.first("starts").alias("starts"), F.first("ends").alias("ends")), "ranges")
+    discard(anchors)
     release(spark)
     return ranges
 
