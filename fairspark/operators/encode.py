@@ -56,16 +56,27 @@ def label_codes(df: DataFrame, column: str) -> DataFrame:
     return values.withColumn("code", F.row_number().over(Window.orderBy("value")) - 1)
 
 
-def label_encode(df: DataFrame, columns: Sequence[str] | None = None) -> tuple[DataFrame, dict[str, dict[int, str]]]:
-    """Text columns replaced by codes, and each one's code -> value."""
+def label_encode(df: DataFrame, columns: Sequence[str] | None = None, most: int = 10_000) -> tuple[DataFrame, dict[str, dict[int, str]]]:
+    """Text columns replaced by codes, and each one's code -> value.
+
+    Categories of up to ``most`` values are found in one pass over the rows and joined by broadcast; larger ones, which
+    have no mapping here, are joined by key to ``label_codes``.
+    """
     columns = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)] if columns is None else list(columns)
-    mappings = {}
-    for c in columns:
-        codes = label_codes(df, c)
-        mappings[c] = {r.code: r.value for r in codes.collect()}  # distinct values of a category
-        joined = df.alias("d").join(F.broadcast(codes) if len(mappings[c]) <= 10_000 else codes, F.col(f"d.`{c}`") == F.col("value"), "left")
-        df = joined.select(*(F.col("code").alias(c) if x == c else F.col(f"d.`{x}`") for x in df.columns))
-    return df, mappings
+    if not columns:
+        return df, {}
+    spark, mappings, out = df.sparkSession, {}, df
+    sizes = df.agg(*(F.approx_count_distinct(c).alias(c) for c in columns)).first()
+    small = [c for c in columns if sizes[c] <= most]
+    values = df.agg(*(F.collect_set(c).alias(c) for c in small)).first() if small else {}
+    for i, c in enumerate(columns):
+        if c in small:
+            mappings[c] = dict(enumerate(sorted(values[c])))
+            codes = F.broadcast(spark.createDataFrame([(v, k) for k, v in mappings[c].items()], f"_value{i} string, _code{i} int"))
+        else:
+            codes = label_codes(df, c).select(F.col("value").alias(f"_value{i}"), F.col("code").alias(f"_code{i}"))
+        out = out.join(codes, F.col(f"`{c}`") == F.col(f"_value{i}"), "left").withColumn(c, F.col(f"_code{i}")).drop(f"_value{i}", f"_code{i}")
+    return out, mappings
 
 
 def dummies(df: DataFrame, column: str, labels: Mapping[int, str]) -> DataFrame:
