@@ -34,7 +34,7 @@ from fairspark.llm._spark import materialise
 _TAIL = b".,;:!?*$%&#|"
 _LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
 #: Words of a generation; a worker remembers this one and the one before (about 200 bytes a word).
-REMEMBERED = 700_000
+REMEMBERED = 100_000
 
 
 class WordTokenizer:
@@ -45,7 +45,7 @@ class WordTokenizer:
     go to the tokenizer whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remember: int = REMEMBERED):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -53,6 +53,7 @@ class WordTokenizer:
         vocabulary = self.inner.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.remember = remember
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -93,7 +94,7 @@ class WordTokenizer:
         """The ids of each text as little-endian uint32."""
         out: list[bytes] = []
         words: dict[int, list[bytes]] = {}
-        if len(self.young) > REMEMBERED:
+        if len(self.young) > self.remember:
             self.old, self.young = self.young, {}
         get, missing = self.young.get, set()
         for i, text in enumerate(texts):
@@ -120,13 +121,13 @@ class WordTokenizer:
             yield from self.ids([x or "" for x in column.slice(at, together).to_pylist()])
 
 
-_TOKENIZERS: dict[str, WordTokenizer] = {}
+_TOKENIZERS: dict[tuple[str, int], WordTokenizer] = {}
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], path: str, size: int, end_id: int) -> Iterator[pa.RecordBatch]:
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordTokenizer(path)
-    tokenizer, end = _TOKENIZERS[path], np.array([end_id], "<u4").tobytes()
+def _pieces(batches: Iterator[pa.RecordBatch], path: str, size: int, end_id: int, remember: int) -> Iterator[pa.RecordBatch]:
+    if (path, remember) not in _TOKENIZERS:
+        _TOKENIZERS[path, remember] = WordTokenizer(path, remember)
+    tokenizer, end = _TOKENIZERS[path, remember], np.array([end_id], "<u4").tobytes()
     for batch in batches:
         docs, pieces, starts, lengths, crcs = [], [], [], [], []
         for doc, ids in zip(batch.column(0).to_pylist(), tokenizer.batches(batch.column(1)), strict=True):
@@ -209,13 +210,14 @@ def _packer(size: int, last: bool, keep_full: float):
     return lambda group: _pack(group, size, last, keep_full)
 
 
-def best_fit_packing(docs: DataFrame, tokenizer_path: str, size: int = 4096, end_id: int = 1, per_partition: int = 20_000, rounds: int = 3, keep_full: float = 0.999) -> DataFrame:
+def best_fit_packing(docs: DataFrame, tokenizer_path: str, size: int = 4096, end_id: int = 1, per_partition: int = 20_000, rounds: int = 3, keep_full: float = 0.999, remember: int = REMEMBERED) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of each piece of docs(doc_id, text).
 
     per_partition: pieces that one task packs, on average; keep_full: in a partition with a gap, sequences at least so
-    full stay.  tokenizer_path must be readable on every executor.
+    full stay; remember: words that a worker keeps the ids of (more are faster and take memory).  tokenizer_path must be
+    readable on every executor.
     """
-    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(partial(_pieces, path=tokenizer_path, size=size, end_id=end_id), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(partial(_pieces, path=tokenizer_path, size=size, end_id=end_id, remember=remember), "doc_id long, piece int, start long, length long, ids_crc32 long")
     pieces = materialise(pieces.withColumn("key", F.monotonically_increasing_id()), "pieces")
     left = pieces.where(F.col("length") < size).select("key", "length")
     n, settled, used = left.count(), [], 0

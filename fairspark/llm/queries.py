@@ -71,7 +71,7 @@ def tokenizer_path() -> str:
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return best_fit_packing(table(spark, sf_dir, "documents"), tokenizer_path(), size=4096, end_id=1)
+    return best_fit_packing(table(spark, sf_dir, "documents"), tokenizer_path(), size=4096, end_id=1, remember=600_000)
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
