@@ -149,12 +149,12 @@ def drop_null_rows(spark, d):
     return encode.drop_invalid(t, ["a", "b"]).agg(F.count(F.lit(1)).alias("kept"))
 
 
-@_register("label_encode", "SELECT c_custkey, dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS c_mktsegment FROM customer")
+@_register("label_encode", "SELECT c_custkey, (dense_rank() OVER (ORDER BY c_mktsegment) - 1)::INT AS c_mktsegment FROM customer")
 def label_encode(spark, d):
     return encode.label_encode(table(spark, d, "customer").select("c_custkey", "c_mktsegment"))[0]
 
 
-@_register("label_mapping", "SELECT p_brand AS value, row_number() OVER (ORDER BY p_brand) - 1 AS code FROM (SELECT DISTINCT p_brand FROM part) q")
+@_register("label_mapping", "SELECT p_brand AS value, (row_number() OVER (ORDER BY p_brand) - 1)::INT AS code FROM (SELECT DISTINCT p_brand FROM part) q")
 def label_mapping(spark, d):
     return encode.label_codes(table(spark, d, "part"), "p_brand")
 
@@ -363,7 +363,7 @@ def shape_check(spark, d):
 
 @_register(
     "genotype_frequency",
-    "WITH u AS (SELECT user_id, min(event_id) AS o, array_to_string((list(event_type ORDER BY event_id))[1:2], '>') AS genotype FROM events GROUP BY user_id), f AS (SELECT genotype, count(*) AS n, min(o) AS first FROM u GROUP BY genotype) SELECT genotype, n, first, row_number() OVER (ORDER BY n DESC, first) - 1 AS code FROM f",
+    "WITH u AS (SELECT user_id, min(event_id) AS o, array_to_string((list(event_type ORDER BY event_id))[1:2], '>') AS genotype FROM events GROUP BY user_id), f AS (SELECT genotype, count(*) AS n, min(o) AS first FROM u GROUP BY genotype) SELECT genotype, n, first, (row_number() OVER (ORDER BY n DESC, first) - 1)::INT AS code FROM f",
 )
 def genotype_frequency(spark, d):
     first = Window.partitionBy("user_id").orderBy("event_id")
