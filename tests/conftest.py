@@ -3,6 +3,7 @@ from __future__ import annotations
 import os
 import sys
 
+import pandas as pd
 import pytest
 from pyspark.sql import SparkSession
 
@@ -35,7 +36,7 @@ def duck():
 
 
 def _value(x):
-    if x is None or x != x:
+    if pd.isna(x) is True or x is None:
         return None
     if isinstance(x, bool):
         return x
