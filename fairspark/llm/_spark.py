@@ -56,3 +56,14 @@ def shuffle_width(spark: SparkSession) -> int:
 def words(text) -> F.Column:
     """Array of the maximal runs of characters other than space and 0x09-0x0D; null gives none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that df hasn't."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

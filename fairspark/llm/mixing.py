@@ -13,8 +13,8 @@ ordered row by row; what is joined back to the documents is where each leaf ends
 
 Defined cases: null domains, languages and sources are values of their own; null texts have no tokens; a document without
 tokens is taken if its leaf has any budget left when it is reached; repeated rows count each; weights that aren't given are 1, weights of
-0 get nothing; an empty table gives an empty result; further columns are kept by ``mix`` whatever their names, as the
-function's own begin with ``_mix_``.
+0 get nothing; an empty table gives an empty result; further columns are kept by ``mix``, but for
+those whose names begin with ``_mix_``, which are its own.
 """
 
 from __future__ import annotations
@@ -86,6 +86,7 @@ def mix(
     budget_share: the budget over all tokens of docs; tokens: a column of whole numbers, by default words of text.
     """
     count = F.size(words(F.col("text"))) if tokens is None else tokens
+    docs = docs.drop(*(c for c in docs.columns if c.startswith("_mix_")))
     rows = docs.withColumns({"_mix_domain": domain, "_mix_lang": F.col(lang), "_mix_source": F.col(source), "_mix_tokens": count.cast("long"), "_mix_key": F.coalesce(F.col(key).cast("string"), F.lit(""))})
     rows = rows.withColumn("_mix_epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
     rows = rows.withColumn("_mix_place", F.md5(F.concat_ws(":", F.lit(seed), F.col("_mix_epoch").cast("string"), F.col("_mix_key"))))

@@ -90,35 +90,38 @@ class WordTokenizer:
         for word, stem, tail in cut:
             self.young[word] = self.young[stem] + self.young[tail]
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian uint32."""
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text (UTF-8) as little-endian uint32."""
         out: list[bytes] = []
-        words: dict[int, list[bytes]] = {}
+        holes: list[tuple[int, list[bytes | None], list[tuple[int, bytes]]]] = []
         if len(self.young) > self.remember:
             self.old, self.young = self.young, {}
         get, missing = self.young.get, set()
         for i, text in enumerate(texts):
-            if "<|" in text:
-                out.append(np.array(self.inner.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
+            if b"<|" in text:
+                out.append(np.array(self.inner.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes())
                 continue
-            own = text.encode().lower().split()
+            own = text.lower().split()
             found = list(map(get, own))
             if None in found:
-                missing.update(w for w, v in zip(own, found, strict=True) if v is None)
-                words[i] = own
+                new = [(k, own[k]) for k, v in enumerate(found) if v is None]
+                missing.update(w for _, w in new)
+                holes.append((i, found, new))
                 out.append(b"")
             else:
                 out.append(b"".join(found))
-        if words:
+        if holes:
             self._learn(missing)
-            for i, own in words.items():
-                out[i] = b"".join(map(get, own))
+            for i, found, new in holes:
+                for k, word in new:
+                    found[k] = get(word)
+                out[i] = b"".join(found)
         return out
 
     def batches(self, column: pa.Array, together: int = 64) -> Iterator[bytes]:
         """The ids of each text of a column; null is an empty text."""
         for at in range(0, len(column), together):
-            yield from self.ids([x or "" for x in column.slice(at, together).to_pylist()])
+            yield from self.ids([x or b"" for x in column.slice(at, together).cast(pa.binary()).to_pylist()])
 
 
 _TOKENIZERS: dict[tuple[str, int], WordTokenizer] = {}
@@ -133,7 +136,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, size: int, end_id: int
         for doc, ids in zip(batch.column(0).to_pylist(), tokenizer.batches(batch.column(1)), strict=True):
             ids += end
             for piece, at in enumerate(range(0, len(ids), 4 * size)):
-                part = ids[at : at + 4 * size]
+                part = ids[at : at + 4 * size] if len(ids) > 4 * size else ids
                 docs.append(doc)
                 pieces.append(piece)
                 starts.append(at // 4)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fairspark.llm._spark import materialise
+from fairspark.llm._spark import fresh, materialise
 
 KINDS = ("email", "ip", "card", "phone", "term")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -196,10 +196,11 @@ def pii_spans(docs: DataFrame, reach: int = 60, min_support: int = 3, generalise
 
 
 def _clean(batches: Iterator[pa.RecordBatch], remove_at: float) -> Iterator[pa.RecordBatch]:
+    """Batches of the columns, then the pattern spans and the terms; ``text`` is rewritten."""
     for batch in batches:
-        at = {name: batch.schema.get_field_index(name) for name in ("text", "_base", "_terms")}
-        out = []
-        for text, base, terms in zip(*(batch.column(at[x]).to_pylist() for x in ("text", "_base", "_terms")), strict=True):
+        names = batch.schema.names[:-2]
+        text_at, out = names.index("text"), []
+        for text, base, terms in zip(*(batch.column(i).to_pylist() for i in (text_at, len(names), len(names) + 1)), strict=True):
             if base:
                 spans = [(int(a), int(b), f"[{kind.upper()}]") for kind, a, b in (x.split(":") for x in base.split(","))]
                 spans += [(x["start"], x["end"], "" if x["disclosure"] >= remove_at else "[TERM]") for x in terms or ()]
@@ -212,8 +213,7 @@ def _clean(batches: Iterator[pa.RecordBatch], remove_at: float) -> Iterator[pa.R
                         end = b
                 text = "".join(parts) + text[end:]
             out.append(text)
-        rest = batch.select([n for n in batch.schema.names if n not in ("_base", "_terms")])
-        yield rest.set_column(rest.schema.get_field_index("text"), "text", pa.array(out, pa.string()))
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if i == text_at else batch.column(i) for i in range(len(names))], names)
 
 
 def sanitise(docs: DataFrame, reach: int = 60, min_support: int = 3, generalise_at: float = 0.8, remove_at: float = 1.0) -> DataFrame:
@@ -222,11 +222,12 @@ def sanitise(docs: DataFrame, reach: int = 60, min_support: int = 3, generalise_
     n_chars, where there is such a column, follows a text that may hold personal data.
     """
     names, kinds = docs.columns, dict(docs.dtypes)
+    key, by_key, base, terms = fresh(docs, "_pii_key", "_pii_by", "_pii_base", "_pii_terms")
     spans = pii_spans(docs, reach, min_support, generalise_at).where("text_md5 IS NOT NULL")
-    by_text = spans.groupBy("text_md5").agg(F.first("base").alias("_base"), F.first("terms").alias("_terms"))
+    by_text = spans.groupBy(F.col("text_md5").alias(by_key)).agg(F.first("base").alias(base), F.first("terms").alias(terms))
     # Only texts with a digit or an @ can have spans; the others don't move.
     may = F.coalesce(F.col("text").rlike("[0-9@]"), F.lit(False))
-    joined = docs.where(may).withColumn("_md5", F.md5("text")).join(by_text.hint("merge"), F.col("_md5") == F.col("text_md5"), "left").select(*names, "_base", "_terms")
-    out = joined.mapInArrow(partial(_clean, remove_at=remove_at), docs.schema)
+    joined = docs.where(may).withColumn(key, F.md5("text")).join(by_text.hint("merge"), F.col(key) == F.col(by_key), "left")
+    out = joined.select(*(F.col(f"`{c}`") for c in names), base, terms).mapInArrow(partial(_clean, remove_at=remove_at), docs.schema)
     out = out.withColumn("n_chars", F.length("text").cast(kinds["n_chars"])) if "n_chars" in names else out
     return out.union(docs.where(~may))

@@ -143,7 +143,9 @@ def _quadrants(gradient: np.ndarray, hessian: np.ndarray, ridge: float) -> tuple
 
 def fit(x: np.ndarray, y: np.ndarray, bins: int = 48, rounds: int = 150, rate: float = 0.1, pairs: int = 8, pair_bins: int = 12, pair_rounds: int = 60, ridge: float = 1.0, least: float = 2.0) -> Model:
     """Cyclic boosting on the logistic loss."""
-    share = float(y.mean()) if len(y) else 0.5
+    if not len(y):
+        return Model(0.0, [], [], [])
+    share = float(y.mean())
     if not 0 < share < 1:
         return Model(30.0 * (2 * share - 1), [], [], [])
     intercept = float(np.log(share / (1 - share)))

@@ -21,7 +21,7 @@ from fairspark.llm.warc import round_trip
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(table(spark, sf_dir, "documents"), n=4, percent=85, lower=True)
+    return jaccard_join(table(spark, sf_dir, "documents"), n=4, percent=85, lower=True).select("doc_id", "n_shingles", "component_id")
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +71,7 @@ def tokenizer_path() -> str:
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return best_fit_packing(table(spark, sf_dir, "documents"), tokenizer_path(), size=4096, end_id=1, remember=600_000)
+    return best_fit_packing(table(spark, sf_dir, "documents"), tokenizer_path(), size=4096, end_id=1, remember=1_000_000)
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,6 +105,44 @@ FROM judged JOIN verdict ON judged.source IS NOT DISTINCT FROM verdict.source
 
 
 
+OP1_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i:i + 3], ' ') AS shingle
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 1) + 1)) AS i FROM w WHERE len(words) > 0) t),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+link AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+reach AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(least.b, w.doc_id)) AS component_id
+FROM w LEFT JOIN n ON w.doc_id = n.doc_id LEFT JOIN least ON least.a = w.doc_id
+"""
+
+#: 160 bits of SHA-1 as 32 digits of five bits.
+OP3_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS hex, min(page_id) OVER (PARTITION BY html) AS first FROM p),
+bits AS (SELECT *, array_to_string([substr('0000000100100011010001010110011110001001101010111100110111101111', 4 * strpos('0123456789abcdef', substr(hex, i, 1)) - 3, 4) for i in range(1, 41)], '') AS b FROM d)
+SELECT page_id, payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * substr(b, 5 * i + 1, 1)::INT + 8 * substr(b, 5 * i + 2, 1)::INT + 4 * substr(b, 5 * i + 3, 1)::INT + 2 * substr(b, 5 * i + 4, 1)::INT + substr(b, 5 * i + 5, 1)::INT, 1) for i in range(0, 32)], '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM bits
+"""
+
+OP4_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+g AS (SELECT doc_id, i, array_to_string(words[i:i + 19], ' ') AS g FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS i FROM w WHERE len(words) >= 20) t),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS k FROM g),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS k FROM r WHERE k > 1),
+each AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS k FROM w),
+kept AS (SELECT each.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY each.k) AS text FROM each LEFT JOIN gone ON each.doc_id = gone.doc_id AND each.k = gone.k WHERE gone.k IS NULL GROUP BY each.doc_id)
+SELECT w.doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(kept.n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
+"""
+
+
 def _level_sql(level: str, parents: list[str], weight: str) -> str:
     """CTEs that share a parent's budget among a level's nodes."""
     keys = [*parents, level]
@@ -154,6 +192,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op1_ngram_jaccard_join": OP1_SQL,
+    "op3_warc": OP3_SQL,
+    "op4_substring_dedup": OP4_SQL,
     "op2_quality_rules": OP2_SQL,
     "op5_mixing": OP5_SQL,
 }
