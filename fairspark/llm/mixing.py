@@ -12,7 +12,7 @@ summed by slices of the seeded order (combined before the shuffle), and only the
 ordered row by row; what is joined back to the documents is where each leaf ends.
 
 Defined cases: null domains, languages and sources are values of their own; null texts have no tokens; a document without
-tokens is taken if its leaf has any budget left when it is reached; repeated rows count each; weights that aren't given are 1, weights of
+tokens is taken if it is reached within its leaf's budget, and a leaf without any tokens has none and gives nothing; repeated rows count each; weights that aren't given are 1, weights of
 0 get nothing; an empty table gives an empty result; further columns are kept by ``mix``, but for
 those whose names begin with ``_mix_``, which are its own.
 """

@@ -317,7 +317,10 @@ def test_odd_documents_have_results(spark):
     dedup = {(r.doc_id, r.n_words): r for r in substring_dedup.substring_dedup(docs).collect()}
     assert dedup[7, 60_000].n_removed == 60_000 - 997
     assert dedup[0, 0].kept_sha256 == hashlib.sha256(b"").hexdigest()
-    assert mixing.mix(docs, mixing.domain_of_source(5), budget_share=2.0, epochs=1).count() == n
+    # A leaf without tokens has no budget, and none of its documents are taken.
+    leaves = docs.select(mixing.domain_of_source(5).alias("d"), "lang", "source", (F.length(F.coalesce(F.trim(F.translate("text", "\n\t", "  ")), F.lit(""))) > 0).alias("some"))
+    held = leaves.groupBy("d", "lang", "source").agg(F.count(F.lit(1)).alias("n"), F.bool_or("some").alias("some")).where("some").agg(F.sum("n")).first()[0]
+    assert mixing.mix(docs, mixing.domain_of_source(5), budget_share=2.0, epochs=1).count() == held
     languages = {r.doc_id: r.lang_pred for r in language_id.language_id(docs, fold % 3 == 1).collect()}
     assert languages[0] == languages[1] == languages[2] == "und"
     assert quality_gam.quality_scores(docs, labels, fold % 5 == 0).count() == n
