@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,8 +42,10 @@ def discard(df: DataFrame) -> None:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop the shuffle files of finished steps: it acts when their owners are collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first round finalises the second collects
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
