@@ -33,7 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = jaccard_join(docs, n=SHINGLE, percent=SIMILAR_PERCENT)
     gone = found.where("component_id <> doc_id").select("doc_id").distinct()
     # A sort-merge join at every size: what goes grows with the corpus.
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each leaf's prefix of one seeded epoch, so that no document comes twice."""
-    return mix(docs, domain_of_source(5), budget_share=MIX_SHARE, epochs=1, seed="7", weights=MIX_WEIGHTS).select(*docs.columns)
+    return mix(docs, domain_of_source(5), budget_share=MIX_SHARE, epochs=1, seed="7", weights=MIX_WEIGHTS, figures=False)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _OWN: dict[str, str] = {}
 
@@ -57,6 +59,13 @@ def words(text) -> F.Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
 
 
+def map_rows(df: DataFrame, function, like: DataFrame) -> DataFrame:
+    """mapInArrow with the columns of ``like`` as result; names of columns may hold dots and spaces."""
+    plain = lambda names: [c if re.fullmatch(r"\w+", c) else f"_column{i}_" for i, c in enumerate(names)]
+    fields = [T.StructField(n, f.dataType, True) for n, f in zip(plain(like.columns), like.schema.fields, strict=True)]
+    return df.toDF(*plain(df.columns)).mapInArrow(function, T.StructType(fields)).toDF(*like.columns)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names for helper columns that df hasn't."""
     taken, out = {c.lower() for c in df.columns}, []

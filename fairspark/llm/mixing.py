@@ -14,7 +14,7 @@ ordered row by row; what is joined back to the documents is where each leaf ends
 Defined cases: null domains, languages and sources are values of their own; null texts have no tokens; a document without
 tokens is taken if it is reached within its leaf's budget, and a leaf without any tokens has none and gives nothing; repeated rows count each; weights that aren't given are 1, weights of
 0 get nothing; an empty table gives an empty result; further columns are kept by ``mix``, but for
-those whose names begin with ``_mix_``, which are its own.
+those whose names begin with ``_mix_`` beside its own figures, which are named so.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fairspark.llm._spark import materialise, words
+from fairspark.llm._spark import fresh, materialise, words
 
 LEVELS = ("_mix_domain", "_mix_lang", "_mix_source")
 
@@ -79,14 +79,17 @@ def leaf_budgets(leaves: DataFrame, budget: float, epochs: int, weights: tuple[M
 
 def mix(
     docs: DataFrame, domain: Column, budget_share: float = 0.7, epochs: int = 2, seed: str = "0", slices: int = 4096, tokens: Column | None = None,
-    weights: tuple[Mapping[str, int], Mapping[str, int], Mapping[str, int]] = ({}, {}, {}), lang: str = "lang", source: str = "source", key: str = "doc_id",
+    weights: tuple[Mapping[str, int], Mapping[str, int], Mapping[str, int]] = ({}, {}, {}), lang: str = "lang", source: str = "source", key: str = "doc_id", figures: bool = True,
 ) -> DataFrame:
     """The rows of docs, all columns, that each leaf's prefix takes, with ``_mix_domain``, ``_mix_tokens`` and ``_mix_epoch`` (from 0).
 
-    budget_share: the budget over all tokens of docs; tokens: a column of whole numbers, by default words of text.
+    budget_share: the budget over all tokens of docs; tokens: a column of whole numbers, by default words of text; without
+    figures the result has just the columns of docs.
     """
     count = F.size(words(F.col("text"))) if tokens is None else tokens
-    docs = docs.drop(*(c for c in docs.columns if c.startswith("_mix_")))
+    names = docs.columns
+    own = [c for c in names if c.startswith("_mix_")]
+    docs = docs.withColumnsRenamed(dict(zip(own, fresh(docs, *(f"in{c}" for c in own)), strict=True)))
     rows = docs.withColumns({"_mix_domain": domain, "_mix_lang": F.col(lang), "_mix_source": F.col(source), "_mix_tokens": count.cast("long"), "_mix_key": F.coalesce(F.col(key).cast("string"), F.lit(""))})
     rows = rows.withColumn("_mix_epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
     rows = rows.withColumn("_mix_place", F.md5(F.concat_ws(":", F.lit(seed), F.col("_mix_epoch").cast("string"), F.col("_mix_key"))))
@@ -114,7 +117,8 @@ def mix(
     ends = materialise(ends, "mix-ends")
     # Only the leaves' ends are joined to the documents; texts move only where leaves are too many to broadcast.
     joined = rows.alias("d").join(ends.alias("e"), same("d", "e", LEVELS)).where(F.struct("_mix_epoch", "_mix_place") <= F.col("_mix_end"))
-    return joined.select(*(F.col(f"d.`{c}`") for c in docs.columns), *(F.col(f"d.{c}") for c in ("_mix_domain", "_mix_tokens", "_mix_epoch")))
+    kept = [F.col(f"d.`{c}`").alias(name) for c, name in zip(docs.columns, names, strict=True) if not figures or name not in own]
+    return joined.select(*kept, *(F.col(f"d.{c}") for c in ("_mix_domain", "_mix_tokens", "_mix_epoch") if figures))
 
 
 def domain_of_source(size: int = 5) -> Column:

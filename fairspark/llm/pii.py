@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fairspark.llm._spark import fresh, materialise
+from fairspark.llm._spark import fresh, map_rows, materialise
 
 KINDS = ("email", "ip", "card", "phone", "term")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -228,6 +228,6 @@ def sanitise(docs: DataFrame, reach: int = 60, min_support: int = 3, generalise_
     # Only texts with a digit or an @ can have spans; the others don't move.
     may = F.coalesce(F.col("text").rlike("[0-9@]"), F.lit(False))
     joined = docs.where(may).withColumn(key, F.md5("text")).join(by_text.hint("merge"), F.col(key) == F.col(by_key), "left")
-    out = joined.select(*(F.col(f"`{c}`") for c in names), base, terms).mapInArrow(partial(_clean, remove_at=remove_at), docs.schema)
+    out = map_rows(joined.select(*(F.col(f"`{c}`") for c in names), base, terms), partial(_clean, remove_at=remove_at), docs)
     out = out.withColumn("n_chars", F.length("text").cast(kinds["n_chars"])) if "n_chars" in names else out
     return out.union(docs.where(~may))

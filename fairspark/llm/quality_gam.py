@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fairspark.llm._spark import map_rows
 from fairspark.llm._text import chunked, shingle_sets, words_of
 
 SAMPLE = 20_000
@@ -222,4 +223,4 @@ def quality_scores(docs: DataFrame, labels: DataFrame, held_out: F.Column, sampl
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = 0.3) -> DataFrame:
     """The rows of docs, all columns, with a score of at least the threshold; learns from all labels."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample))
-    return docs.mapInArrow(partial(_scored, model=model, least=threshold), docs.schema)
+    return map_rows(docs, partial(_scored, model=model, least=threshold), docs)

@@ -346,6 +346,19 @@ def test_empty_tables(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_stages_take_odd_documents(spark):
+    docs = odd_documents(spark).withColumns({"_mix_tokens": F.lit(1), "_mix_foo": F.lit("x"), "_pii_key": F.lit(2), "a.b": F.lit(3)})
+    columns = docs.columns
+    for (name, stage), empty in ((s, e) for e in (False, True) for s in corpus_pipeline.STAGES[:-1]):
+        own = docs.limit(0) if empty else docs
+        out = corpus_pipeline.materialise(stage(spark, own, SF), f"odd-{name}")
+        assert out.columns == columns, name
+        assert out.count() <= own.count()
+        if not empty and name in ("mixture", "personal_data"):
+            assert {r["_mix_tokens"] for r in out.collect()} == {1}
+    assert corpus_pipeline.packing(spark, docs, SF).count() >= docs.count()
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = docs
