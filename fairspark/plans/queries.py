@@ -137,7 +137,15 @@ def contingency_lineitem(spark, d):
     return contingency.contingency(lineitem_view(spark, d), "g")
 
 
-@_register("three_sets_distribution")
+@_register(
+    "three_sets_distribution",
+    f"""WITH v AS ({VIEW_SQL['orders']}), q AS (SELECT *, (id * 2654435761 + 42 * 40503) % 4294967296 AS h FROM v),
+r AS (SELECT *, row_number() OVER (PARTITION BY g, y ORDER BY h, id) AS rn, count(*) OVER (PARTITION BY g, y) AS n FROM q),
+s AS (SELECT g, y, p, CASE WHEN rn <= floor(0.8e0 * n) THEN 'train' WHEN rn <= floor(0.9e0 * n) THEN 'val' ELSE 'test' END AS part FROM r),
+u AS (SELECT 'a_train_set' AS "set", g AS "group", y::VARCHAR AS target FROM s WHERE part = 'train' UNION ALL SELECT 'b_predicted_set', g, y::VARCHAR FROM s WHERE part = 'val' UNION ALL SELECT 'c_predictions_set', g, p::VARCHAR FROM s WHERE part = 'val'),
+c AS (SELECT "set", "group", target, count(*) AS n FROM u GROUP BY "set", "group", target)
+SELECT "set", "group", target, n, n::DOUBLE / sum(n) OVER (PARTITION BY "set") AS share FROM c""",
+)
 def three_sets_distribution(spark, d):
     rows = encode.stratified_split(orders_view(spark, d), "id", ["g", "y"])
     return distribution.three_sets(rows.where("part = 'train'"), rows.where("part = 'val'"), "g")
