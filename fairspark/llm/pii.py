@@ -1,14 +1,18 @@
 """Personal data: pattern spans, and terms of the corpus that disclose them.
 
-Base spans come from patterns (email, ip, card, phone).  Then, over the whole corpus, it is counted in how many
-distinct texts each term occurs near each protected entity (a matched value), and in how many anywhere.  With
-IC(e) = -log P(e) and PMI(e; t) = log P(e, t) / (P(e) P(t)), a term discloses the share PMI / IC of the entity's
-information: 1 where the term never occurs without it.  Terms near the entity whose share reaches a limit become spans
-of kind ``term`` in the documents that hold the entity: from ``remove_at`` they are removed, from ``generalise_at`` they
-are replaced by a class.  Terms need ``min_support`` distinct texts with the entity, so that chance neighbours stay.
+Base spans come from patterns (email, ip, card, phone).  Then, over the whole corpus, it is counted how many documents
+hold each term, each protected entity (a matched value), and both, anywhere in the text.  With IC(e) = -log P(e) and
+PMI(e; t) = log P(e, t) / (P(e) P(t)), a term discloses the share PMI / IC of the entity's information: 1 where the term
+never occurs without it.  Every place of a term whose share reaches a limit becomes a span of kind ``term`` in the
+documents that hold the entity: from ``remove_at`` they are removed, from ``generalise_at`` they are replaced by a class.
+Terms need ``min_support`` distinct texts with the entity, so that chance neighbours stay.
+
+A term is a run of letters, digits and underscores, in any case; only runs of one or two ASCII letters are not judged.
 
 Scale: patterns run in one pass over the texts, in Arrow batches; counting terms is a second pass in which each task
-sums its own counts before the shuffle; counts are joined by key.  No entity, term or document list is collected.
+sums its own counts before the shuffle; distinct terms and entities of a text are joined by key.  Terms too frequent to
+reach the limit with any entity of a text leave before they are paired (a bound, which loses none), and the entities of
+one text alone, whose counts are the same, are paired as one.  No entity, term or document list is collected.
 
 Defined cases: a null text is empty and has no spans; null doc_ids stay; rows that repeat a text count once in the
 corpus figures and each get their spans; offsets are code points; further columns are kept by ``sanitise`` and not read.
@@ -34,7 +38,8 @@ _IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _HINT = re.compile(r"[0-9@]")
-_WORD = re.compile(r"[^\W\d_]{4,}")
+_TERM = re.compile(r"\w+")
+_SHORT = re.compile(r"[A-Za-z]{1,2}")
 _DIGITS = re.compile(r"[^0-9]")
 
 
@@ -88,111 +93,144 @@ def entity(kind: int, value: str) -> str:
     return f"{KINDS[kind]}:{_DIGITS.sub('', value) if kind in (2, 3) else value.lower()}"
 
 
-def _nearby(text: str, start: int, end: int, reach: int, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Places of terms within ``reach`` code points of a span that touch no pattern span."""
-    lo, hi = max(0, start - reach), min(len(text), end + reach)
-    lo = next((i for i in range(lo, max(lo, start)) if i == 0 or not text[i - 1].isalpha()), start)
-    hi = next((i for i in range(hi, min(hi, end), -1) if i == len(text) or not text[i].isalpha()), end)
-    return [(m.start(), m.end()) for m in _WORD.finditer(text, lo, hi) if not any(m.start() < b and a < m.end() for a, b in taken)]
-
-
-_FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, spans string, text_md5 string, near array<struct<entity: string, term: string, start: int, end: int>>"
+def _terms(text: str) -> set[str]:
+    return {w.lower() for w in set(_TERM.findall(text)) if not _SHORT.fullmatch(w)}
 
 
-def _find(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[pa.RecordBatch]:
-    """Pattern spans of each row and, where there are any, the entities (term null) and the terms near them."""
+def _places(text: str, spans: list[tuple[int, int, int]]) -> dict[str, list[tuple[int, int]]]:
+    """All terms of a text, each with its places that touch no pattern span."""
+    taken: list[list[int]] = []
+    for a, b in sorted((a, b) for _, a, b in spans):
+        if taken and a <= taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], b)
+        else:
+            taken.append([a, b])
+    out: dict[str, list[tuple[int, int]]] = {}
+    at = 0
+    for m in _TERM.finditer(text):
+        a, b = m.span()
+        if _SHORT.fullmatch(m[0]):
+            continue
+        while at < len(taken) and taken[at][1] <= a:
+            at += 1
+        places = out.setdefault(m[0].lower(), [])
+        if at == len(taken) or b <= taken[at][0]:
+            places.append((a, b))
+    return out
+
+
+_FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, spans string, text_md5 string, entities array<string>, terms array<string>, starts array<array<int>>, ends array<array<int>>"
+
+
+def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pattern spans of each row and, where there are any, the distinct entities and terms of the text, with the terms' places."""
+    lists = pa.list_(pa.list_(pa.int32()))
     schema = pa.schema(
         [("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS[:4]), ("spans", pa.string()), ("text_md5", pa.string())]
-        + [("near", pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))]
+        + [("entities", pa.list_(pa.string())), ("terms", pa.list_(pa.string())), ("starts", lists), ("ends", lists)]
     )
     for batch in batches:
         rows = []
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             text = text or ""
             spans = base_spans(text)
-            row = {"doc_id": doc, "spans": ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans), "text_md5": None, "near": []}
+            row = {"doc_id": doc, "spans": ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans), "text_md5": None}
             for kind in range(4):
                 row[f"n_{KINDS[kind]}"] = sum(k == kind for k, _, _ in spans)
             if spans:
                 row["text_md5"] = hashlib.md5(text.encode("utf-8", "surrogatepass"), usedforsecurity=False).hexdigest()
-                taken = [(a, b) for _, a, b in spans]
-                for kind, a, b in spans:
-                    e = entity(kind, text[a:b])
-                    row["near"].append({"entity": e, "term": None, "start": a, "end": b})
-                    row["near"] += [{"entity": e, "term": text[x:y].lower(), "start": x, "end": y} for x, y in _nearby(text, a, b, reach, taken)]
+                row["entities"] = sorted({entity(kind, text[a:b]) for kind, a, b in spans})
+                places = _places(text, spans)
+                row["terms"] = list(places)
+                row["starts"] = [[a for a, _ in x] for x in places.values()]
+                row["ends"] = [[b for _, b in x] for x in places.values()]
             rows.append(row)
         yield pa.RecordBatch.from_pylist(rows, schema)
 
 
-#: Distinct terms that a counting task holds before it sends its sums on, and terms that may be sent to every task.
-HELD, WANTED = 200_000, 100_000
+#: Distinct terms that a counting task holds before it sends its sums on.
+HELD = 200_000
 
 
-def _term_counts(batches: Iterator[pa.RecordBatch], wanted) -> Iterator[pa.RecordBatch]:
+def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(term, n): documents that have the term, summed in the task."""
     counts: Counter = Counter()
-    only = wanted.value if wanted is not None else None
 
     def sums() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
 
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            found = set(_WORD.findall(text.lower()))
-            counts.update(found if only is None else found & only)
+            counts.update(_terms(text))
             if len(counts) >= HELD:
                 yield sums()
                 counts.clear()
     yield sums()
 
 
-def pattern_spans(docs: DataFrame, reach: int = 60) -> DataFrame:
-    """A row for each of docs(doc_id, text): counts and spans of the patterns, and what stands near them."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(partial(_find, reach=reach), _FOUND)
+def pattern_spans(docs: DataFrame) -> DataFrame:
+    """A row for each of docs(doc_id, text): counts and spans of the patterns, and the terms of texts that have any."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_find, _FOUND)
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame, min_support: int = 3, generalise_at: float = 0.8) -> DataFrame:
-    """(entity, term, disclosure) of the terms that reach the limit; found: ``pattern_spans`` of docs, written down.
+def disclosing_terms(docs: DataFrame, texts: DataFrame, total: int, min_support: int = 3, generalise_at: float = 0.8) -> DataFrame:
+    """(text_md5, term, disclosure) of the terms that reach the limit with an entity of the text.
 
-    Counts are of documents; min_support is of distinct texts, so that copies of one text disclose nothing alone.
+    texts: the distinct texts that hold entities, with the number n of their rows; total: rows of docs.  Counts are of
+    documents; min_support is of distinct texts, so that copies of one text disclose nothing alone.
     """
-    spark = docs.sparkSession
-    near = found.where("text_md5 IS NOT NULL").select("doc_id", "text_md5", F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("x"))
-    by_text = near.groupBy("text_md5", "x.entity", "x.term").agg(F.count(F.lit(1)).alias("n"))
-    counts = materialise(by_text.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("support")), "pii-counts")
-    pairs = counts.where(F.col("term").isNotNull() & (F.col("support") >= min_support))
-    entities = counts.where("term IS NULL").select("entity", F.col("n_both").alias("n_entity"))
-    pairs = materialise(pairs.join(entities, "entity"), "pii-pairs")
-    wanted = pairs.select("term").distinct()
-    few = wanted.limit(WANTED + 1).toPandas()["term"]
-    held = spark.sparkContext.broadcast(frozenset(few)) if len(few) <= WANTED else None
-    if not len(few):
-        return pairs.select("entity", "term", F.lit(1.0).alias("disclosure"))
-    total = float(found.count())
-    spread = docs.select("text").where("text IS NOT NULL").mapInArrow(partial(_term_counts, wanted=held), "term string, n long")
-    if held is None:
-        spread = spread.join(wanted, "term", "left_semi")
-    spread = spread.groupBy("term").agg(F.sum("n").alias("n_term"))
-    ic = F.greatest(F.log(F.lit(max(total, 2.0)) / F.col("n_entity")), F.lit(1e-9))
-    pmi = F.log(F.col("n_both") * F.lit(total) / (F.col("n_entity") * F.col("n_term")))
-    return pairs.join(spread, "term").select("entity", "term", F.least(F.lit(1.0), pmi / ic).alias("disclosure")).where(F.col("disclosure") >= generalise_at)
-
-
-def pii_spans(docs: DataFrame, reach: int = 60, min_support: int = 3, generalise_at: float = 0.8) -> DataFrame:
+    n_all = float(max(total, 1))
+    # PMI / IC reaches the limit g only if n_both / n_term >= P(e) ** (1 - g), and n_both <= n_entity.
+    most = lambda n: n * F.pow(n_all / n, F.lit(1.0 - generalise_at)) * (1 + 1e-9)
+    named = texts.select("text_md5", "n", F.explode("entities").alias("entity"))
+    held = named.groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count(F.lit(1)).alias("n_texts"))
+    own = F.when(F.col("n_texts") == 1, F.concat(F.lit("text:"), "text_md5")).otherwise(F.col("entity"))
+    named = materialise(named.join(held, "entity").select("text_md5", "n", own.alias("entity"), "n_entity").distinct(), "pii-entities")
+    bound = named.groupBy("text_md5").agg(F.max(most(F.col("n_entity"))).alias("most"))
+    spread = docs.select("text").where("text IS NOT NULL").mapInArrow(_term_counts, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
+    rare = texts.join(bound, "text_md5").select("text_md5", "most", F.explode("terms").alias("term")).join(spread, "term").where("n_term <= most")
+    pairs = rare.join(named, "text_md5").where(F.col("n_term") <= most(F.col("n_entity")))
+    pairs = materialise(pairs.select("text_md5", "entity", "term", "n", "n_entity", "n_term"), "pii-pairs")
+    counts = pairs.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("support"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term"))
+    counts = counts.where(F.col("support") >= min_support)
+    rate = F.col("n_both") / F.col("n_term")
+    ic = F.greatest(F.log(F.lit(max(n_all, 2.0)) / F.col("n_entity")), F.lit(1e-9))
+    pmi = F.log(rate * F.lit(max(n_all, 2.0)) / F.col("n_entity"))
+    told = counts.select("entity", "term", F.least(F.lit(1.0), pmi / ic).alias("disclosure")).where(F.col("disclosure") >= generalise_at)
+    return pairs.join(told, ["entity", "term"]).groupBy("text_md5", "term").agg(F.max("disclosure").alias("disclosure"))
+
+
+_PLACED = "text_md5 string, terms array<struct<start: int, end: int, disclosure: double>>"
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every place of the told terms of each text, in order."""
+    schema = pa.schema([("text_md5", pa.string()), ("terms", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("disclosure", pa.float64())])))])
+    for batch in batches:
+        rows = []
+        for md5, terms, starts, ends, told in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            share = {x["term"]: x["disclosure"] for x in told}
+            places = sorted((a, b, share[t]) for t, x, y in zip(terms, starts, ends, strict=True) if t in share for a, b in zip(x, y, strict=True))
+            rows.append({"text_md5": md5, "terms": [{"start": a, "end": b, "disclosure": d} for a, b, d in places]})
+        yield pa.RecordBatch.from_pylist(rows, schema)
+
+
+def pii_spans(docs: DataFrame, min_support: int = 3, generalise_at: float = 0.8) -> DataFrame:
     """doc_id, counts, base (pattern spans), terms (array of start, end, disclosure) and text_md5 of each row of docs.
 
     text_md5 is null where a text has no pattern span; then there are no terms.
     """
-    found = materialise(pattern_spans(docs, reach), "pii-found")
-    told = disclosing_terms(docs, found, min_support, generalise_at)
+    found = materialise(pattern_spans(docs), "pii-found")
     some = found.where("text_md5 IS NOT NULL")
-    near = some.groupBy("text_md5").agg(F.first("near").alias("near")).select("text_md5", F.explode("near").alias("x")).select("text_md5", "x.*").where("term IS NOT NULL")
-    each = near.join(told, ["entity", "term"]).groupBy("text_md5", "start", "end").agg(F.max("disclosure").alias("disclosure"))
-    terms = each.groupBy("text_md5").agg(F.sort_array(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms"))
+    texts = materialise(some.groupBy("text_md5").agg(F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in ("entities", "terms", "starts", "ends"))), "pii-texts")
+    told = disclosing_terms(docs, texts, found.count(), min_support, generalise_at)
+    told = told.groupBy("text_md5").agg(F.collect_list(F.struct("term", "disclosure")).alias("told"))
+    terms = texts.join(told, "text_md5").select("text_md5", "terms", "starts", "ends", "told").mapInArrow(_placed, _PLACED)
     none = F.array().cast("array<struct<start: int, end: int, disclosure: double>>")
     columns = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", F.col("spans").alias("base"), "text_md5"]
     clean = found.where("text_md5 IS NULL").select(*columns, none.alias("terms"))
-    return some.join(terms, "text_md5", "left").select(*columns, F.coalesce("terms", none).alias("terms")).union(clean)
+    rows = some.drop("entities", "terms", "starts", "ends")
+    return rows.join(terms, "text_md5", "left").select(*columns, F.coalesce("terms", none).alias("terms")).union(clean)
 
 
 def _clean(batches: Iterator[pa.RecordBatch], remove_at: float) -> Iterator[pa.RecordBatch]:
@@ -216,14 +254,14 @@ def _clean(batches: Iterator[pa.RecordBatch], remove_at: float) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if i == text_at else batch.column(i) for i in range(len(names))], names)
 
 
-def sanitise(docs: DataFrame, reach: int = 60, min_support: int = 3, generalise_at: float = 0.8, remove_at: float = 1.0) -> DataFrame:
+def sanitise(docs: DataFrame, min_support: int = 3, generalise_at: float = 0.8, remove_at: float = 1.0) -> DataFrame:
     """docs with all their columns and rows, personal data in text replaced by [KIND], disclosing terms by [TERM] or nothing.
 
     n_chars, where there is such a column, follows a text that may hold personal data.
     """
     names, kinds = docs.columns, dict(docs.dtypes)
     key, by_key, base, terms = fresh(docs, "_pii_key", "_pii_by", "_pii_base", "_pii_terms")
-    spans = pii_spans(docs, reach, min_support, generalise_at).where("text_md5 IS NOT NULL")
+    spans = pii_spans(docs, min_support, generalise_at).where("text_md5 IS NOT NULL")
     by_text = spans.groupBy(F.col("text_md5").alias(by_key)).agg(F.first("base").alias(base), F.first("terms").alias(terms))
     # Only texts with a digit or an @ can have spans; the others don't move.
     may = F.coalesce(F.col("text").rlike("[0-9@]"), F.lit(False))

@@ -305,6 +305,16 @@ def test_disclosing_terms_and_sanitising(spark):
     assert len(clean) == len(rows)
 
 
+def test_terms_of_whole_documents(spark):
+    rows = [(i, f"Kolumbus came. {'more filler ' * 60} Mail ann@site.org now. {'more filler ' * 60} Badge x7 for kolumbus, case {i}.") for i in range(5)] + [(10 + i, f"Came more filler mail now badge for case {i}.") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in pii.pii_spans(docs).where("doc_id < 10").collect():
+        text = rows[r.doc_id][1]
+        assert [text[t["start"] : t["end"]] for t in r.terms] == ["Kolumbus", "x7", "kolumbus"]
+    for r in pii.sanitise(docs).where("doc_id < 10").collect():
+        assert not re.search("kolumbus|x7", r.text.lower())
+
+
 def test_odd_documents_have_results(spark):
     docs = odd_documents(spark)
     n = docs.count()
