@@ -5,7 +5,9 @@ hold each term, each protected entity (a matched value), and both, anywhere in t
 PMI(e; t) = log P(e, t) / (P(e) P(t)), a term discloses the share PMI / IC of the entity's information: 1 where the term
 never occurs without it.  Every place of a term whose share reaches a limit becomes a span of kind ``term`` in the
 documents that hold the entity: from ``remove_at`` they are removed, from ``generalise_at`` they are replaced by a class.
-Terms need ``min_support`` distinct texts with the entity, so that chance neighbours stay.
+A pair met in fewer than ``min_support`` distinct texts is judged by a smoothed P(e | t): each text that is missing counts as
+one that has the term, and the entity at its rate in the corpus.  Rare terms of an entity met once are generalised so, and
+chance neighbours stay.
 
 A term is a run of letters, digits and underscores, in any case; only runs of one or two ASCII letters are not judged.
 
@@ -177,10 +179,11 @@ def disclosing_terms(docs: DataFrame, texts: DataFrame, total: int, min_support:
     """(text_md5, term, disclosure) of the terms that reach the limit with an entity of the text.
 
     texts: the distinct texts that hold entities, with the number n of their rows; total: rows of docs.  Counts are of
-    documents; min_support is of distinct texts, so that copies of one text disclose nothing alone.
+    documents; min_support is of distinct texts, so that copies of one text count as one.
     """
     n_all = float(max(total, 1))
-    # PMI / IC reaches the limit g only if n_both / n_term >= P(e) ** (1 - g), and n_both <= n_entity.
+    # PMI / IC reaches the limit g only if n_both / n_term >= P(e) ** (1 - g), and n_both <= n_entity.  Smoothing moves the
+    # rate towards P(e), so that the bound holds with it.
     most = lambda n: n * F.pow(n_all / n, F.lit(1.0 - generalise_at)) * (1 + 1e-9)
     named = texts.select("text_md5", "n", F.explode("entities").alias("entity"))
     held = named.groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count(F.lit(1)).alias("n_texts"))
@@ -192,8 +195,9 @@ def disclosing_terms(docs: DataFrame, texts: DataFrame, total: int, min_support:
     pairs = rare.join(named, "text_md5").where(F.col("n_term") <= most(F.col("n_entity")))
     pairs = materialise(pairs.select("text_md5", "entity", "term", "n", "n_entity", "n_term"), "pii-pairs")
     counts = pairs.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("support"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term"))
-    counts = counts.where(F.col("support") >= min_support)
-    rate = F.col("n_both") / F.col("n_term")
+    # A missing text weighs as much as the pair's others do.
+    missing = F.greatest(F.lit(0), min_support - F.col("support")) * F.col("n_both") / F.col("support")
+    rate = (F.col("n_both") + missing * F.col("n_entity") / n_all) / (F.col("n_term") + missing)
     ic = F.greatest(F.log(F.lit(max(n_all, 2.0)) / F.col("n_entity")), F.lit(1e-9))
     pmi = F.log(rate * F.lit(max(n_all, 2.0)) / F.col("n_entity"))
     told = counts.select("entity", "term", F.least(F.lit(1.0), pmi / ic).alias("disclosure")).where(F.col("disclosure") >= generalise_at)

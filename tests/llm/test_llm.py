@@ -315,6 +315,15 @@ def test_terms_of_whole_documents(spark):
         assert not re.search("kolumbus|x7", r.text.lower())
 
 
+def test_terms_of_entities_met_once(spark):
+    rows = [(0, "Some common words by Kolumbus, mail ann@site.org now.")] * 2 + [(1, "Some common words by Magellan.")] * 2 + [(i, "Some common words, mail now.") for i in range(2, 1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in pii.pii_spans(docs).where("n_email > 0").collect():
+        assert [rows[0][1][t["start"] : t["end"]] for t in r.terms] == ["Kolumbus"]
+        assert 0.8 <= r.terms[0]["disclosure"] < 1
+    assert {r.text for r in pii.sanitise(docs).where("doc_id = 0").collect()} == {"Some common words by [TERM], mail [EMAIL] now."}
+
+
 def test_odd_documents_have_results(spark):
     docs = odd_documents(spark)
     n = docs.count()
