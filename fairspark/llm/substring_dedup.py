@@ -16,7 +16,7 @@ a passage of a third of all documents costs a shard one entry a chunk, not one a
 entries; the number of shards grows with the corpus.  Hashes of probes have 38 bits within a shard and of windows 56.
 
 Defined cases: null or empty texts and texts of fewer than ``window`` words keep all their words; rows that repeat a
-doc_id count as one document; rows without doc_id come after all others; an empty table gives an empty result; further
+doc_id count as one document; each row without doc_id is a document, after all others; an empty table gives an empty result; further
 columns are not read.
 """
 
@@ -29,14 +29,13 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fairspark.llm._spark import discard, materialise, release
 from fairspark.llm._text import chunked, grams, mix64, stream64, words_of
 
 CHUNK, SHARD = 1 << 21, 1_000_000
-_LAST = np.iinfo(np.int64).max
 _PROBE = np.uint64((1 << 38) - 1)
 
 
@@ -78,7 +77,7 @@ def _probes(batches: Iterator[pa.RecordBatch], window: int, shards: int, chunk_b
             long = np.flatnonzero(counts >= window)
             if not len(long):
                 continue
-            ids = part.column(0).fill_null(_LAST).to_numpy(zero_copy_only=False)[long]
+            ids = part.column(0).to_numpy(zero_copy_only=False)[long]
             text_hashes = part.column(2).to_numpy(zero_copy_only=False)[long]
             n = counts[long] - block + 1
             base = np.cumsum(n) - n
@@ -194,15 +193,17 @@ def _candidates(group: pa.Table, window: int, shards: int) -> pa.Table:
     for k in range(span):
         hashed += value[start + k] * weights[k]
     hashed = mix64(hashed)
-    # Of equal windows in the chunk the first is sent; the others repeat it.
+    # Of equal windows in the chunk the first is sent, with those at its place in rows of the same doc_id; the others repeat it.
     place = start - base[doc]
     order = np.lexsort((place, ids[doc], hashed))
     new = np.concatenate([[True], hashed[order][1:] != hashed[order][:-1]])
-    again = np.sort(order[~new])
+    first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    repeats = (ids[doc[order]] != ids[doc[first]]) | (place[order] != place[first])
+    again = np.sort(order[repeats])
     kept_docs, index = np.unique(doc, return_inverse=True)
     local = np.array([len(kept_docs), len(again)], "<i8").tobytes() + ids[kept_docs].tobytes() + hashes[kept_docs].tobytes() + index[again].astype("<u4").tobytes() + place[again].astype("<u4").tobytes()
     rows = [(chunk, 1, chunk % shards, local)]
-    sent = np.sort(order[new])
+    sent = np.sort(order[~repeats])
     shard = (hashed[sent] >> np.uint64(56)) + (hashed[sent] >> np.uint64(40)) * np.uint64(256)
     shard %= np.uint64(shards)
     order, cuts = by_shard(shard)
@@ -249,7 +250,7 @@ def _first_occurrences(group: pa.Table) -> pa.Table:
 
 
 def _ranges(group: pa.Table, window: int) -> pa.Table:
-    """(doc_id, text_hash, starts, ends): the ranges of words of a chunk's documents that repeated windows cover."""
+    """(key, text_hash, starts, ends): the ranges of words of a chunk's documents that repeated windows cover."""
     rows = list(zip(*(group.column(x).to_pylist() for x in ("role", "shard", "payload")), strict=True))
     local = next(p for role, _, p in rows if role)
     docs, n = (int(x) for x in np.frombuffer(local, "<i8", 2))
@@ -269,7 +270,7 @@ def _ranges(group: pa.Table, window: int) -> pa.Table:
     owner, begins = index[begins], place[begins]
     some, first = np.unique(owner, return_index=True)
     cut = lambda x: pa.ListArray.from_arrays(pa.array(np.append(first, len(owner)).astype(np.int32)), pa.array(x.astype(np.int32)))
-    return pa.table({"doc_id": pa.array(ids[some], mask=ids[some] == _LAST), "text_hash": pa.array(hashes[some]), "starts": cut(begins), "ends": cut(ends)})
+    return pa.table({"key": pa.array(ids[some]), "text_hash": pa.array(hashes[some]), "starts": cut(begins), "ends": cut(ends)})
 
 
 def _removed(batches: Iterator[pa.RecordBatch], keep_text: bool) -> Iterator[pa.RecordBatch]:
@@ -295,21 +296,36 @@ def _windower(window: int, shards: int):
     return lambda group: _candidates(group, window, shards)
 
 
+def with_keys(docs: DataFrame) -> DataFrame:
+    """(key, doc_id, text, h) of docs(doc_id, text): h is xxhash64 of text; key is doc_id or, without one, a number after all.
+
+    Rows of equal text without doc_id are numbered, so that each is a document; which has which number changes no result.
+    """
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
+    most, unnamed = keyed.agg(F.max("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
+    named = keyed.select(F.col("doc_id").alias("key"), "doc_id", "text", "h")
+    if not unnamed:
+        return named
+    after = min(max(most or 0, 0), 1 << 62)
+    nth = F.row_number().over(Window.partitionBy("h", "text").orderBy("h"))
+    key = F.lit(after + 1) + F.pmod(F.xxhash64("h", nth), F.lit((1 << 63) - 1 - after))
+    return named.where("doc_id IS NOT NULL").union(keyed.where("doc_id IS NULL").select(key.alias("key"), "doc_id", "text", "h"))
+
+
 def repeated_ranges(docs: DataFrame, window: int = 20, chunk_bytes: int = CHUNK) -> DataFrame:
-    """(doc_id, text_hash, starts, ends) of documents of docs(doc_id, text) that have repeated windows; text_hash: xxhash64 of text."""
+    """(key, text_hash, starts, ends) of documents of docs, as of ``with_keys``, that have repeated windows."""
     if window < 2 or window % 2:
         raise ValueError("window must be even")
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(12, math.ceil(size / 6 / SHARD))
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
-    probes = keyed.mapInArrow(partial(_probes, window=window, shards=shards, chunk_bytes=chunk_bytes), "shard long, chunk long, role int, payload binary")
+    probes = docs.select("key", "text", "h").mapInArrow(partial(_probes, window=window, shards=shards, chunk_bytes=chunk_bytes), "shard long, chunk long, role int, payload binary")
     anchors = materialise(probes.groupBy("shard").applyInArrow(_anchors, _RETURN), "anchors")
     release(spark)
     windows = anchors.groupBy("chunk").applyInArrow(_windower(window, shards), _RETURN)
     later = windows.groupBy("shard").applyInArrow(_first_occurrences, _RETURN)
-    ranges = later.groupBy("chunk").applyInArrow(lambda group: _ranges(group, window), "doc_id long, text_hash long, starts array<int>, ends array<int>")
-    ranges = materialise(ranges.groupBy("doc_id", "text_hash").agg(F.first("starts").alias("starts"), F.first("ends").alias("ends")), "ranges")
+    ranges = later.groupBy("chunk").applyInArrow(lambda group: _ranges(group, window), "key long, text_hash long, starts array<int>, ends array<int>")
+    ranges = materialise(ranges.groupBy("key", "text_hash").agg(F.first("starts").alias("starts"), F.first("ends").alias("ends")), "ranges")
     discard(anchors)
     release(spark)
     return ranges
@@ -320,7 +336,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, keep_text: bool = False,
 
     chunk_bytes: text that is handled together (at least one text).
     """
-    ranges = repeated_ranges(docs, window, chunk_bytes).hint("merge")
-    keyed = docs.select(F.col("doc_id").cast("long").alias("id"), "text", F.xxhash64("text").alias("h"))
-    joined = keyed.join(ranges, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("text_hash")), "left").select("id", "text", "starts", "ends")
+    keyed = with_keys(docs)
+    ranges = repeated_ranges(keyed, window, chunk_bytes).withColumnRenamed("key", "of").hint("merge")
+    joined = keyed.join(ranges, (F.col("key") == F.col("of")) & (F.col("h") == F.col("text_hash")), "left").select("doc_id", "text", "starts", "ends")
     return joined.mapInArrow(partial(_removed, keep_text=keep_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if keep_text else ""))

@@ -181,6 +181,14 @@ def test_substring_dedup_is_exact(spark, window, chunk):
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in out} == brute_substrings(docs, window)
 
 
+@pytest.mark.parametrize("chunk", [1 << 21, 1])
+def test_substring_dedup_of_repeated_rows(spark, chunk):
+    text = lambda k: " ".join(f"{k}{i}" for i in range(30))
+    rows = [(1, text("a")), (1, text("a")), (None, text("b")), (None, text("b")), (None, text("b")), (None, "c " + text("a")), (None, text("d"))]
+    out = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), chunk_bytes=chunk).collect()
+    assert sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in out) == [(0, 30, 0), (0, 30, 0), (0, 30, 30), (0, 30, 30), (0, 31, 30), (1, 30, 0), (1, 30, 0)]
+
+
 def test_mixing_keeps_budgets(spark):
     rows = [(i, "w " * (1 + i % 5), ["en", "de"][i % 2], f"src{i % 7}") for i in range(700)] + [(1000 + i, "w", "en", "src0") for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
