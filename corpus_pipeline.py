@@ -7,10 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fairspark.llm._spark import materialise, table
+from fairspark.llm._spark import fresh, materialise, table
 from fairspark.llm.jaccard_join import jaccard_join
 from fairspark.llm.mixing import domain_of_source, mix
 from fairspark.llm.packing import best_fit_packing
@@ -29,11 +29,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each group of near duplicates; rows without doc_id stay."""
-    found = jaccard_join(docs, n=SHINGLE, percent=SIMILAR_PERCENT)
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
+    """One row of each group of near duplicates, that of smallest doc_id; rows without doc_id come after all others."""
+    (key,) = fresh(docs, "_row_key")
+    named = F.col("doc_id").cast("long")
+    rows, distinct, most = docs.agg(F.count(F.lit(1)), F.count_distinct(named), F.max(named)).first()
+    if rows == distinct:
+        keyed = docs.withColumn(key, named)
+    else:
+        # Further rows of a doc_id, and rows without, are numbered after all; written down, as the numbers depend on the run.
+        after = F.lit((most or 0) + 1) + F.monotonically_increasing_id()
+        first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text")) == 1
+        keyed = docs.where("doc_id IS NOT NULL").withColumn(key, F.when(first, named)).union(docs.where("doc_id IS NULL").withColumn(key, F.lit(None).cast("long")))
+        keyed = materialise(keyed.withColumn(key, F.coalesce(key, after)), "pipeline-keyed")
+    found = jaccard_join(keyed.select(F.col(key).alias("doc_id"), "text"), n=SHINGLE, percent=SIMILAR_PERCENT)
+    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias(key)).distinct()
     # A sort-merge join at every size: what goes grows with the corpus.
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return keyed.join(gone.hint("merge"), key, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

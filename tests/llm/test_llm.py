@@ -386,6 +386,13 @@ def test_stages_take_odd_documents(spark):
     assert corpus_pipeline.packing(spark, docs, SF).count() >= docs.count()
 
 
+def test_near_duplicates_of_repeated_rows(spark):
+    text = lambda k: " ".join(f"{k}{i}" for i in range(40))
+    rows = [(1, text("a")), (1, text("a")), (None, text("a")), (None, text("b") + " x"), (2, text("b")), (None, text("c")), (None, text("c")), (None, text("c") + " x"), (3, text("d")), (3, text("e"))]
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
+    assert sorted((r.doc_id or 0, r.text[0]) for r in kept.collect()) == [(0, "c"), (1, "a"), (2, "b"), (3, "d"), (3, "e")]
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = docs
