@@ -7,15 +7,17 @@
     parallel to y; the loss |r_orthogonal|^2 + eta |r_parallel|^2 with eta = (d - 1) t^2 / (1 - t^2) is lowered in turn
     by codes (coordinate descent over subspaces) and centres (one linear system).  They are fitted on a bounded sample
     (``sample`` vectors on average, chosen by a hash of vec_id); every vector is encoded.
-2.  Scan.  Codes are packed two a byte, some thousands of vectors a row.  Queries are packed in blocks, and each block
-    meets each group of packed rows in a task of its own; a task sums table entries and returns the ``candidates`` best of each
-    query.  Blocks and groups are bounded, their number grows with the input.
-3.  Reranking.  The best candidates of all groups are joined to the vectors and ordered by exact distance.
-
-Defined cases: vectors that are null or zero, that hold null or non-finite components, or that don't have the length
-that most have take no part, as queries or candidates, nor do rows without vec_id; ties go to the smaller vec_id; a query with fewer candidates than
-k has them all; rows that repeat a vec_id are candidates each, but never of their own id; an empty table gives an empty
-result; further columns are not read.
+2.  Scan.  Codes are packed two a byte, some thousands of vectors a row.  Queries come in large bounded blocks, and each
+    block meets each group of packed rows in a task of its own; a task sums table entries and returns the ``candidates``
+    best of each query.  Codes (a byte for four components, and 22 bytes) are copied once a block of 16,384 queries, vectors never.
+    No place is skipped: with vectors that spread evenly, probing the nearest half of them lost a tenth of the neighbours.
+3.  Reranking.  The best candidates of all groups are joined to the vectors by a row key and ordered by exact distance.
+
+Defined cases: vectors that are null or zero, or that hold null or non-finite components take no part, as queries or
+candidates, nor do rows without vec_id; vectors are compared with those of their own length; ties go to the smaller
+vec_id; a query with fewer candidates than k has them all; rows that repeat a vec_id are candidates each, but never of
+their own id, and make one query, of their shortest and smallest vector; an empty table gives an empty result; further columns are not
+read, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,8 +35,8 @@ from pyspark.sql.window import Window
 from fairspark.llm._spark import materialise
 
 SAMPLE, THRESHOLD = 10_000, 0.2
-#: Vectors of a packed row, packed rows of a group, queries of a block.
-PACKED, GROUP, BLOCK = 4096, 64, 1024
+#: Places; vectors of a packed row, packed rows of a group, queries of a block.
+PLACES, PACKED, GROUP, BLOCK = 64, 4096, 64, 1 << 14
 
 
 class Codebooks(NamedTuple):
@@ -93,7 +95,7 @@ def encode(x: np.ndarray, centres: np.ndarray, eta: float, passes: int = 2) -> n
     return codes.astype(np.uint8)
 
 
-def fit(x: np.ndarray, threshold: float = THRESHOLD, rounds: int = 4, places: int = 64, seed: int = 5) -> Codebooks:
+def fit(x: np.ndarray, threshold: float = THRESHOLD, rounds: int = 4, places: int = PLACES, seed: int = 5) -> Codebooks:
     """Codebooks for the rows of x."""
     rng = np.random.default_rng(seed)
     middle = x[rng.choice(len(x), max(1, min(places, len(x) // 20)), replace=False)]
@@ -138,12 +140,11 @@ def fit(x: np.ndarray, threshold: float = THRESHOLD, rounds: int = 4, places: in
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v: array of double) of the rows that take part."""
+    """(vec_id, v: array of double, n: how many rows are equal in both) of the rows that take part."""
     good = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.forall("v", good) & F.exists("v", lambda x: x != 0))
-    length = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return rows.where(F.size("v") == (length.d if length else 0))
+    return rows.groupBy("vec_id", "v").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _matrix(column: pa.ListArray) -> np.ndarray:
@@ -152,36 +153,30 @@ def _matrix(column: pa.ListArray) -> np.ndarray:
 
 
 def _packed(batches: Iterator[pa.RecordBatch], books) -> Iterator[pa.RecordBatch]:
+    """Rows of vec_id, row and v, encoded, some thousands in a packed row; part: its first row."""
+    b = books.value
     for batch in batches:
         for at in range(0, batch.num_rows, PACKED):
-            part = batch.slice(at, PACKED)
-            ids, x = part.column(0).to_numpy(), _matrix(part.column(1))
-            order = np.argsort(ids, kind="stable")
-            ids, x = ids[order], x[order]
-            b = books.value
+            own = batch.slice(at, PACKED)
+            ids, rows, x = own.column(0).to_numpy(), own.column(1).to_numpy(), _matrix(own.column(2))
             places, y = b.place(x)
             codes = encode(y, b.centres, b.eta)
             pairs = codes[:, 0::2] | codes[:, 1::2] << 4
             scale = b.scales[places]
             kept = ((y * y).sum(1) * scale**2 / 2 + (b.decode(codes, x.shape[1]) * b.places[places]).sum(1) * scale).astype("<f4")
-            yield pa.RecordBatch.from_pydict({"part": [int(ids[0])], "ids": [ids.astype("<i8").tobytes()], "kept": [kept.tobytes()], "places": [places.astype("<u2").tobytes()], "codes": [pairs.tobytes()]})
-
-
-def _blocks(group: pa.Table) -> pa.Table:
-    ids, x = group.column("vec_id").to_numpy(), _matrix(group.column("v").combine_chunks())
-    return pa.table({"block": group.column("block")[:1], "ids": pa.array([ids.astype("<i8").tobytes()], pa.binary()), "queries": pa.array([x.astype("<f8").tobytes()], pa.binary())})
+            columns = (ids.astype("<i8"), rows.astype("<i8"), kept, places.astype("<u2"), pairs)
+            yield pa.RecordBatch.from_arrays([pa.array([int(rows[0])], pa.int64()), *(pa.array([c.tobytes()], pa.binary()) for c in columns)], ["part", "ids", "rows", "kept", "places", "codes"])
 
 
 def _scan(queries: pa.Table, packed: pa.Table, books, candidates: int) -> pa.Table:
     """The best candidates of each query of a block among the packed rows of a group."""
     found: list[list[np.ndarray]] = [[], [], []]
     if queries.num_rows and packed.num_rows:
-        names = (("ids", "<i8"), ("kept", "<f4"), ("places", "<u2"), ("codes", np.uint8))
-        ids, kept, places, codes = (np.concatenate([np.frombuffer(b, t) for b in packed.column(c).to_pylist()]) for c, t in names)
-        order = np.argsort(ids, kind="stable")
-        ids, kept, places, codes = ids[order], kept[order], places[order], np.ascontiguousarray(codes.reshape(len(ids), -1)[order].T)
-        own = np.frombuffer(queries.column("ids")[0].as_py(), "<i8")
-        x = np.frombuffer(queries.column("queries")[0].as_py(), "<f8").reshape(len(own), -1)
+        names = (("ids", "<i8"), ("rows", "<i8"), ("kept", "<f4"), ("places", "<u2"), ("codes", np.uint8))
+        ids, rows, kept, places, codes = (np.concatenate([np.frombuffer(b, t) for b in packed.column(c).to_pylist()]) for c, t in names)
+        order = np.lexsort((rows, ids))
+        ids, rows, kept, places, codes = ids[order], rows[order], kept[order], places[order], np.ascontiguousarray(codes.reshape(len(ids), -1)[order].T)
+        own, x = queries.column("query_id").to_numpy(), _matrix(queries.column("v").combine_chunks())
         b = books.value
         scale = b.scales[places].astype(np.float32)
         for at in range(0, len(own), 64):
@@ -198,44 +193,59 @@ def _scan(queries: pa.Table, packed: pa.Table, books, candidates: int) -> pa.Tab
                 best = np.concatenate([best, np.flatnonzero(score == limit)[: most - len(best)]])  # ties: smaller ids
                 best = best[score[best] < np.inf]
                 found[0].append(np.full(len(best), query))
-                found[1].append(ids[best])
+                found[1].append(rows[best])
                 found[2].append(score[best])
     columns = [np.concatenate(f) if f else np.empty(0) for f in found]
-    return pa.table({"query_id": pa.array(columns[0].astype(np.int64)), "vec_id": pa.array(columns[1].astype(np.int64)), "near": pa.array(columns[2].astype(np.float32))})
+    return pa.table({"query_id": pa.array(columns[0].astype(np.int64)), "row": pa.array(columns[1].astype(np.int64)), "near": pa.array(columns[2].astype(np.float32))})
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 10, candidates: int = 300, sample: int = SAMPLE) -> DataFrame:
-    """query_id, rank (from 1), vec_id and score (Euclidean distance) of the k nearest of each query.
+_RESULT = "query_id long, rank int, vec_id long, score double"
 
-    is_query: a condition on vec_id; candidates: how many are reranked for each query.
-    """
-    spark = vectors.sparkSession
-    rows = materialise(usable(vectors), "vectors")
-    n, n_queries = rows.agg(F.count(F.lit(1)), F.count_if(is_query)).first()
-    empty = "query_id long, rank int, vec_id long, score double"
+
+def _of_one_length(rows: DataFrame, queries: DataFrame, k: int, candidates: int, sample: int) -> DataFrame | None:
+    """The result for rows (vec_id, v, n, row) and queries (query_id, v), all of one length; None without queries."""
+    spark = rows.sparkSession
+    n, n_queries = rows.count(), queries.count()
     if not n_queries:
-        return spark.createDataFrame([], empty)
+        return None
     parts = 1 << 30
     chosen = rows if n <= sample else rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) < int(parts * sample / n))
-    drawn = chosen.toPandas().sort_values("vec_id")  # bounded by sample
+    drawn = chosen.select("vec_id", "v").toPandas().sort_values("vec_id", kind="stable")  # bounded by sample
     if not len(drawn):
-        drawn = rows.limit(1).toPandas()
+        drawn = rows.select("vec_id", "v").limit(1).toPandas()
     books = spark.sparkContext.broadcast(fit(np.stack(drawn["v"].to_numpy())))
-    blocks, groups = -(-n_queries // BLOCK), max(1, -(-n // (PACKED * GROUP)))
-    queries = rows.where(is_query).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
-    queries = queries.groupBy("block").applyInArrow(_blocks, "block long, ids binary, queries binary").withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     # Of equal vectors only the k + 1 of smallest vec_id can be among k nearest; Spark limits them before its shuffle.
     equal = Window.partitionBy("v").orderBy("vec_id")
-    scanned = materialise(rows.withColumn("copy", F.row_number().over(equal)).where(F.col("copy") <= k + 1).select("vec_id", "v"), "scanned")
-    packed = scanned.mapInArrow(partial(_packed, books=books), "part long, ids binary, kept binary, places binary, codes binary")
+    scanned = materialise(rows.withColumn("copy", F.row_number().over(equal)).where(F.col("copy") <= k + 1).drop("copy"), "scanned")
+    packed = scanned.select("vec_id", "row", "v").mapInArrow(partial(_packed, books=books), "part long, ids binary, rows binary, kept binary, places binary, codes binary")
+    blocks, groups = -(-n_queries // BLOCK), max(1, -(-n // (PACKED * GROUP)))
+    dealt = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     packed = packed.withColumn("group", F.pmod(F.xxhash64("part"), F.lit(groups)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     keys = ["block", "group"]
-    met = queries.groupBy(*keys).cogroup(packed.groupBy(*keys)).applyInArrow(lambda q, p: _scan(q, p, books, candidates), "query_id long, vec_id long, near float")
-    best = Window.partitionBy("query_id").orderBy("near", "vec_id")
-    met = met.withColumn("place", F.row_number().over(best)).where(F.col("place") <= candidates).select("query_id", "vec_id")
-    met = met.join(scanned.select("vec_id", F.col("v").alias("x")), "vec_id")
-    met = met.join(rows.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).dropDuplicates(["query_id"]), "query_id")
+    met = dealt.groupBy(*keys).cogroup(packed.groupBy(*keys)).applyInArrow(lambda q, p: _scan(q, p, books, candidates), "query_id long, row long, near float")
+    best = Window.partitionBy("query_id").orderBy("near", "row")
+    met = met.withColumn("best", F.row_number().over(best)).where(F.col("best") <= candidates).select("query_id", "row")
+    met = met.join(scanned.select("row", "vec_id", "n", F.col("v").alias("x")), "row").join(queries.withColumnRenamed("v", "q"), "query_id")
     distance = F.sqrt(F.aggregate(F.zip_with("x", "q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b))
-    exact = met.select("query_id", "vec_id", distance.alias("score"))
+    # Rows that are equal in vec_id and vector are ranked each, as many as can be among the k nearest.
+    exact = met.select("query_id", "vec_id", distance.alias("score"), F.explode(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(k)).cast("int"))).alias("again"))
     ranked = exact.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def nearest(vectors: DataFrame, is_query: Column, k: int = 10, candidates: int = 300, sample: int = SAMPLE) -> DataFrame:
+    """query_id, rank (from 1), vec_id and score (Euclidean distance) of the k nearest of each query.
+
+    is_query: a condition on vec_id; candidates: how many are reranked for each query.
+    """
+    rows = materialise(usable(vectors).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    lengths = [r.d for r in rows.select(F.size("v").alias("d")).distinct().orderBy("d").collect()]  # one, in a table of one model
+    queries = rows.where(is_query).groupBy(F.col("vec_id").alias("query_id")).agg(F.min(F.struct(F.size("v").alias("d"), "v")).alias("s")).select("query_id", "s.v")
+    found = [_of_one_length(*(x.where(F.size("v") == d) if len(lengths) > 1 else x for x in (rows, queries)), k, candidates, sample) for d in lengths]
+    found = [x for x in found if x is not None]
+    if not found:
+        return vectors.sparkSession.createDataFrame([], _RESULT)
+    out = found[0]
+    for part in found[1:]:
+        out = out.union(part)
+    return out
