@@ -1,48 +1,68 @@
 """Quality rules with host verdicts.
 
-Each document is judged by base rules; their failures are summed by host, host rates are shrunk towards the corpus by
-a beta prior fitted to all hosts, and a host whose shrunk rate passes the limit fails with all its documents.
+Each document is judged by five rules.  Two are base rules (too few words; too many words in repeated windows): a document
+that fails one goes.  Three are soft (symbols, repeated lines, length of words): alone they can't tell junk from unusual
+text.  The failures of each rule are summed by host, and a host's rates are shrunk by a beta prior for each rule, fitted to
+all hosts.  A host whose shrunk rate of any rule passes ``max_host_rate`` fails with all its documents; one whose shrunk
+rate of a soft rule lies above the corpus is suspect there, and loses the documents that fail that rule.
 
-Only built-in functions run: word counts and repeated windows are computed inside each row, so that the only shuffle is
-the sum by host, which Spark combines before it.
+The prior of a rule has the mean m of all documents and a strength of 1 / rho - 1, where rho is the correlation of failures
+within hosts by the method of moments: with N documents, d of them of a host and H hosts, the scatter sum d (rate - m)^2 has
+the expectation m (1 - m) ((H - 1) (1 - rho) + rho (N - sum d^2 / N)).  The first term is what binomial sampling
+alone makes; hosts that differ by no more get the upper end of the strength (1 to 1,000,000), and all have the corpus's rate.
+
+Only built-in functions run: word counts and repeated windows are computed inside each row, so that the only shuffles are
+the sum by host, which Spark combines before it, and the join of verdicts, whose hosts are dealt over ``SALTS`` keys each.
 
 Defined cases: a null or empty text has no words and fails; a null host is a host of its own; repeated rows count each;
-an empty table gives an empty result; further columns of the input are not read, whatever their names.
+with one host, or where no or every document fails a rule, the prior has its greatest strength; an empty table gives an
+empty result; further columns of the input are not read, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fairspark.llm._spark import materialise, words
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
+BASE, SOFT = ("short", "repeats"), ("symbols", "lines", "lengths")
+#: Keys that a host's verdict is dealt over, so that a host of a third of all documents isn't one task's.
+SALTS = 64
+#: A rate this close to the corpus's is the same.
+NEAR = 1e-9
 
 
 def document_rules(docs: DataFrame, min_words: int = 10, max_repeat_percent: int = 20, window: int = 5, host_col: str = "source") -> DataFrame:
-    """doc_id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed of each row."""
+    """doc_id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and fails_<rule> of each row.
+
+    Symbols fail over one in ten words, repeated lines over 30 in a hundred, word lengths with a mean outside 3 to 10.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
     first = docs.select(
         "doc_id",
         F.col(host_col).alias("host"),
-        words(F.col("text")).alias("words"),
+        F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("words"),
         F.length(F.translate(text, SPACES, "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         lines.alias("lines"),
     )
-    starts = F.sequence(F.lit(1), F.size("words") - window + 1)
-    hashes = F.when(F.size("words") >= window, F.transform(starts, lambda i: F.xxhash64(F.slice("words", i, window)))).otherwise(F.array().cast("array<bigint>"))
+    starts = F.sequence(F.lit(0), F.size("words") - window)
+    of = lambda i: F.xxhash64(*(F.get("words", i + k) for k in range(window)))
     second = first.select(
         "doc_id",
         "host",
         F.size("words").cast("long").alias("n_words"),
         "word_chars",
         "n_symbols",
+        F.size("lines").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        hashes.alias("hashes"),
+        F.when(F.size("words") >= window, F.transform(starts, of)).otherwise(F.array().cast("array<bigint>")).alias("hashes"),
     )
     # Only texts that repeat a window have theirs sorted, with places, to find those that come twice or more.
     third = second.withColumn("again", F.size("hashes") > F.size(F.array_distinct("hashes")))
@@ -57,36 +77,46 @@ def document_rules(docs: DataFrame, min_words: int = 10, max_repeat_percent: int
         lambda a, i: F.struct((a["n"] + F.least(F.lit(window).cast("long"), i + window - a["end"])).alias("n"), (i + window).cast("long").alias("end")),
     )["n"]
     out = fifth.withColumn("n_repeat_words", F.when(F.col("again"), covered).otherwise(F.lit(0)).cast("long"))
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    return out.select("doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"))
+    n = F.col("n_words")
+    rules = {
+        "short": n < min_words,
+        "repeats": 100 * F.col("n_repeat_words") > max_repeat_percent * n,
+        "symbols": 10 * F.col("n_symbols") > n,
+        "lines": 100 * F.col("n_dup_lines") > 30 * F.col("n_lines"),
+        "lengths": (F.col("word_chars") < 3 * n) | (F.col("word_chars") > 10 * n),
+    }
+    return out.select("doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (rules["short"] | rules["repeats"]).alias("base_failed"), *(c.alias(f"fails_{r}") for r, c in rules.items()))
 
 
-def host_verdicts(rules: DataFrame, max_host_rate: float = 0.5) -> DataFrame:
-    """host, host_docs, host_failed, host_rate (shrunk) and host_ok, one row a host.
+def _strength(docs: Column, squared: Column, hosts: Column, mean: Column, scatter: Column) -> Column:
+    """The prior's strength from the number of documents, the sum of squares of hosts' numbers, and sum d (rate - mean)^2."""
+    sampling = hosts - 1
+    rho = F.try_divide(F.try_divide(scatter, mean * (1 - mean)) - sampling, docs - squared / docs - sampling)
+    return F.when(rho > 1e-9, F.least(F.lit(1e6), F.greatest(F.lit(1.0), F.try_divide(1 - rho, rho)))).otherwise(F.lit(1e6))
 
-    The beta prior has the mean of all documents and, by the method of moments over hosts, a strength of
-    mean (1 - mean) / variance - 1, kept within 1 to 1,000,000 (a variance of 0 gives the upper end).
-    """
-    hosts = rules.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"), F.sum(F.col("base_failed").cast("long")).alias("host_failed"))
-    mean = F.col("failed") / F.col("docs")
-    prior = hosts.agg(
-        F.sum("host_docs").alias("docs"),
-        F.sum("host_failed").alias("failed"),
-        F.sum(F.col("host_failed") * F.col("host_failed") / F.col("host_docs")).alias("squares"),
-    ).select(mean.alias("mean"), ((F.col("squares") / F.col("docs")) - mean * mean).alias("variance"))
-    strength = F.least(F.lit(1e6), F.greatest(F.lit(1.0), F.when(F.col("variance") > 1e-12, F.col("mean") * (1 - F.col("mean")) / F.col("variance") - 1).otherwise(F.lit(1e6))))
-    prior = prior.select("mean", strength.alias("strength"))
-    rate = (F.col("host_failed") + F.col("mean") * F.col("strength")) / (F.col("host_docs") + F.col("strength"))
-    return hosts.join(F.broadcast(prior)).select("host", "host_docs", "host_failed", rate.alias("host_rate"), (rate <= max_host_rate).alias("host_ok"))
+
+def host_verdicts(rules: DataFrame, max_host_rate: float = 0.5) -> DataFrame:
+    """host, host_docs, rate_<rule> (shrunk), suspect_<rule> of soft rules, and host_ok, one row a host."""
+    names = [*BASE, *SOFT]
+    hosts = rules.groupBy("host").agg(F.count(F.lit(1)).cast("double").alias("host_docs"), *(F.count_if(f"fails_{r}").cast("double").alias(f"n_{r}") for r in names))
+    d = F.col("host_docs")
+    sums = hosts.agg(F.sum(d).alias("docs"), F.sum(d * d).alias("squared"), F.count(F.lit(1)).cast("double").alias("hosts"), *(F.sum(f"n_{r}").alias(f"sum_{r}") for r in names), *(F.sum(F.col(f"n_{r}") * F.col(f"n_{r}") / d).alias(f"square_{r}") for r in names))
+    mean = {r: F.col(f"sum_{r}") / F.col("docs") for r in names}
+    prior = sums.select(*(mean[r].alias(f"mean_{r}") for r in names), *(_strength(F.col("docs"), F.col("squared"), F.col("hosts"), mean[r], F.col(f"square_{r}") - F.col("docs") * mean[r] * mean[r]).alias(f"strength_{r}") for r in names))
+    rate = {r: (F.col(f"n_{r}") + F.col(f"mean_{r}") * F.col(f"strength_{r}")) / (d + F.col(f"strength_{r}")) for r in names}
+    judged = hosts.join(F.broadcast(prior)).select("host", F.col("host_docs").cast("long").alias("host_docs"), *(rate[r].alias(f"rate_{r}") for r in names), *((rate[r] > F.col(f"mean_{r}") + NEAR).alias(f"suspect_{r}") for r in SOFT))
+    return judged.withColumn("host_ok", F.greatest(*(f"rate_{r}" for r in names)) <= max_host_rate)
 
 
 def quality_rules(docs: DataFrame, min_words: int = 10, max_repeat_percent: int = 20, window: int = 5, host_col: str = "source", max_host_rate: float = 0.5) -> DataFrame:
-    """Per row of docs: doc_id, the base figures, base_failed, the host's shrunk rate and verdict, and kept.
+    """Per row of docs: doc_id, the figures, base_failed, the rules' failures, the host's rates and verdicts, and kept.
 
     One row is the prior (an aggregate without keys), so it may be broadcast; the host table is joined by key, as hosts
-    grow with the corpus.  The figures of the rows are written to the shared folder, so that texts are read once.  kept is false if a base rule fails or the host does.
+    grow with the corpus.  The figures of the rows are written to the shared folder, so that texts are read once.
     """
     rules = materialise(document_rules(docs, min_words, max_repeat_percent, window, host_col), "document-rules")
-    hosts = host_verdicts(rules, max_host_rate)
-    joined = rules.join(hosts, rules["host"].eqNullSafe(hosts["host"]), "left").drop(hosts["host"])
-    return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("host_ok"), F.lit(True)))
+    hosts = host_verdicts(rules, max_host_rate).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rules = rules.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)).cast("int"))
+    joined = rules.join(hosts, rules["host"].eqNullSafe(hosts["host"]) & (rules["salt"] == hosts["salt"]), "left").drop(hosts["host"]).drop("salt")
+    lost = reduce(lambda a, b: a | b, (F.col(f"fails_{r}") & F.col(f"suspect_{r}") for r in SOFT))
+    return joined.withColumn("kept", ~F.col("base_failed") & F.col("host_ok") & ~lost)

@@ -92,15 +92,23 @@ twice AS (SELECT doc_id, g FROM gram GROUP BY doc_id, g HAVING count(*) > 1),
 hit AS (SELECT gram.doc_id, i, lag(i) OVER (PARTITION BY gram.doc_id ORDER BY i) AS prev FROM gram JOIN twice ON gram.doc_id = twice.doc_id AND gram.g = twice.g),
 rep AS (SELECT doc_id, sum(least(5, i - coalesce(prev, i - 5)))::BIGINT AS n FROM hit GROUP BY doc_id),
 judged AS (
-  SELECT base.doc_id, source, n_words, word_chars, n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
-    coalesce(rep.n, 0)::BIGINT AS n_repeat_words, n_words < 10 OR 100 * coalesce(rep.n, 0) > 20 * n_words AS base_failed
-  FROM base LEFT JOIN rep ON base.doc_id = rep.doc_id),
-host AS (SELECT source, count(*)::DOUBLE AS d, sum(CASE WHEN base_failed THEN 1 ELSE 0 END)::DOUBLE AS f FROM judged GROUP BY source),
-m AS (SELECT sum(f) / sum(d) AS mean, sum(f * f / d) / sum(d) - (sum(f) / sum(d)) * (sum(f) / sum(d)) AS var FROM host),
-prior AS (SELECT mean, least(1e6, greatest(1.0, CASE WHEN var > 1e-12 THEN mean * (1 - mean) / var - 1 ELSE 1e6 END)) AS s FROM m),
-verdict AS (SELECT source, (f + mean * s) / (d + s) <= 0.5 AS ok FROM host, prior)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed) AND ok AS kept
-FROM judged JOIN verdict ON judged.source IS NOT DISTINCT FROM verdict.source
+  SELECT base.doc_id, source, n_words, word_chars, n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, len(lines) AS n_lines,
+    coalesce(rep.n, 0)::BIGINT AS n_repeat_words FROM base LEFT JOIN rep ON base.doc_id = rep.doc_id),
+fails AS (
+  SELECT *, n_words < 10 AS short, 100 * n_repeat_words > 20 * n_words AS repeats, 10 * n_symbols > n_words AS symbols, 100 * n_dup_lines > 30 * n_lines AS lines,
+    word_chars < 3 * n_words OR word_chars > 10 * n_words AS lengths FROM judged),
+long AS (SELECT source, rule, failed FROM fails UNPIVOT (failed FOR rule IN (short, repeats, symbols, lines, lengths))),
+host AS (SELECT source, rule, count(*)::DOUBLE AS d, sum(failed::INT)::DOUBLE AS f FROM long GROUP BY source, rule),
+m AS (SELECT rule, sum(d) AS n, sum(d * d) AS dd, count(*)::DOUBLE AS h, sum(f) / sum(d) AS mean, sum(f * f / d) AS ff FROM host GROUP BY rule),
+c AS (SELECT *, ((ff - n * mean * mean) / nullif(mean * (1 - mean), 0) - (h - 1)) / nullif(n - dd / n - (h - 1), 0) AS rho FROM m),
+prior AS (SELECT rule, mean, CASE WHEN rho > 1e-9 THEN least(1e6, greatest(1.0, (1 - rho) / rho)) ELSE 1e6 END AS s FROM c),
+rate AS (SELECT source, rule, mean, (f + mean * s) / (d + s) AS rate FROM host JOIN prior USING (rule)),
+verdict AS (
+  SELECT source, max(rate) <= 0.5 AS ok, bool_or(rule = 'symbols' AND rate > mean + 1e-9) AS symbols, bool_or(rule = 'lines' AND rate > mean + 1e-9) AS lines,
+    bool_or(rule = 'lengths' AND rate > mean + 1e-9) AS lengths FROM rate GROUP BY source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, short OR repeats AS base_failed,
+  NOT (short OR repeats) AND ok AND NOT ((fails.symbols AND verdict.symbols) OR (fails.lines AND verdict.lines) OR (fails.lengths AND verdict.lengths)) AS kept
+FROM fails JOIN verdict ON fails.source IS NOT DISTINCT FROM verdict.source
 """
 
 

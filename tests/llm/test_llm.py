@@ -116,17 +116,6 @@ def test_query_matches_sql(name, same):
     same(queries.QUERIES[name], queries.SQL[name])
 
 
-def test_host_verdict_is_shrunk(spark):
-    rows = [(i, "a b c d e f g h i j k" if i % 9 else "few", "good") for i in range(90)] + [(1000 + i, "few", "bad") for i in range(60)] + [(2000, "few", "tiny")]
-    rows += [(3000 + i, "a b c d e f g h i j k l", f"host{i % 20}") for i in range(200)]
-    out = quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string"))
-    hosts = {r.host: r for r in out.dropDuplicates(["host"]).collect()}
-    assert not hosts["bad"].host_ok
-    assert hosts["good"].host_ok
-    assert hosts["tiny"].host_rate < 1.0
-    assert out.where("host = 'good' AND kept").count() == 80
-
-
 def test_warc_round_trip_and_faults(spark, tmp_path):
     rows = [(i, f"http://x/{i}", f"<p>{i % 7}</p>" * (i % 7 * 40)) for i in range(60)] + [(100, None, None), (101, "a b", ""), (None, None, "no number")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
