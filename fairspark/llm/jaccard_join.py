@@ -7,18 +7,21 @@ document's component under links.  The join is exact but for 64-bit hash collisi
     fingerprint, combined before the shuffle), and from here on the smallest doc_id of a class stands for it.
 2.  Signatures.  Set sizes fall into bands [l, l / t].  Two linked sets have the same band or neighbouring ones, so each
     set takes part in its own band and the next; there their Hamming distance is at most k.  The feature domain is cut by
-    hash into p > k parts: at most k parts can differ, so of any k + 1 parts that hold something at least one is the same in
-    both sets, and a hash of the contents of each non-empty part is a signature.
-    Parts of one element often agree by chance.  Where so many parts of the larger set hold m or more (up to three)
-    that they outnumber the distance, one of these agrees, and only its signatures for them count: they carry a mark,
-    and a signature that nobody marked joins nothing.  A set without enough parts marks all it has.
+    hash into more than k / 2 parts, so that in one of them the sets differ in at most one element; each part is cut into
+    four sub-parts, and every subset of three is enumerated: one of these is the same in both sets, and a hash of its
+    contents is a signature.
+    Subsets of few elements often agree by chance.  A part is strong if each of its subsets has m elements or more (m up
+    to six).  Where the larger set has so many strong parts that the distance can't spoil all, one of these agrees, and only
+    its signatures for them count: they carry a mark, and a signature that nobody marked joins nothing.  A set without
+    enough strong parts marks all it has.
 3.  Frequent shingles (passages that many documents share) would put unlike sets under one signature.  They are counted
     and left out of the domain, which can only lower Hamming distances.  A set of which too little remains signs again
     over the full domain, and two such sets meet there; one of too few parts even there signs its empty ones too.
     Whatever is taken for frequent, no link is lost.
 4.  Sets under one signature become candidates by a star, one row a member; components of the candidate graph bound what
-    must be compared.  Large ones are cut into blocks by hash, and each pair of blocks is compared in a task of its own.
-    All pairs in such a tile are checked exactly; it returns one row a document, not pairs.
+    must be compared.  Large ones are cut into blocks by size band and hash, and each block is compared with those of its
+    own band and of the neighbouring ones, in a task of its own for each pair: candidates that chain sets of other sizes
+    together aren't compared.  All pairs in such a tile are checked exactly; it returns one row a document, not pairs.
 5.  Components of the verified links give the result.
 
 Memory a task: a text, a shard of about 500,000 signatures, or a tile of 2 x 16,384 shingles (or two documents).
@@ -37,10 +40,10 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fairspark.llm._spark import materialise, release
+from fairspark.llm._spark import materialise
 from fairspark.llm._text import chunked, mix64, shingle_sets, stream64, words_of
 from fairspark.llm.components import components
 
@@ -51,8 +54,15 @@ FREQUENT_TOTAL, FREQUENT_MOST = 32, 1 << 17
 SHARD, TILE_SHINGLES, TILE_DOCS = 500_000, 1 << 14, 128
 
 
+#: Sub-parts of a part; subsets leave one out.
+SUBPARTS = 4
+
+
 def bands(percent: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lower ends of the size bands up to a set size, the largest Hamming distance within a band and its predecessor, and the number of parts."""
+    """Lower ends of the size bands up to a set size, the largest Hamming distance within a band and its predecessor, and the number of parts.
+
+    Sets of a band without any distance link only if equal: it has no parts.
+    """
     low, ends = [1], []
     while True:
         ends.append(low[-1] * 100 // percent)
@@ -61,7 +71,7 @@ def bands(percent: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         low.append(ends[-1] + 1)
     # |r| + |s| - 2 |r & s| with 100 |r & s| >= percent |r | s| is at most (100 - percent) / (100 + percent) (|r| + |s|)
     k = np.array([(100 - percent) * 2 * e // (100 + percent) for e in ends])
-    return np.array(low), k, np.where(k == 0, 1, k + 2 + k // 4)
+    return np.array(low), k, np.where(k == 0, 0, k // 2 + 1 + k // 8)
 
 
 def prints(values: np.ndarray, first: np.ndarray, seed: int) -> np.ndarray:
@@ -102,23 +112,23 @@ def _frequent(batches: Iterator[pa.RecordBatch], n: int, lower: bool) -> Iterato
         yield counted()
 
 
-def _domain(values: np.ndarray, owner: np.ndarray, parts: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The cells (part of a set) that hold something: signature, set, number of elements, and the cell's number."""
+def _domain(values: np.ndarray, owner: np.ndarray, parts: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures and numbers of elements (parts of all sets x subsets) of sets cut into parts, and the set of each part."""
     mixed = mix64(values ^ np.uint64(salt))
     base = np.concatenate([[0], np.cumsum(parts)])
-    place = ((mixed >> np.uint64(32)) * parts[owner].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
-    cell = base[owner] + place
+    place = ((mixed >> np.uint64(32)) * (parts[owner] * SUBPARTS).astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+    cell = base[owner] * SUBPARTS + place
     order = np.argsort(cell, kind="stable")
     ranked = cell[order]
     begins = np.flatnonzero(np.concatenate([np.ones(min(1, len(ranked)), bool), ranked[1:] != ranked[:-1]]))
-    sums = np.add.reduceat(mix64(values[order] + np.uint64(salt + 1)), begins) if len(begins) else np.empty(0, np.uint64)
-    cells = ranked[begins]
-    sets = np.searchsorted(base, cells, side="right") - 1
-    return _named(sums, cells - base[sets], salt), sets, np.diff(np.append(begins, len(ranked))), cells
-
-
-def _named(sums: np.ndarray, part: np.ndarray, salt: int) -> np.ndarray:
-    return mix64(sums + stream64(1, salt + 2)[0] * (part + 1).astype(np.uint64))
+    sums, counts = np.zeros(base[-1] * SUBPARTS, np.uint64), np.bincount(cell, minlength=base[-1] * SUBPARTS)
+    if len(begins):
+        sums[ranked[begins]] = np.add.reduceat(mix64(values[order] + np.uint64(salt + 1)), begins)
+    sums, counts = sums.reshape(-1, SUBPARTS), counts.reshape(-1, SUBPARTS)
+    sets = np.repeat(np.arange(len(parts)), parts)
+    # A name for each subset: its part within the set, and the sub-part left out.
+    name = ((np.arange(base[-1]) - base[sets])[:, None] * SUBPARTS + np.arange(1, SUBPARTS + 1)).astype(np.uint64)
+    return mix64(sums.sum(1, keepdims=True) - sums + stream64(1, salt + 2)[0] * name), counts.sum(1, keepdims=True) - counts, sets
 
 
 def signatures(values: np.ndarray, first: np.ndarray, percent: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -131,40 +141,39 @@ def signatures(values: np.ndarray, first: np.ndarray, percent: int, frequent: np
         at = np.minimum(np.searchsorted(frequent, values), len(frequent) - 1)
         rare = frequent[at] != values
     found, owners, marks = [], [], []
+
+    def add(sig: np.ndarray, sets: np.ndarray, salt: np.ndarray, keep: np.ndarray, mark: np.ndarray) -> None:
+        part, left_out = np.nonzero(keep)
+        found.append(mix64(sig[part, left_out] ^ salt[sets[part]]))
+        owners.append(sets[part])
+        marks.append(mark[part, left_out])
+
     own = np.searchsorted(low, sizes, side="right") - 1
     held = sizes > 0
     for step in (0, 1):
         band = np.where(held, own + step, 0)
         mine = np.where(held, parts[band], 0)
-        # Differences from a set that isn't larger, and from any that may link in this band.
+        inside = mine[owner] > 0
+        # Parts that two or more differences can spoil, of a set that isn't larger, and of any that may link in this band.
         partner = np.minimum(low[band] * 100 // percent, sizes * 100 // percent)
-        from_smaller, from_any = ((100 - percent) * x // (100 + percent) for x in (2 * sizes, sizes + partner))
+        by_smaller, by_any = ((100 - percent) * x // (100 + percent) // 2 for x in (2 * sizes, sizes + partner))
         salt = stream64(1, 71)[0] * (band + 1).astype(np.uint64)
-        sig, sets, count, _ = _domain(values[rare], owner[rare], mine, 101)
-        holding = [np.bincount(sets[count >= m], minlength=len(sizes)) for m in (1, 2, 3)]
-        if step == 0:
-            level = np.ones(len(sizes), np.int64)
-            for m in (2, 3):
-                level[holding[m - 1] > from_smaller] = m
-            mark = count >= level[sets]
-        else:
-            mark = np.zeros(len(sig), bool)  # the larger set, in its own band, marks
-        found.append(mix64(sig ^ salt[sets]))
-        owners.append(sets)
-        marks.append(mark)
-        few = held & (holding[0] <= from_any)
+        sig, count, sets = _domain(values[rare & inside], owner[rare & inside], mine, 101)
+        weakest = count.min(1, initial=0) if not len(count) else count.min(1)
+        strong = {m: np.bincount(sets[weakest >= m], minlength=len(sizes)) for m in (1, 2, 3, 4, 6)}
+        level = np.zeros(len(sizes), np.int64)
+        for m, n in strong.items():
+            level[n > by_smaller] = m
+        # In its own band the larger set marks its strong parts, or all it has where they are too few.
+        mark = (weakest >= level[sets])[:, None] & (count > 0) if step == 0 else np.zeros(count.shape, bool)
+        add(sig, sets, salt, count > 0, mark)
+        few = held & (strong[1] <= by_any)
         if few.any():
-            again, cut = few[owner], np.where(few, mine, 0)
-            sig, sets, _, cells = _domain(values[again], owner[again], cut, 211)
-            scarce = few & (np.bincount(sets, minlength=len(sizes)) <= from_any)
-            blank = np.setdiff1d(np.flatnonzero(np.repeat(scarce, cut)), cells)
-            base = np.concatenate([[0], np.cumsum(cut)])
-            blank_sets = np.searchsorted(base, blank, side="right") - 1
-            sig = np.concatenate([sig, _named(np.zeros(len(blank), np.uint64), blank - base[blank_sets], 211)])
-            sets = np.concatenate([sets, blank_sets])
-            found.append(mix64(sig + salt[sets]))
-            owners.append(sets)
-            marks.append(np.ones(len(sig), bool))
+            again, cut = few[owner] & inside, np.where(few, mine, 0)
+            sig, count, sets = _domain(values[again], owner[again], cut, 211)
+            scarce = few & (np.bincount(sets[count.min(1) >= 1], minlength=len(sizes)) <= by_any)
+            keep = (count > 0) | scarce[sets][:, None]
+            add(sig, sets, salt + np.uint64(1), keep, keep)
     return np.concatenate(found), np.concatenate(owners), np.concatenate(marks)
 
 
@@ -291,6 +300,32 @@ def _tile(group: pa.Table, n: int, lower: bool, percent: int) -> pa.Table:
     return pa.table({"a": ids[some], "b": ids[reach[some]], "n_links": links[some].astype(np.int64)})
 
 
+def _tiles(members: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, print1, component, block, t1, t2) of members(component, vertex, class_id, print1, n_shingles), a row for each tile.
+
+    A component that fits one block is one tile.  A larger one is cut by size band, and each band into blocks by hash; a
+    block meets those of its own band and of its neighbours, for sets further apart in size can't link.
+    """
+    blocks = lambda: F.ceil(F.greatest(F.sum("n_shingles") / TILE_SHINGLES, F.count(F.lit(1)) / TILE_DOCS)).cast("long")
+    # Bands as of ``bands`` up to the largest set: linked sets have the same or neighbouring ones.
+    most = members.agg(F.max("n_shingles")).first()[0] or 1
+    low = bands(percent, most)[0].tolist()
+    band = F.size(F.filter(F.array(*map(F.lit, low)), lambda x: x <= F.col("n_shingles"))).cast("long")
+    whole = members.groupBy("component").agg(blocks().alias("all"))
+    banded = members.join(whole, "component").withColumn("band", F.when(F.col("all") > 1, band).otherwise(F.lit(0).cast("long")))
+    cut = banded.groupBy("component", "band").agg(blocks().alias("own"))  # a row a band of a component
+    by = Window.partitionBy("component").orderBy("band")
+    beside = lambda f, d: F.coalesce(F.when(f("band", 1).over(by) == F.col("band") + d, f("own", 1).over(by)), F.lit(0))
+    cut = cut.select("component", "band", "own", beside(F.lag, -1).alias("below"), beside(F.lead, 1).alias("above"))
+    label = lambda b, i: F.shiftleft(b, 32) + i
+    of = lambda d, n: F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(F.col(n), F.lit(1)) - 1), lambda i: label(F.col("band") + d, i))
+    none = F.array().cast("array<bigint>")
+    others = F.concat(of(0, "own"), *(F.when(F.col(n) > 0, of(d, n)).otherwise(none) for d, n in ((-1, "below"), (1, "above"))))
+    dealt = banded.join(cut, ["component", "band"]).withColumn("block", label(F.col("band"), F.pmod(F.xxhash64("vertex"), "own")))
+    tiles = dealt.withColumn("other", F.explode(others))
+    return tiles.select(F.col("class_id").alias("doc_id"), "print1", "component", "block", F.least("block", "other").alias("t1"), F.greatest("block", "other").alias("t2"))
+
+
 def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, lower: bool = True) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id and n_links of each row of docs(doc_id, text).
 
@@ -308,22 +343,17 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, lower: bool = T
         docs.mapInArrow(partial(_frequent, n=n, lower=lower), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT_TOTAL).orderBy(F.desc("n"), "h").limit(FREQUENT_MOST)
     )
     frequent = np.sort(np.array([r.h for r in often.collect()], np.int64).view(np.uint64))  # at most FREQUENT_MOST
-    shards = max(12, math.ceil(total * 0.6 / SHARD))
+    shards = max(12, math.ceil(total * 0.9 / SHARD))
     held = spark.sparkContext.broadcast(frequent)
     signed = docs.mapInArrow(partial(_signed, n=n, lower=lower, percent=percent, shards=shards, frequent=held), "shard long, payload binary")
-    stars = materialise(signed.groupBy("shard").applyInArrow(_stars, "a long, b long").distinct(), "candidates")
-    release(spark)
+    stars = materialise(signed.groupBy("shard").applyInArrow(_stars, "a long, b long"), "candidates")
     groups = components(stars)
     stand = classes.where("class_id IS NOT NULL").select("class_id", "print1", "n_shingles")
     members = materialise(groups.join(stand, F.col("vertex") == F.col("print1")), "groups")
-    cut = members.groupBy("component").agg(F.ceil(F.greatest(F.sum("n_shingles") / TILE_SHINGLES, F.count(F.lit(1)) / TILE_DOCS)).cast("long").alias("blocks"))
-    dealt = members.join(cut, "component").withColumn("block", F.pmod(F.xxhash64("vertex"), "blocks"))
-    tiles = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    tiles = tiles.select(F.col("class_id").alias("doc_id"), "print1", "component", "block", F.least("block", "other").alias("t1"), F.greatest("block", "other").alias("t2"))
+    tiles = _tiles(members, percent)
     # A sort-merge join at every size: tiles grow with the corpus.
     found = tiles.hint("merge").join(docs, "doc_id").groupBy("component", "t1", "t2").applyInArrow(lambda group: _tile(group, n, lower, percent), "a long, b long, n_links long")
     found = materialise(found, "found")
-    release(spark)
     joined = components(found.select("a", "b"))
     counts = found.groupBy(F.col("a").alias("class_id")).agg(F.sum("n_links").alias("n_links"))
     known = classes.join(joined, F.col("class_id") == F.col("vertex"), "left").drop("vertex").join(counts, "class_id", "left")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fairspark.llm._spark import discard, materialise, release
+from fairspark.llm._spark import discard, materialise
 from fairspark.llm._text import chunked, grams, mix64, stream64, words_of
 
 CHUNK, SHARD = 1 << 21, 1_000_000
@@ -321,13 +321,11 @@ def repeated_ranges(docs: DataFrame, window: int = 20, chunk_bytes: int = CHUNK)
     shards = max(12, math.ceil(size / 6 / SHARD))
     probes = docs.select("key", "text", "h").mapInArrow(partial(_probes, window=window, shards=shards, chunk_bytes=chunk_bytes), "shard long, chunk long, role int, payload binary")
     anchors = materialise(probes.groupBy("shard").applyInArrow(_anchors, _RETURN), "anchors")
-    release(spark)
     windows = anchors.groupBy("chunk").applyInArrow(_windower(window, shards), _RETURN)
     later = windows.groupBy("shard").applyInArrow(_first_occurrences, _RETURN)
     ranges = later.groupBy("chunk").applyInArrow(lambda group: _ranges(group, window), "key long, text_hash long, starts array<int>, ends array<int>")
     ranges = materialise(ranges.groupBy("key", "text_hash").agg(F.first("starts").alias("starts"), F.first("ends").alias("ends")), "ranges")
     discard(anchors)
-    release(spark)
     return ranges
 
 
