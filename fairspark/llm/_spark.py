@@ -58,6 +58,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Keys that a heavy key is dealt over, and what is heavy: more rows than MANY, and than one in SHARE of all.
+SALTS, MANY, SHARE = 64, 1000, 10_000
+
+
+def spread_join(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, spread: F.Column) -> DataFrame:
+    """rows with the columns of groups (but ``size``) by key, nulls where there is none; a sort-merge join at every size.
+
+    groups has one row a key, and in ``size`` how many of the ``total`` rows have it.  Keys of very many rows, of which there
+    are at most SHARE (so that they may be broadcast), are dealt over SALTS keys by ``spread``, a hash of what tells rows apart.
+    """
+    many = max(MANY, total // SHARE)
+    heavy, salt = fresh(rows.join(groups, key), "_heavy", "_salt")
+    large = F.broadcast(groups.where(F.col(size) > many).select(F.col(key).alias(heavy)))
+    dealt = rows.join(large, F.col(key) == F.col(heavy), "left")
+    dealt = dealt.withColumn(salt, F.when(F.col(heavy).isNotNull(), F.pmod(spread, F.lit(SALTS)).cast("int")).otherwise(0)).drop(heavy)
+    salts = F.when(F.col(size) > many, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return dealt.join(groups.withColumn(salt, F.explode(salts)).drop(size).hint("merge"), [key, salt], "left").drop(salt)
+
+
 def words(text) -> F.Column:
     """Array of the maximal runs of characters other than space and 0x09-0x0D; null gives none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")

@@ -7,23 +7,29 @@ never occurs without it.  Every place of a term whose share reaches a limit beco
 documents that hold the entity: from ``remove_at`` they are removed, from ``generalise_at`` they are replaced by a class.
 A pair met in fewer than ``min_support`` distinct texts is judged by a smoothed P(e | t): each text that is missing counts as
 one that has the term, and the entity at its rate in the corpus.  Rare terms of an entity met once are generalised so, and
-chance neighbours stay.
+chance neighbours stay.  A term whose pair has that support and reaches the limit discloses its entity wherever it stands: it
+becomes a span in every document of the corpus, with or without a pattern.
 
-A term is a run of letters, digits and underscores, in any case; only runs of one or two ASCII letters are not judged.
+A term is a run of letters, digits and underscores, in any case; only runs of one or two ASCII letters are not judged.  A
+term is generalised to its class: a number, a code (letters and digits), a name (a capital first) or a word.
 
 Scale: patterns run in one pass over the texts, in Arrow batches; counting terms is a second pass in which each task
 sums its own counts before the shuffle; distinct terms and entities of a text are joined by key.  Terms too frequent to
 reach the limit with any entity of a text leave before they are paired (a bound, which loses none), and the entities of
-one text alone, whose counts are the same, are paired as one.  No entity, term or document list is collected.
+one text alone, whose counts are the same, are paired as one.  Well supported terms are looked for in a third pass, which
+only sends on words whose hash falls into one of at most 2^20 buckets that such terms have.  No entity, term or document
+list is collected.  Copies of one text are dealt over several keys where spans return to rows.
 
-Defined cases: a null text is empty and has no spans; null doc_ids stay; rows that repeat a text count once in the
-corpus figures and each get their spans; offsets are code points; further columns are kept by ``sanitise`` and not read.
+Defined cases: a null text is empty and has no spans; null doc_ids stay; rows that repeat a text are documents each in
+the corpus figures (but one text in min_support) and each get their spans; offsets are code points; an empty table gives an
+empty result; further columns are kept by ``sanitise`` and not read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import partial
@@ -32,11 +38,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fairspark.llm._spark import fresh, map_rows, materialise
+from fairspark.llm._spark import fresh, map_rows, materialise, spread_join
 
 KINDS = ("email", "ip", "card", "phone", "term")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+_NUMBER = re.compile(r"[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _HINT = re.compile(r"[0-9@]")
@@ -71,14 +77,27 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
             at = text.find("@", at + 1)
 
 
+def _fours(text: str) -> Iterator[list[re.Match]]:
+    """Four dotted numbers at a time, from the left of each run of them; each number is read once."""
+    run: list[re.Match] = []
+    for m in _NUMBER.finditer(text):
+        if run and not (m.start() == run[-1].end() + 1 and text[run[-1].end()] == "."):
+            run = []
+        run.append(m)
+        if len(run) == 4:
+            yield run
+            run = []
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) of the pattern matches of a text, kinds as numbered in KINDS, in that order."""
     if not _HINT.search(text):
         return []
     found = [(0, a, b) for a, b in _emails(text)] if "@" in text else []
-    for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m[0].split(".")):
-            found.append((1, m.start(), m.end()))
+    if "." in text:
+        for four in _fours(text):
+            if all(len(p[0].lstrip("0")) <= 3 and int(p[0].lstrip("0") or "0") <= 255 for p in four):
+                found.append((1, four[0].start(), four[3].end()))
     for m in _CARD.finditer(text):
         digits = _DIGITS.sub("", m[0])
         if 13 <= len(digits) <= 19 and luhn(digits):
@@ -121,6 +140,10 @@ def _places(text: str, spans: list[tuple[int, int, int]]) -> dict[str, list[tupl
     return out
 
 
+def _md5(text: str) -> str:
+    return hashlib.md5(text.encode("utf-8", "surrogatepass"), usedforsecurity=False).hexdigest()
+
+
 _FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, spans string, text_md5 string, entities array<string>, terms array<string>, starts array<array<int>>, ends array<array<int>>"
 
 
@@ -136,11 +159,10 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             text = text or ""
             spans = base_spans(text)
-            row = {"doc_id": doc, "spans": ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans), "text_md5": None}
+            row = {"doc_id": doc, "spans": ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans), "text_md5": _md5(text)}
             for kind in range(4):
                 row[f"n_{KINDS[kind]}"] = sum(k == kind for k, _, _ in spans)
             if spans:
-                row["text_md5"] = hashlib.md5(text.encode("utf-8", "surrogatepass"), usedforsecurity=False).hexdigest()
                 row["entities"] = sorted({entity(kind, text[a:b]) for kind, a, b in spans})
                 places = _places(text, spans)
                 row["terms"] = list(places)
@@ -176,10 +198,11 @@ def pattern_spans(docs: DataFrame) -> DataFrame:
 
 
 def disclosing_terms(docs: DataFrame, texts: DataFrame, total: int, min_support: int = 3, generalise_at: float = 0.8) -> DataFrame:
-    """(text_md5, term, disclosure) of the terms that reach the limit with an entity of the text.
+    """(text_md5, term, disclosure, firm) of the terms that reach the limit with an entity of the text.
 
     texts: the distinct texts that hold entities, with the number n of their rows; total: rows of docs.  Counts are of
-    documents; min_support is of distinct texts, so that copies of one text count as one.
+    documents; min_support is of distinct texts, so that copies of one text count as one.  firm: the disclosure by pairs
+    that have that support, null without any.
     """
     n_all = float(max(total, 1))
     # PMI / IC reaches the limit g only if n_both / n_term >= P(e) ** (1 - g), and n_both <= n_entity.  Smoothing moves the
@@ -200,41 +223,73 @@ def disclosing_terms(docs: DataFrame, texts: DataFrame, total: int, min_support:
     rate = (F.col("n_both") + missing * F.col("n_entity") / n_all) / (F.col("n_term") + missing)
     ic = F.greatest(F.log(F.lit(max(n_all, 2.0)) / F.col("n_entity")), F.lit(1e-9))
     pmi = F.log(rate * F.lit(max(n_all, 2.0)) / F.col("n_entity"))
-    told = counts.select("entity", "term", F.least(F.lit(1.0), pmi / ic).alias("disclosure")).where(F.col("disclosure") >= generalise_at)
-    return pairs.join(told, ["entity", "term"]).groupBy("text_md5", "term").agg(F.max("disclosure").alias("disclosure"))
+    told = counts.select("entity", "term", "support", F.least(F.lit(1.0), pmi / ic).alias("disclosure")).where(F.col("disclosure") >= generalise_at)
+    firm = F.max(F.when(F.col("support") >= min_support, F.col("disclosure"))).alias("firm")
+    return pairs.join(told, ["entity", "term"]).groupBy("text_md5", "term").agg(F.max("disclosure").alias("disclosure"), firm)
 
 
-_PLACED = "text_md5 string, terms array<struct<start: int, end: int, disclosure: double>>"
+#: Buckets of hashes that tell which words (or texts) are worth sending on.
+BUCKETS = 1 << 20
 
 
-def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every place of the told terms of each text, in order."""
-    schema = pa.schema([("text_md5", pa.string()), ("terms", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("disclosure", pa.float64())])))])
+def _hits(batches: Iterator[pa.RecordBatch], buckets) -> Iterator[pa.RecordBatch]:
+    """(text_md5, term, starts, ends) of the words of each text whose hash falls into a bucket."""
+    schema = pa.schema([("text_md5", pa.string()), ("term", pa.string()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])
+    wanted: dict[str, bool] = {}
     for batch in batches:
         rows = []
-        for md5, terms, starts, ends, told in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-            share = {x["term"]: x["disclosure"] for x in told}
-            places = sorted((a, b, share[t]) for t, x, y in zip(terms, starts, ends, strict=True) if t in share for a, b in zip(x, y, strict=True))
-            rows.append({"text_md5": md5, "terms": [{"start": a, "end": b, "disclosure": d} for a, b, d in places]})
+        for text in batch.column(0).to_pylist():
+            if len(wanted) > HELD:
+                wanted.clear()
+            hit = False
+            for term in _terms(text):
+                if term not in wanted:
+                    wanted[term] = zlib.crc32(term.encode("utf-8", "surrogatepass")) % BUCKETS in buckets.value
+                hit |= wanted[term]
+            if hit:
+                md5 = _md5(text)
+                for term, places in _places(text, base_spans(text)).items():
+                    if wanted.get(term) and places:
+                        rows.append({"text_md5": md5, "term": term, "starts": [a for a, _ in places], "ends": [b for _, b in places]})
         yield pa.RecordBatch.from_pylist(rows, schema)
 
 
-def pii_spans(docs: DataFrame, min_support: int = 3, generalise_at: float = 0.8) -> DataFrame:
-    """doc_id, counts, base (pattern spans), terms (array of start, end, disclosure) and text_md5 of each row of docs.
+def _elsewhere(docs: DataFrame, told: DataFrame) -> DataFrame:
+    """(text_md5, term, starts, ends, disclosure) of well supported terms in all texts of docs."""
+    firm = materialise(told.where("firm IS NOT NULL").groupBy("term").agg(F.max("firm").alias("disclosure")), "pii-firm")
+    found = firm.select(F.pmod(F.crc32("term"), F.lit(BUCKETS)).alias("b")).distinct().collect()  # at most BUCKETS numbers
+    buckets = docs.sparkSession.sparkContext.broadcast(frozenset(r.b for r in found))
+    hits = docs.select("text").where("text IS NOT NULL").mapInArrow(partial(_hits, buckets=buckets), "text_md5 string, term string, starts array<int>, ends array<int>")
+    hits = hits.groupBy("text_md5", "term").agg(F.first("starts").alias("starts"), F.first("ends").alias("ends"))
+    return hits.join(firm, "term").select("text_md5", "term", "starts", "ends", "disclosure")
 
-    text_md5 is null where a text has no pattern span; then there are no terms.
-    """
+
+def pii_spans(docs: DataFrame, min_support: int = 3, generalise_at: float = 0.8) -> DataFrame:
+    """doc_id, counts, base (pattern spans), terms (array of start, end, disclosure) and text_md5 of each row of docs."""
     found = materialise(pattern_spans(docs), "pii-found")
-    some = found.where("text_md5 IS NOT NULL")
+    some = found.where("entities IS NOT NULL")
     texts = materialise(some.groupBy("text_md5").agg(F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in ("entities", "terms", "starts", "ends"))), "pii-texts")
-    told = disclosing_terms(docs, texts, found.count(), min_support, generalise_at)
-    told = told.groupBy("text_md5").agg(F.collect_list(F.struct("term", "disclosure")).alias("told"))
-    terms = texts.join(told, "text_md5").select("text_md5", "terms", "starts", "ends", "told").mapInArrow(_placed, _PLACED)
+    total = found.count()
+    told = materialise(disclosing_terms(docs, texts, total, min_support, generalise_at), "pii-told")
+    placed = texts.select("text_md5", F.explode(F.arrays_zip("terms", "starts", "ends")).alias("t")).select("text_md5", F.col("t.terms").alias("term"), F.col("t.starts").alias("starts"), F.col("t.ends").alias("ends"))
+    placed = placed.join(told.select("text_md5", "term", "disclosure"), ["text_md5", "term"]).unionByName(_elsewhere(docs, told))
+    each = placed.groupBy("text_md5", "term").agg(F.first("starts").alias("starts"), F.first("ends").alias("ends"), F.max("disclosure").alias("disclosure"))
+    spans = F.transform(F.arrays_zip("starts", "ends"), lambda x: F.struct(x["starts"].alias("start"), x["ends"].alias("end"), F.col("disclosure").alias("disclosure")))
+    terms = each.groupBy("text_md5").agg(F.array_sort(F.flatten(F.collect_list(spans))).alias("terms"))
+    rows = found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.col("spans").alias("base"), "text_md5")
+    copies = rows.groupBy("text_md5").agg(F.count(F.lit(1)).alias("copies"))
+    out = spread_join(rows, copies.join(terms, "text_md5"), "text_md5", "copies", total, F.xxhash64("doc_id"))
     none = F.array().cast("array<struct<start: int, end: int, disclosure: double>>")
-    columns = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", F.col("spans").alias("base"), "text_md5"]
-    clean = found.where("text_md5 IS NULL").select(*columns, none.alias("terms"))
-    rows = some.drop("entities", "terms", "starts", "ends")
-    return rows.join(terms, "text_md5", "left").select(*columns, F.coalesce("terms", none).alias("terms")).union(clean)
+    return out.select(*rows.columns, F.coalesce("terms", none).alias("terms"))
+
+
+def _class(term: str) -> str:
+    """What a term is generalised to."""
+    if term.isdigit():
+        return "[NUMBER]"
+    if any(c.isdigit() for c in term):
+        return "[CODE]"
+    return "[NAME]" if term[0].isupper() else "[WORD]"
 
 
 def _clean(batches: Iterator[pa.RecordBatch], remove_at: float) -> Iterator[pa.RecordBatch]:
@@ -243,9 +298,9 @@ def _clean(batches: Iterator[pa.RecordBatch], remove_at: float) -> Iterator[pa.R
         names = batch.schema.names[:-2]
         text_at, out = names.index("text"), []
         for text, base, terms in zip(*(batch.column(i).to_pylist() for i in (text_at, len(names), len(names) + 1)), strict=True):
-            if base:
-                spans = [(int(a), int(b), f"[{kind.upper()}]") for kind, a, b in (x.split(":") for x in base.split(","))]
-                spans += [(x["start"], x["end"], "" if x["disclosure"] >= remove_at else "[TERM]") for x in terms or ()]
+            if base or terms:
+                spans = [(int(a), int(b), f"[{kind.upper()}]") for kind, a, b in (x.split(":") for x in base.split(","))] if base else []
+                spans += [(x["start"], x["end"], "" if x["disclosure"] >= remove_at else _class(text[x["start"] : x["end"]])) for x in terms or ()]
                 parts, end = [], 0
                 for a, b, mark in sorted(spans, key=lambda x: (x[0], -x[1])):
                     if a >= end:
@@ -259,17 +314,22 @@ def _clean(batches: Iterator[pa.RecordBatch], remove_at: float) -> Iterator[pa.R
 
 
 def sanitise(docs: DataFrame, min_support: int = 3, generalise_at: float = 0.8, remove_at: float = 1.0) -> DataFrame:
-    """docs with all their columns and rows, personal data in text replaced by [KIND], disclosing terms by [TERM] or nothing.
+    """docs with all their columns and rows, personal data in text replaced by [KIND], disclosing terms by their class or nothing.
 
-    n_chars, where there is such a column, follows a text that may hold personal data.
+    n_chars, where there is such a column, follows a text that may have changed.
     """
     names, kinds = docs.columns, dict(docs.dtypes)
-    key, by_key, base, terms = fresh(docs, "_pii_key", "_pii_by", "_pii_base", "_pii_terms")
-    spans = pii_spans(docs, min_support, generalise_at).where("text_md5 IS NOT NULL")
-    by_text = spans.groupBy(F.col("text_md5").alias(by_key)).agg(F.first("base").alias(base), F.first("terms").alias(terms))
-    # Only texts with a digit or an @ can have spans; the others don't move.
-    may = F.coalesce(F.col("text").rlike("[0-9@]"), F.lit(False))
-    joined = docs.where(may).withColumn(key, F.md5("text")).join(by_text.hint("merge"), F.col(key) == F.col(by_key), "left")
+    key, by_key, base, terms, copies, bucket = fresh(docs, "_pii_key", "_pii_by", "_pii_base", "_pii_terms", "_pii_copies", "_pii_bucket")
+    spans = pii_spans(docs, min_support, generalise_at).where((F.col("base") != "") | (F.size("terms") > 0))
+    by_text = materialise(spans.groupBy(F.col("text_md5").alias(by_key)).agg(F.count(F.lit(1)).alias(copies), F.first("base").alias(base), F.first("terms").alias(terms)), "pii-by-text")
+    total = by_text.agg(F.sum(copies)).first()[0] or 0
+    # Texts that can have no span don't move: those without a digit or @, but for the buckets of texts that have only terms.
+    of = lambda x: F.pmod(F.crc32(x), F.lit(BUCKETS))
+    buckets = F.broadcast(by_text.where(F.col(base) == "").select(of(F.col(by_key)).alias(bucket)).distinct())  # at most BUCKETS
+    keyed = docs.withColumn(key, F.md5(F.coalesce("text", F.lit(""))))
+    keyed = keyed.join(buckets, of(F.col(key)) == F.col(bucket), "left")
+    may = F.coalesce(F.col("text").rlike("[0-9@]"), F.lit(False)) | F.col(bucket).isNotNull()
+    joined = spread_join(keyed.where(may), by_text.withColumnRenamed(by_key, key), key, copies, total, F.xxhash64("doc_id"))
     out = map_rows(joined.select(*(F.col(f"`{c}`") for c in names), base, terms), partial(_clean, remove_at=remove_at), docs)
     out = out.withColumn("n_chars", F.length("text").cast(kinds["n_chars"])) if "n_chars" in names else out
-    return out.union(docs.where(~may))
+    return out.union(keyed.where(~may).select(*(F.col(f"`{c}`") for c in names)))

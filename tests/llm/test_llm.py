@@ -320,7 +320,7 @@ def test_terms_of_entities_met_once(spark):
     for r in pii.pii_spans(docs).where("n_email > 0").collect():
         assert [rows[0][1][t["start"] : t["end"]] for t in r.terms] == ["Kolumbus"]
         assert 0.8 <= r.terms[0]["disclosure"] < 1
-    assert {r.text for r in pii.sanitise(docs).where("doc_id = 0").collect()} == {"Some common words by [TERM], mail [EMAIL] now."}
+    assert {r.text for r in pii.sanitise(docs).where("doc_id = 0").collect()} == {"Some common words by [NAME], mail [EMAIL] now."}
 
 
 def test_odd_documents_have_results(spark):
