@@ -7,7 +7,8 @@ payloads.  Archives roll over at a size.  Each task writes its archives under na
 place whole; rows are sorted within tasks, so that a task that runs again writes the same archives.
 
 Reading.  Spark reads archives as binary rows.  The frame headers are walked to find each record's frame; each is decoded
-alone with the dictionary, and versions, headers, lengths and digests are checked: a fault raises ``WarcError``.
+alone with the dictionary, and versions, headers, lengths and digests are checked: a fault raises ``WarcError``.  Archives
+of other writers are read too: records of any type, any record ids, with or without digests, blocks that aren't HTTP.
 
 Archives go to any store that pyarrow's file systems write (file, hdfs, s3, gcs) and are read back by Spark.
 
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fairspark.llm._spark import materialise, shared_dir
+from fairspark.llm._spark import materialise, shared_dir, spread_join
 
 #: Fixed by the Zstandard and WARC formats.
 DICTIONARY_FRAME, FRAME, DICTIONARY = 0x184D2A5D, 0xFD2FB528, 0xEC30A437
@@ -68,51 +69,75 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
 
 def _headers(data: bytes, what: str) -> dict[str, str]:
     out = {}
-    for line in data.split(b"\r\n"):
+    for line in re.sub(rb"\r\n[ \t]+", b" ", data).split(b"\r\n"):  # a line that begins with a space goes on
         key, colon, value = line.partition(b":")
         if not colon or not key:
             raise WarcError(f"no header: {line[:80]!r} in {what}")
-        out[key.decode().lower()] = value.strip().decode()
+        out[key.decode("utf-8", "replace").strip().lower()] = value.strip().decode("utf-8", "replace")
     return out
 
 
+#: Headers that every record has; digests that are checked (others are taken as they are).
+REQUIRED = frozenset({"warc-type", "warc-record-id", "warc-date", "content-length"})
+
+
+def _is_digest(given: str, data: bytes) -> bool:
+    """Whether a digest is that of the data: SHA-1 and SHA-256 in base32 or hex; what uses other functions passes."""
+    name, colon, value = given.partition(":")
+    made = {"sha1": hashlib.sha1, "sha256": hashlib.sha256, "sha-256": hashlib.sha256}.get(name.lower())
+    if not colon or made is None:
+        return True
+    digest = made(data, usedforsecurity=False).digest()
+    return value.upper().rstrip("=") == base64.b32encode(digest).decode().rstrip("=") or value.lower() == digest.hex()
+
+
+def _page(name: str | None) -> int | None:
+    m = re.fullmatch(r"<urn:page:(-?\d+)>", name or "")
+    return int(m[1]) if m else None
+
+
 def parse(data: bytes) -> dict:
-    """A record's page_id, payload_bytes, payload_digest, record_type, refers_to, url and payload (None of revisits)."""
+    """A record's columns: record_id, record_type, page_id, payload_bytes, payload_digest, refers_to, refers_to_id, url, date and payload.
+
+    The payload of HTTP blocks is what follows the HTTP header, of others the whole block; a revisit has none (null), and its
+    payload_bytes are what its HTTP header says (null without).  payload_digest: the record's, or the SHA-1 of its payload;
+    bare, without the name of a SHA-1.  page_id and refers_to: the numbers in ids of our own kind, else null.
+    """
     head, blank, rest = data.partition(b"\r\n\r\n")
     version, _, lines = head.partition(b"\r\n")
     if not blank or version not in (b"WARC/1.0", VERSION):
         raise WarcError(f"no WARC record: {version[:20]!r}")
     headers = _headers(lines, "a WARC record")
-    missing = {"warc-type", "warc-record-id", "warc-date", "content-length", "warc-payload-digest"} - headers.keys()
-    if missing:
+    if missing := REQUIRED - headers.keys():
         raise WarcError(f"headers are missing: {sorted(missing)}")
     if not headers["content-length"].isdigit() or len(rest) != int(headers["content-length"]) + 4 or not rest.endswith(b"\r\n\r\n"):
         raise WarcError(f"a block of {len(rest) - 4} bytes, by its header {headers['content-length']}")
-    block = rest[:-4]
-    if "warc-block-digest" in headers and headers["warc-block-digest"] != f"sha1:{sha1_base32(block)}":
+    block, kind = rest[:-4], headers["warc-type"]
+    if not _is_digest(headers.get("warc-block-digest", ""), block):
         raise WarcError("the block isn't what its digest says")
-    http, blank, payload = block.partition(b"\r\n\r\n")
-    status, _, lines = http.partition(b"\r\n")
-    if not blank or not status.startswith(b"HTTP/"):
-        raise WarcError("no HTTP header")
-    size = _headers(lines, "an HTTP header").get("content-length", "")
-    digest = headers["warc-payload-digest"].removeprefix("sha1:")
-    kind = headers["warc-type"]
-    if kind not in ("response", "revisit") or not size.isdigit():
-        raise WarcError(f"a record of type {kind}, its length {size!r}")
-    if kind == "response" and (len(payload) != int(size) or sha1_base32(payload) != digest):
-        raise WarcError("the payload isn't what its length and digest say")
-    if kind == "revisit" and (payload or "warc-refers-to" not in headers):
+    payload, size = block, None
+    if kind in ("response", "revisit", "request") and headers.get("content-type", "").startswith("application/http"):
+        http, blank, payload = block.partition(b"\r\n\r\n")
+        start, _, lines = http.partition(b"\r\n")
+        if (not blank or b"HTTP/" not in start) and not (kind == "revisit" and not block):
+            raise WarcError("no HTTP header")
+        inner = _headers(lines, "an HTTP header") if lines else {}
+        length = inner.get("content-length", "")
+        size = int(length) if length.isdigit() else None
+        whole = "warc-truncated" not in headers and "transfer-encoding" not in inner
+        if kind == "response" and whole and size is not None and len(payload) != size:
+            raise WarcError("the payload isn't as long as its header says")
+    revisit = kind == "revisit"
+    given = headers.get("warc-payload-digest")
+    if given and not revisit and "warc-truncated" not in headers and not _is_digest(given, payload):
+        raise WarcError("the payload isn't what its digest says")
+    if revisit and (payload or not {"warc-refers-to", "warc-refers-to-target-uri"} & headers.keys()):
         raise WarcError("a revisit with a payload, or that refers to nothing")
-
-    def number(name: str) -> int | None:
-        if not (m := re.fullmatch(r"<urn:page:(-?\d*)>", name)):
-            raise WarcError(f"no page: {name}")
-        return int(m[1]) if m[1] else None
-
+    digest = re.sub("^sha1:", "", given, flags=re.I) if given else None if revisit else sha1_base32(payload)
+    refers = headers.get("warc-refers-to")
     return {
-        "page_id": number(headers["warc-record-id"]), "payload_bytes": int(size), "payload_digest": digest, "record_type": kind,
-        "refers_to": number(headers["warc-refers-to"]) if kind == "revisit" else None, "url": headers.get("warc-target-uri"), "payload": payload if kind == "response" else None,
+        "record_id": headers["warc-record-id"].strip("<>"), "record_type": kind, "page_id": _page(headers["warc-record-id"]), "payload_bytes": size if revisit else len(payload), "payload_digest": digest,
+        "refers_to": _page(refers), "refers_to_id": refers.strip("<>") if refers else None, "url": headers.get("warc-target-uri"), "date": headers["warc-date"], "payload": None if revisit else payload,
     }
 
 
@@ -256,10 +281,13 @@ def with_references(pages: DataFrame, least: int = 0) -> DataFrame:
     """page_id, url, html, refers_to and revisit of each row of pages(page_id, url, html)."""
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha2(payload, 256).alias("key"), F.octet_length(payload).alias("size"))
-    groups = rows.where(F.col("size") >= least).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first")).where("n > 1").select("key", "first")
-    # A payload of very many pages is split by Spark's skew join: nothing after it needs a key's rows together.
+    groups = rows.where(F.col("size") >= least).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first")).where("n > 1")
+    groups = materialise(groups, "payloads")
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    # A page without an equal one has no group; a payload of very many pages is dealt over several keys.
     again = ~F.col("page_id").eqNullSafe(F.col("first")) & F.col("first").isNotNull()
-    return rows.join(groups, "key", "left").select("page_id", "url", "html", F.when(again, F.col("first")).alias("refers_to"), again.alias("revisit"))
+    joined = spread_join(rows, groups, "key", "n", total, F.xxhash64("page_id", "url"))
+    return joined.select("page_id", "url", "html", F.when(again, F.col("first")).alias("refers_to"), again.alias("revisit"))
 
 
 def write_archives(pages: DataFrame, folder: str, least: int = 0, archive_bytes: int = ARCHIVE, date: str = "2000-01-01T00:00:00Z") -> DataFrame:
@@ -272,11 +300,13 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, archive_bytes:
     return materialise(rows.mapInArrow(partial(_write, folder=folder, archive_bytes=archive_bytes, date=date), "archive string, records long, bytes long"), "archives")
 
 
-_FIELDS = [("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]
+_FIELDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+_MORE = ", record_id string, refers_to_id string, url string, date string, payload binary"
 
 
 def _read(batches: Iterator[pa.RecordBatch], payloads: bool) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema(_FIELDS + ([("url", pa.string()), ("payload", pa.binary())] if payloads else []))
+    types = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    schema = pa.schema([(n, types[t]) for n, t in (f.split() for f in (_FIELDS + (_MORE if payloads else "")).split(", "))])
     for batch in batches:
         for content in batch.column(0):
             rows, size = [], 0
@@ -290,10 +320,9 @@ def _read(batches: Iterator[pa.RecordBatch], payloads: bool) -> Iterator[pa.Reco
 
 
 def read_archives(spark, folder: str, payloads: bool = False) -> DataFrame:
-    """A row for each record of the archives in a folder, checked; with payloads also url and payload (null of revisits)."""
+    """A row for each record of the archives in a folder, checked, of whatever type; with payloads all columns of ``parse``."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("content")
-    fields = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    return files.mapInArrow(partial(_read, payloads=payloads), fields + (", url string, payload binary" if payloads else ""))
+    return files.mapInArrow(partial(_read, payloads=payloads), _FIELDS + (_MORE if payloads else ""))
 
 
 def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
@@ -302,5 +331,5 @@ def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     written = write_archives(pages, folder, least)
     if not written.head(1):
-        return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+        return spark.createDataFrame([], _FIELDS)
     return read_archives(spark, folder)
