@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from fairspark.llm._text import stream64
 
 DIMENSIONS = 1024
-#: Texts and characters that are handled together.
-TEXTS, CHARACTERS = 512, 1 << 20
+#: Texts and characters that are handled together, and cells of a table of counts (texts x trigrams), unless one text has more.
+TEXTS, CHARACTERS, CELLS = 512, 1 << 20, 1 << 22
 
 
 @lru_cache(maxsize=1)
@@ -44,8 +44,23 @@ def letter_vector(code: int, dimensions: int) -> np.ndarray:
     return bits.astype(np.float32) * 2 - 1
 
 
-def trigram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Counts (texts x trigrams, float32) and the code points of the trigrams (trigrams x 3)."""
+def counted(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For runs of texts: the place of the first, counts (texts x trigrams, float32) and the code points of the trigrams (trigrams x 3).
+
+    Texts of scripts with very many letters have few trigrams in common: they are cut into runs of at most CELLS counts.
+    """
+    at, step = 0, len(texts)
+    while at < len(texts):
+        found = _trigram_counts(texts[at : at + step])
+        if found is None:
+            step = max(1, step // 2)
+            continue
+        yield at, *found
+        at += step
+
+
+def _trigram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+    """Counts and trigrams of texts; None if several texts have more than CELLS counts."""
     lowered = [t.lower() for t in texts]
     codes = np.frombuffer(("\n" + "\n".join(lowered) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
     signs = np.where(_letters()[codes], codes, 0)
@@ -66,6 +81,8 @@ def trigram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found, key = np.unique(key, return_inverse=True)
     if not len(key):
         return np.zeros((len(texts), 0), np.float32), np.zeros((0, 3), np.int64)
+    if len(texts) > 1 and len(texts) * len(found) > CELLS:
+        return None
     counts = np.bincount(owner * len(found) + key, minlength=len(texts) * len(found)).reshape(len(texts), -1)
     return counts.astype(np.float32), known[np.stack([found // (k * k), found // k % k, found % k], 1)]
 
@@ -101,12 +118,12 @@ def _learn(batches: Iterator[pa.RecordBatch], dimensions: int) -> Iterator[pa.Re
     for batch in batches:
         langs = batch.column(1).to_pylist()
         for start, texts in _together(batch, 0):
-            counts, trigrams = trigram_counts(texts)
-            own = np.array(langs[start : start + len(texts)], object)
-            names = sorted(set(own))
-            totals = np.stack([counts[own == name].sum(0, dtype=np.float64) for name in names])
-            for name, vector in zip(names, bundle(totals, trigrams, dimensions), strict=True):
-                sums[name] = sums.get(name, 0) + vector
+            for at, counts, trigrams in counted(texts):
+                own = np.array(langs[start + at : start + at + len(counts)], object)
+                names = sorted(set(own))
+                totals = np.stack([counts[own == name].sum(0, dtype=np.float64) for name in names])
+                for name, vector in zip(names, bundle(totals, trigrams, dimensions), strict=True):
+                    sums[name] = sums.get(name, 0) + vector
     yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.astype("<f8").tobytes() for v in sums.values()], pa.binary())], ["lang", "bundle"])
 
 
@@ -134,16 +151,16 @@ def _predict(batches: Iterator[pa.RecordBatch], dimensions: int, learned) -> Ite
     for batch in batches:
         found, scores = [], []
         for _, texts in _together(batch, 2):
-            counts, trigrams = trigram_counts(texts)
-            letters = counts.sum(1) > 0
-            if not names:
-                letters[:] = False
-            else:
-                vectors = _unit(bundle(counts, trigrams, dimensions))
-                cosines = _unit(vectors - shared) @ profiles.T
-                best = cosines.argmax(1)
-            found += [names[best[i]] if ok else "und" for i, ok in enumerate(letters)]
-            scores += [float(min(1.0, max(0.0, cosines[i, best[i]]))) if ok else 0.0 for i, ok in enumerate(letters)]
+            for _, counts, trigrams in counted(texts):
+                letters = counts.sum(1) > 0
+                if not names:
+                    letters[:] = False
+                else:
+                    vectors = _unit(bundle(counts, trigrams, dimensions))
+                    cosines = _unit(vectors - shared) @ profiles.T
+                    best = cosines.argmax(1)
+                found += [names[best[i]] if ok else "und" for i, ok in enumerate(letters)]
+                scores += [float(min(1.0, max(0.0, cosines[i, best[i]]))) if ok else 0.0 for i, ok in enumerate(letters)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
 
