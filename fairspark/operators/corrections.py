@@ -102,7 +102,7 @@ def resample(df: DataFrame, group: str, key: str, target: str = "y", seed: int =
     cells = cells.select(group, target, "n", ((upto - mass) / F.sum(mass).over(Window.partitionBy(F.lit(0)))).alias("lo"), (upto / F.sum(mass).over(Window.partitionBy(F.lit(0)))).alias("hi"))
     draws = df.agg(F.abs(F.sum(F.col(group).cast("long")) - F.sum(1 - F.col(group).cast("long")))).first()[0] or 0
     drawn = df.sparkSession.range(draws).select(F.col("id").alias("draw"), (hash32("id", seed) / F.lit(float(1 << 32))).alias("u1"))
-    second = F.pmod(F.col("draw").cast("decimal(38,0)") * F.lit(2246822519).cast("decimal(20,0)") + F.lit(seed * 97), F.lit(1 << 32).cast("decimal(20,0)")).cast("double") / F.lit(float(1 << 32))
+    second = hash32("draw", seed, 2246822519, 97) / F.lit(float(1 << 32))
     drawn = drawn.join(F.broadcast(cells), (F.col("u1") >= F.col("lo")) & (F.col("u1") < F.col("hi")))
     drawn = drawn.select("draw", F.col(group).alias("_s"), F.col(target).alias("_y"), (F.floor(second * F.col("n")) + 1).alias("_place"))
     rows = ranked(df, [group, target], [F.col(key)], sliced_by(F.col(key).cast("double"), value_edges(df, key)), "_rank")
@@ -114,16 +114,41 @@ def reweigh_and_append(df: DataFrame, group: str, key: str, target: str = "y", s
     return df.unionByName(resample(df, group, key, target, seed).drop("draw"))
 
 
-def repair(df: DataFrame, group: str, key: str, feature: str, level: float = 1.0, out: str = "repaired") -> DataFrame:
-    """Moves a feature's distribution in each group to the median one.
+def repair_all(df: DataFrame, group: str, key: str, features: Sequence[str], level: float = 1.0) -> DataFrame:
+    """(key, feature, x, repaired) of each row and feature: a feature's distribution in each group moved to the median one.
 
     Rows of a group are cut by rank into as many quantiles as the smallest group has rows; a quantile's new value is the
-    median over groups of its medians.  level 1 replaces values, lower ones mix old and new.
+    median over groups of its medians.  level 1 replaces values, lower ones mix old and new.  All features are ranked together;
+    a quantile's median is read off at its middle ranks, so that no task holds a quantile, however few there are.
     """
-    x = F.col(feature).cast("double")
-    rows = ranked(df, [group], [x, F.col(key)], sliced_by(x, value_edges(df, feature)), "_rank", "_n")
+    values = [F.struct(F.lit(f).alias("feature"), F.col(f"`{f}`").cast("double").alias("x")) for f in features]
+    long = df.select(F.col(key).alias("key"), F.col(group).alias("g"), F.inline(F.array(*values)))
+    slices = F.lit(0)
+    for f in features:
+        slices = F.when(F.col("feature") == f, sliced_by(F.col("x"), value_edges(df, f))).otherwise(slices)
+    rows = ranked(long, ["feature", "g"], [F.col("x"), F.col("key")], slices, "_rank", "_n")
     least = df.groupBy(group).count().agg(F.min("count")).first()[0] or 0
-    rows = rows.withColumn("_q", F.floor((F.col("_rank") - 1) * F.lit(least) * F.lit(1.0) / F.col("_n")).cast("long"))
-    medians = rows.groupBy(group, "_q").agg(F.median(x).alias("_m")).groupBy("_q").agg(F.median("_m").alias("_new"))
-    joined = rows.join(medians, "_q")
-    return joined.withColumn(out, (1 - level) * x + level * F.col("_new")).drop("_q", "_n", "_rank", "_new")
+    rank, n = F.col("_rank") - 1, F.col("_n")
+    rows = rows.withColumn("_q", F.expr(f"((_rank - 1) * {least}L) div _n"))
+    # A quantile's ranks run from ceil(q n / least) to ceil((q + 1) n / least) - 1.
+    ceiling = lambda x: F.expr(f"(({x}) * _n + {max(least, 1) - 1}L) div {max(least, 1)}L")
+    low, high = ceiling("_q"), ceiling("_q + 1") - 1
+    middle = (rank == F.shiftright(low + high, 1)) | (rank == F.shiftright(low + high + 1, 1))
+    medians = rows.where(middle).groupBy("feature", "g", "_q").agg(F.avg("x").alias("_m")).groupBy("feature", "_q").agg(F.median("_m").alias("_new"))
+    joined = rows.join(medians, ["feature", "_q"])
+    return joined.select("key", "feature", "x", ((1 - level) * F.col("x") + level * F.col("_new")).alias("repaired"))
+
+
+def repair(df: DataFrame, group: str, key: str, feature: str, level: float = 1.0, out: str = "repaired") -> DataFrame:
+    """The rows with the repaired values of one feature beside the old ones."""
+    new = repair_all(df, group, key, [feature], level).select(F.col("key").alias(f"_{key}"), F.col("repaired").alias(out))
+    return df.join(new, F.col(key).eqNullSafe(F.col(f"_{key}"))).drop(f"_{key}")
+
+
+def repaired(df: DataFrame, group: str, key: str, features: Sequence[str], level: float = 1.0) -> DataFrame:
+    """The rows with all features replaced by repaired ones."""
+    if not features:
+        return df
+    new = repair_all(df, group, key, features, level).groupBy("key").agg(*(F.max(F.when(F.col("feature") == f, F.col("repaired"))).alias(f"_new{i}") for i, f in enumerate(features)))
+    joined = df.join(new.withColumnRenamed("key", "_key"), F.col(key) == F.col("_key"), "left").drop("_key")
+    return joined.withColumns({f: F.col(f"_new{i}") for i, f in enumerate(features)}).select(*df.columns)

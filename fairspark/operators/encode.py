@@ -7,9 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from fairspark.operators.ranking import hash32, ranked
+from fairspark.operators.ranking import hash32, ranked, running_total, sliced_by
 
 #: Fixed value: edges closer than this are one.
 NEAR = 1e-8
@@ -21,15 +20,35 @@ def drop_invalid(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def quantile_edges(df: DataFrame, columns: Sequence[str], bins: int = 4) -> dict[str, list[float]]:
-    """Interior edges of each column: exact, linearly interpolated percentiles; edges that coincide are merged."""
+    """Interior edges of each column: exact, linearly interpolated percentiles; edges that coincide are merged.
+
+    Values are counted (combined before the shuffle) and their counts added up by slices of the order; only the values at
+    the percentiles' ranks come back, at most two for each.
+    """
     if not columns:
         return {}
     at = [i / bins for i in range(bins + 1)]
-    row = df.agg(*(F.percentile(F.col(c).cast("double"), at).alias(c) for c in columns)).first()
+    numbers = [F.col(f"`{c}`").cast("double") for c in columns]
+    values = df.select(F.inline(F.array(*(F.struct(F.lit(i).alias("c"), x.alias("v")) for i, x in enumerate(numbers))))).where("v IS NOT NULL")
+    cuts = df.agg(*(F.percentile_approx(x, [i / 256 for i in range(1, 256)], 1024).alias(f"c{i}") for i, x in enumerate(numbers))).first()
+    slices = F.lit(0)
+    for i in range(len(columns)):
+        slices = F.when(F.col("c") == i, sliced_by(F.col("v"), sorted(set(cuts[f"c{i}"] or [])))).otherwise(slices)
+    counted = running_total(values.groupBy("c", "v").agg(F.count(F.lit(1)).alias("n")), ["c"], "n", [F.col("v")], slices, "upto", "all")
+    # The value of rank k (from 0) is that with upto - n <= k < upto.
+    ranks = F.array(*(F.floor(F.lit(q) * (F.col("all") - 1)) + d for q in at for d in (0, 1)))
+    wanted = counted.where(F.exists(ranks, lambda k: (k >= F.col("upto") - F.col("n")) & (k < F.col("upto"))))
+    found: dict[int, list] = {}
+    for r in wanted.select("c", "v", F.col("upto").alias("upto"), "n", "all").collect():  # at most two a percentile and column
+        found.setdefault(r.c, []).append(r)
     out = {}
-    for c in columns:
-        kept: list[float] = []
-        for edge in row[c] or []:
+    for i, c in enumerate(columns):
+        rows, kept = sorted(found.get(i, []), key=lambda r: r.v), []
+        value = lambda k: next(r.v for r in rows if r.upto - r.n <= k < r.upto)  # noqa: E731, B023
+        for q in at if rows else ():
+            place = q * (rows[0]["all"] - 1)
+            low = int(place)
+            edge = value(low) if place == low else value(low) + (value(low + 1) - value(low)) * (place - low)
             if not kept or edge - kept[-1] > NEAR:
                 kept.append(edge)
         out[c] = kept[1:-1]
@@ -51,32 +70,32 @@ def quantile_bins(df: DataFrame, columns: Sequence[str], bins: int = 4) -> DataF
 
 
 def label_codes(df: DataFrame, column: str) -> DataFrame:
-    """(value, code) of the distinct non-null values, codes by ascending value from 0."""
-    values = df.select(F.col(column).alias("value")).where("value IS NOT NULL").distinct()
-    return values.withColumn("code", F.row_number().over(Window.orderBy("value")) - 1)
+    """(value, code) of the distinct non-null values, codes by ascending value from 0.
 
+    Values are ranked by slices of their first bytes, so that no task sorts them all.
+    """
+    values = df.select(F.col(f"`{column}`").alias("value")).where("value IS NOT NULL").distinct()
+    first = F.hex(F.substring(F.col("value").cast("string").cast("binary"), 1, 2)) if isinstance(values.schema[0].dataType, T.StringType) else F.lit(0)
+    return ranked(values, [], [F.col("value")], first, "code").select("value", (F.col("code") - 1).cast("int").alias("code"))
 
-def label_encode(df: DataFrame, columns: Sequence[str] | None = None, most: int = 10_000) -> tuple[DataFrame, dict[str, dict[int, str]]]:
-    """Text columns replaced by codes, and each one's code -> value.
 
-    Categories of up to ``most`` values are found in one pass over the rows and joined by broadcast; larger ones, which
-    have no mapping here, are joined by key to ``label_codes``.
-    """
+def label_encode(df: DataFrame, columns: Sequence[str] | None = None) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Text columns replaced by codes, and the table (value, code) of each; tables are joined by key, whatever their size."""
     columns = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)] if columns is None else list(columns)
-    if not columns:
-        return df, {}
-    spark, mappings, out = df.sparkSession, {}, df
-    sizes = df.agg(*(F.approx_count_distinct(c).alias(c) for c in columns)).first()
-    small = [c for c in columns if sizes[c] <= most]
-    values = df.agg(*(F.collect_set(c).alias(c) for c in small)).first() if small else {}
+    tables, out = {}, df
     for i, c in enumerate(columns):
-        if c in small:
-            mappings[c] = dict(enumerate(sorted(values[c])))
-            codes = F.broadcast(spark.createDataFrame([(v, k) for k, v in mappings[c].items()], f"_value{i} string, _code{i} int"))
-        else:
-            codes = label_codes(df, c).select(F.col("value").alias(f"_value{i}"), F.col("code").alias(f"_code{i}"))
+        tables[c] = label_codes(df, c)
+        codes = tables[c].select(F.col("value").alias(f"_value{i}"), F.col("code").alias(f"_code{i}"))
         out = out.join(codes, F.col(f"`{c}`") == F.col(f"_value{i}"), "left").withColumn(c, F.col(f"_code{i}")).drop(f"_value{i}", f"_code{i}")
-    return out, mappings
+    return out, tables
+
+
+def labels_of(table: DataFrame, most: int = 10_000) -> dict[int, str]:
+    """code -> value of a table of codes that must be small, as groups of a protected attribute are; larger ones raise."""
+    rows = table.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} labels")
+    return {r.code: r.value for r in sorted(rows, key=lambda r: r.code)}
 
 
 def dummies(df: DataFrame, column: str, labels: Mapping[int, str]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fairspark.functions.scalar import ratio, squared_error_to_one
 from fairspark.operators.contingency import contingency, with_rest
+from fairspark.operators.neighbours import consistency
 
 
 def _rates(prefix: str) -> dict[str, Column]:
@@ -51,14 +52,25 @@ METRICS = {
 }
 
 
-def fairness(df: DataFrame, group: str, truth: str = "y", prediction: str = "p", within: Sequence[str] = (), metrics: Sequence[str] = tuple(METRICS)) -> DataFrame:
-    """One row a group (``value``), each against the rest, with ``fairness_<metric>`` columns."""
+def fairness(df: DataFrame, group: str, truth: str = "y", prediction: str = "p", within: Sequence[str] = (), metrics: Sequence[str] = tuple(METRICS), key: str | None = None, features: Sequence[str] = ()) -> DataFrame:
+    """One row a group (``value``), each against the rest, with ``fairness_<metric>`` columns.
+
+    With features (and an integer key that tells rows apart) there is ``fairness_consistency`` too: three nearest neighbours
+    by the features and by being in the group.
+    """
     counts = with_rest(contingency(df, *within, group, truth=truth, prediction=prediction), *within)
-    return counts.select(*within, F.col(group).alias("value"), *(METRICS[m]().alias(f"fairness_{m}") for m in metrics))
+    out = counts.select(*within, F.col(group).alias("value"), *(METRICS[m]().alias(f"fairness_{m}") for m in metrics))
+    if not features:
+        return out
+    if within or key is None:
+        raise ValueError("consistency needs a key, and is of all rows")
+    near = consistency(df, key, group, features, prediction).select(F.col("value").alias("_value"), F.col("consistency").alias("fairness_consistency"))
+    return out.join(near, F.col("value").cast("string").eqNullSafe(F.col("_value")), "left").drop("_value")
 
 
-def group_sse(df: DataFrame, group: str, truth: str = "y", prediction: str = "p", within: Sequence[str] = ()) -> DataFrame:
+def group_sse(df: DataFrame, group: str, truth: str = "y", prediction: str = "p", within: Sequence[str] = (), key: str | None = None, features: Sequence[str] = ()) -> DataFrame:
     """The squared errors to 1 of each metric, summed over groups: the fitness of a correction."""
-    bundle = fairness(df, group, truth, prediction, within)
-    sums = [F.sum(squared_error_to_one(f"fairness_{m}")).alias(f"sse_{m}") for m in METRICS]
+    bundle = fairness(df, group, truth, prediction, within, key=key, features=features)
+    names = [*METRICS, *(["consistency"] if features else [])]
+    sums = [F.sum(squared_error_to_one(f"fairness_{m}")).alias(f"sse_{m}") for m in names]
     return bundle.groupBy(*within).agg(*sums) if within else bundle.agg(*sums)

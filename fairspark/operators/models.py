@@ -1,15 +1,21 @@
 """Classifiers by name, fitted once and used as often as needed.
 
-pyspark.ml has no kernel support vector machine and no XGBoost: linear_svc and gbt stand here under their own names.
+pyspark.ml has no kernel support vector machine: rbf_svc is a linear one on random Fourier features of the radial kernel, which
+approximate it the better the more there are.  It has no XGBoost: gbt stands here under its own name.  Trees grow to a
+depth of 30, the most that Spark allows, and look at quantile bins of a feature; both are parameters.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+from typing import NamedTuple
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,49 +23,105 @@ from fairspark.operators.distribution import three_sets
 from fairspark.operators.encode import common_columns
 from fairspark.operators.fairness import fairness
 from fairspark.operators.performance import performance
+from fairspark.plans.storage import checkpointed
 
 _COLUMNS = {"labelCol": "target", "featuresCol": "_features", "predictionCol": "prediction"}
 
 
-def classifier(name: str, seed: int = 42, rows: int = 1000):
-    """A new classifier; rows: of the training data, for the strength of the logistic penalty."""
+@dataclass(frozen=True)
+class Settings:
+    """depth and bins of trees, trees of a forest, depth and rounds of boosting, random features and penalty of rbf_svc."""
+
+    depth: int = 30
+    bins: int = 256
+    trees: int = 100
+    boosted_depth: int = 6
+    rounds: int = 50
+    waves: int = 256
+    c: float = 1.0
+
+
+DEFAULTS = Settings()
+
+
+def classifier(name: str, seed: int = 42, rows: int = 1000, settings: Settings = DEFAULTS):
+    """A new classifier; rows: of the training data, for the strength of penalties."""
+    s = settings
     made = {
         "logistic_regression": lambda: LogisticRegression(regParam=1.0 / max(rows, 1), elasticNetParam=0.0, standardization=False, **_COLUMNS),
         "linear_svc": lambda: LinearSVC(**_COLUMNS),
+        "rbf_svc": lambda: LinearSVC(regParam=1.0 / (s.c * max(rows, 1)), standardization=False, maxIter=60, **_COLUMNS),
         "gaussian_nb": lambda: NaiveBayes(modelType="gaussian", **_COLUMNS),
-        "decision_tree": lambda: DecisionTreeClassifier(maxDepth=10, maxBins=256, seed=seed, **_COLUMNS),
-        "random_forest": lambda: RandomForestClassifier(numTrees=100, maxDepth=10, maxBins=256, seed=seed, **_COLUMNS),
-        "gbt": lambda: GBTClassifier(maxIter=50, maxBins=256, seed=seed, **_COLUMNS),
+        "decision_tree": lambda: DecisionTreeClassifier(maxDepth=s.depth, maxBins=s.bins, seed=seed, **_COLUMNS),
+        "random_forest": lambda: RandomForestClassifier(numTrees=s.trees, maxDepth=s.depth, maxBins=s.bins, seed=seed, **_COLUMNS),
+        "gbt": lambda: GBTClassifier(maxIter=s.rounds, maxDepth=s.boosted_depth, maxBins=s.bins, seed=seed, **_COLUMNS),
     }
     if name not in made:
         raise ValueError(f"no such classifier: {name}")
     return made[name]()
 
 
-SURROGATES = ("logistic_regression", "linear_svc", "gaussian_nb", "decision_tree", "random_forest")
+SURROGATES = ("logistic_regression", "rbf_svc", "gaussian_nb", "decision_tree", "random_forest")
 TARGET = "gbt"
 
 
-def fit(train: DataFrame, name: str, features: Sequence[str], seed: int = 42) -> PipelineModel:
-    rows = train.count() if name == "logistic_regression" else 1000
-    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_features"), classifier(name, seed, rows)]).fit(train.withColumn("target", F.col("target").cast("double")))
+class Fitted(NamedTuple):
+    """A fitted pipeline and the expression that gives its ``_features``."""
+
+    model: PipelineModel
+    features: Callable[[DataFrame], DataFrame]
+
 
+def _waves(train: DataFrame, features: Sequence[str], count: int, seed: int) -> Callable[[DataFrame], DataFrame]:
+    """Adds cos(w x + b) for ``count`` random w of the kernel exp(-gamma |x - y|^2), gamma 1 / (features x variance of all values)."""
+    sums = train.agg(F.count(F.lit(1)).alias("n"), *(f(F.col(c).cast("double") * m).alias(f"{k}{i}") for i, c in enumerate(features) for k, f, m in (("s", F.sum, 1), ("q", F.sum, F.col(c).cast("double"))))).first()
+    cells = max(sums["n"] * len(features), 1)
+    mean = sum(sums[f"s{i}"] or 0.0 for i in range(len(features))) / cells
+    spread = sum(sums[f"q{i}"] or 0.0 for i in range(len(features))) / cells - mean * mean
+    gamma = 1.0 / (len(features) * spread) if spread > 0 else 1.0
+    rng = np.random.default_rng(seed)
+    w, b = rng.normal(size=(count, len(features))) * np.sqrt(2 * gamma), rng.uniform(0, 2 * np.pi, count)
+    literal = F.array(*(F.struct(F.array(*(F.lit(float(x)) for x in row)).alias("w"), F.lit(float(shift)).alias("b")) for row, shift in zip(w, b, strict=True)))
 
-def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
+    def add(df: DataFrame) -> DataFrame:
+        x = F.array(*(F.col(c).cast("double") for c in features))
+        rows = df.withColumn("_x", x)
+        dot = lambda wave: F.aggregate(F.zip_with(wave["w"], F.col("_x"), lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+        return rows.withColumn("_features", array_to_vector(F.transform(literal, lambda wave: F.cos(dot(wave) + wave["b"]) * float(np.sqrt(2 / count))))).drop("_x")
+
+    return add
+
+
+def fit(train: DataFrame, name: str, features: Sequence[str], seed: int = 42, settings: Settings = DEFAULTS) -> Fitted:
+    rows = train.count() if name in ("logistic_regression", "rbf_svc") else 1000
+    if name == "rbf_svc":
+        add = _waves(train, features, settings.waves, seed)
+    else:
+        assembler = VectorAssembler(inputCols=list(features), outputCol="_features")
+        add = assembler.transform
+    return Fitted(Pipeline(stages=[classifier(name, seed, rows, settings)]).fit(add(train.withColumn("target", F.col("target").cast("double")))), add)
+
+
+def predict(fitted: Fitted, rows: DataFrame) -> DataFrame:
     """The rows with ``prediction`` (0/1)."""
     keep = rows.columns
-    return model.transform(rows).select(*keep, F.col("prediction").cast("int").alias("prediction"))
+    return fitted.model.transform(fitted.features(rows)).select(*(F.col(f"`{c}`") for c in keep), F.col("prediction").cast("int").alias("prediction"))
 
 
-def fit_predict(train: DataFrame, validation: DataFrame, name: str, features: Sequence[str], seed: int = 42) -> DataFrame:
+def fit_predict(train: DataFrame, validation: DataFrame, name: str, features: Sequence[str], seed: int = 42, settings: Settings = DEFAULTS) -> DataFrame:
     """Fits to the features that both have, chosen by name."""
     both = [c for c in common_columns(train, validation) if c in set(features)]
-    return predict(fit(train, name, both, seed), validation)
+    return predict(fit(train, name, both, seed, settings), validation)
+
 
+def assess(train: DataFrame, validation: DataFrame, name: str, features: Sequence[str], protected: str, seed: int = 42, key: str = "row_id", settings: Settings = DEFAULTS) -> tuple[DataFrame, DataFrame]:
+    """(metrics, distributions) of one classifier: a row a group, and shares in the three sets.
 
-def assess(train: DataFrame, validation: DataFrame, name: str, features: Sequence[str], protected: str, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(metrics, distributions) of one classifier: a row a group, and shares in the three sets."""
-    scored = fit_predict(train, validation, name, features, seed).withColumn("y", F.col("target").cast("int")).withColumn("p", F.col("prediction"))
-    metrics = fairness(scored, protected).join(F.broadcast(performance(scored))).withColumn("classification_algorithm", F.lit(name))
+    Predictions are written to the shared folder, as four aggregations read them.
+    """
+    scored = fit_predict(train, validation, name, features, seed, settings).withColumn("y", F.col("target").cast("int")).withColumn("p", F.col("prediction"))
+    scored = checkpointed(scored)
+    looked_at = [c for c in features if c in scored.columns]
+    metrics = fairness(scored, protected, key=key, features=looked_at).join(F.broadcast(performance(scored))).withColumn("classification_algorithm", F.lit(name))
     shares = three_sets(train.withColumn("y", F.col("target").cast("int")), scored, protected).withColumn("classification_algorithm", F.lit(name))
     return metrics, shares

@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def hash32(key: Column | str, seed: int = 42, factor: int = 2654435761) -> Column:
+def hash32(key: Column | str, seed: int = 42, factor: int = 2654435761, step: int = 40503) -> Column:
     """A whole number below 2^32 from an integer key and a seed, by plain arithmetic that any SQL engine has."""
     key = F.col(key) if isinstance(key, str) else key
-    return F.pmod(key.cast("decimal(38,0)") * F.lit(factor).cast("decimal(20,0)") + F.lit(seed * 40503), F.lit(1 << 32).cast("decimal(20,0)")).cast("long")
+    # In 32-bit halves: nothing passes 2^63, and the result is that of unbounded arithmetic.
+    low, high, two = F.pmod(key.cast("long"), F.lit(1 << 16)), F.pmod(F.shiftright(key.cast("long"), 16), F.lit(1 << 16)), F.lit(1 << 32)
+    return F.pmod(low * F.lit(factor) + F.pmod(high * F.lit(factor), F.lit(1 << 16)) * F.lit(1 << 16) + F.lit(seed * step), two)
 
 
 def value_edges(df: DataFrame, column: str, slices: int = 256) -> list[float]:
@@ -33,6 +35,18 @@ def sliced_by(column: Column, edges: Sequence[float]) -> Column:
     return F.coalesce(F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= column)), F.lit(-1))
 
 
+def running_total(df: DataFrame, keys: Sequence[str], weight: str, order: Sequence[Column], slice_: Column, total: str = "total", whole: str | None = None) -> DataFrame:
+    """Adds the sum of ``weight`` up to and with each row by ``order`` within ``keys``, and of all; slice_ ascends with the order."""
+    df, by = df.withColumn("_slice", slice_), list(keys)
+    sums = df.groupBy(*by, "_slice").agg(F.sum(weight).alias("_in"))
+    everything = Window.partitionBy(*(by or [F.lit(0)]))
+    before = F.coalesce(F.sum("_in").over(everything.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(*by, "_slice", before.alias("_before"), F.sum("_in").over(everything).alias("_all"))
+    joined = df.alias("a").join(sums.alias("b"), [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*by, "_slice"]]).select("a.*", "b._before", "b._all")
+    out = joined.withColumn(total, F.col("_before") + F.sum(weight).over(Window.partitionBy(*by, "_slice").orderBy(*order)))
+    return (out.withColumn(whole, F.col("_all")) if whole else out).drop("_slice", "_before", "_all")
+
+
 def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], slice_: Column, rank: str = "rank", count: str | None = None) -> DataFrame:
     """Adds the rank (from 1) of each row by ``order`` within ``keys``, and their count; slice_ must ascend with the order."""
     df = df.withColumn("_slice", slice_)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fairspark.functions.scalar import squared_error_to_one
+from fairspark.operators.ranking import ranked
 
 
 def _number(x: str) -> Column:
@@ -68,7 +69,9 @@ def same_shape(df: DataFrame, seed: str) -> DataFrame:
 def genotype_frequency(df: DataFrame, genotype: str, ordinal: str) -> DataFrame:
     """(genotype, n, first, code): counts, and codes by falling count, ties in order of appearance, from 0."""
     counts = df.groupBy(F.col(genotype).alias("genotype")).agg(F.count(F.lit(1)).alias("n"), F.min(ordinal).alias("first"))
-    return counts.withColumn("code", F.row_number().over(Window.orderBy(F.desc("n"), "first")) - 1)  # one row a distinct genotype
+    # Slices by count and then by place of first appearance, so that no task sorts all genotypes.
+    out = ranked(counts, [], [F.desc("n"), F.col("first")], F.struct(-F.col("n"), F.shiftright(F.col("first").cast("long"), 20)), "code")
+    return out.withColumn("code", (F.col("code") - 1).cast("int"))
 
 
 def evolution_means(df: DataFrame, generation: str, columns: Sequence[str] | None = None) -> DataFrame:

@@ -61,10 +61,24 @@ def without_set(df: DataFrame, name: str = "Validation") -> DataFrame:
     return df.where(~F.col("set").eqNullSafe(F.lit(name)))
 
 
-def latex(rows: Sequence[Sequence[str]], header: Sequence[str]) -> str:
-    """A small table as LaTeX text."""
+def coloured_cells(coloured: DataFrame, metrics: Sequence[str]) -> DataFrame:
+    """The rows of ``colours`` with a column ``<metric>_cell``: the text, after the command of its colour if it has one."""
+    cell = lambda m: F.concat(F.when(F.col(f"{m}_colour") != "", F.concat(F.lit("\\"), F.col(f"{m}_colour"), F.lit(" "))).otherwise(""), F.col(f"{m}_text"))
+    return coloured.withColumns({f"{m}_cell": cell(m) for m in metrics})
+
+
+def latex(rows: Sequence[Sequence[str]], header: Sequence[str], align: str | None = None) -> str:
+    """A small table as LaTeX text; align: its columns, by default all to the left."""
     body = [" & ".join(map(str, r)) + r" \\" for r in rows]
-    return "\n".join([r"\begin{tabular}{" + "l" * len(header) + "}", r"\toprule", " & ".join(header) + r" \\", r"\midrule", *body, r"\bottomrule", r"\end{tabular}"])
+    return "\n".join([r"\begin{tabular}{" + (align or "l" * len(header)) + "}", r"\toprule", " & ".join(header) + r" \\", r"\midrule", *body, r"\bottomrule", r"\end{tabular}"])
+
+
+def latex_of(df: DataFrame, columns: Sequence[str], order: Sequence[str], header: Sequence[str] | None = None, align: str | None = None, most: int = 10_000) -> str:
+    """A small result as LaTeX text, rows in order; a larger one raises."""
+    rows = df.orderBy(*order).select(*columns).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows")
+    return latex([tuple(r) for r in rows], header or columns, align)
 
 
 def best_and_population(df: DataFrame, classifiers: Sequence[str], metric: str) -> DataFrame:

@@ -12,12 +12,18 @@ from pyspark.sql.window import Window
 from fairspark.functions import scalar
 from fairspark.operators import contingency, corrections, distribution, encode, fairness, models, neighbours, performance, reduce, report
 from fairspark.operators.feature_search import select_features
-from fairspark.operators.pipeline_search import Search, apply_sequence, decoded, gene_pool, space_size
-from fairspark.plans.storage import checkpointed
+from fairspark.operators import feature_search as feature_searches
+from fairspark.operators import pipeline_search as sequence_searches
+from fairspark.operators.pipeline_search import Search, decoded, everything, flatten, gene_pool, space_size
+from fairspark.plans import assessment
 from fairspark.plans.views import VIEW_SQL, VIEWS, documents_view, events_view, lineitem_view, orders_view, table
 from fairspark.streaming.contingency import live_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
+
+#: What ``pipeline_search`` runs with; the published figures (the defaults of both settings) take hours of model fits.
+SMALL_SEQUENCES = sequence_searches.Settings(size=4, generations=2, tournament=2, elite=1)
+SMALL_FEATURES = feature_searches.Settings(size=3, generations=1, folds=2, model="decision_tree")
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
@@ -52,6 +58,16 @@ _SQL_METRICS = {
 }
 
 
+#: Consistency of view v by group: of each vector (f, in the group or not) the three nearest rows, ties to the smaller key.
+_CONSISTENCY = """rr AS (SELECT k.grp, v.key, v.f, (v.g = k.grp)::INT AS own, v.p::DOUBLE AS p FROM (SELECT DISTINCT g AS grp FROM v) k CROSS JOIN v),
+cc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY grp, f, own ORDER BY key) AS k FROM rr) q WHERE k <= 3),
+nn AS (SELECT * FROM (SELECT d.grp, d.f, d.own, cc.key AS ck, cc.p AS cp, row_number() OVER (PARTITION BY d.grp, d.f, d.own ORDER BY (d.f - cc.f) * (d.f - cc.f) + (d.own - cc.own) * (d.own - cc.own), cc.key) AS place
+  FROM (SELECT DISTINCT grp, f, own FROM rr) d JOIN cc ON d.grp = cc.grp) q WHERE place <= 3),
+oo AS (SELECT * FROM (SELECT rr.grp, rr.key, rr.p, nn.cp, row_number() OVER (PARTITION BY rr.grp, rr.key ORDER BY nn.place) AS j FROM rr JOIN nn ON rr.grp = nn.grp AND rr.f = nn.f AND rr.own = nn.own WHERE nn.ck <> rr.key) q WHERE j <= 2),
+mm AS (SELECT grp, key, max(p) AS p, (max(p) + sum(cp)) / (1 + count(*)) AS mean FROM oo GROUP BY grp, key),
+near AS (SELECT grp, 1 - avg(abs(p - mean)) AS consistency FROM mm GROUP BY grp)"""
+
+
 def _add_views() -> None:
     for view, read in VIEWS.items():
         for metric, text in _SQL_METRICS.items():
@@ -61,15 +77,17 @@ def _add_views() -> None:
             _register(f"{metric}_{view}", f"{_ctes(view)} SELECT value, {text} AS fairness_{metric} FROM t GROUP BY value")(one)
 
         def bundle(spark, d, read=read):
-            return fairness.fairness(read(spark, d), "g")
+            return fairness.fairness(read(spark, d), "g", key="key", features=["f"])
 
-        _register(f"fairness_bundle_{view}", f"{_ctes(view)} SELECT value, {', '.join(f'{x} AS fairness_{m}' for m, x in _SQL_METRICS.items())} FROM t GROUP BY value")(bundle)
+        bundled = f"SELECT value, {', '.join(f'{x} AS fairness_{m}' for m, x in _SQL_METRICS.items())} FROM t GROUP BY value"
+        seven = f"{_ctes(view)}, {_CONSISTENCY}, six AS ({bundled}), bundle AS (SELECT six.*, consistency AS fairness_consistency FROM six JOIN near ON value = near.grp)"
+        _register(f"fairness_bundle_{view}", f"{seven} SELECT * FROM bundle")(bundle)
 
         def sse(spark, d, read=read):
-            return fairness.group_sse(read(spark, d), "g")
+            return fairness.group_sse(read(spark, d), "g", key="key", features=["f"])
 
-        inner = f"SELECT value, {', '.join(f'{x} AS {m}' for m, x in _SQL_METRICS.items())} FROM t GROUP BY value"
-        _register(f"group_sse_fitness_{view}", f"{_ctes(view)} SELECT {', '.join(f'sum(({m} - 1) * ({m} - 1)) AS sse_{m}' for m in _SQL_METRICS)} FROM ({inner}) q")(sse)
+        errors = ", ".join(f"sum((fairness_{m} - 1) * (fairness_{m} - 1)) AS sse_{m}" for m in [*_SQL_METRICS, "consistency"])
+        _register(f"group_sse_fitness_{view}", f"{seven} SELECT {errors} FROM bundle")(sse)
 
         def perf(spark, d, read=read):
             return performance.performance(read(spark, d), metrics=tuple(performance.ALL))
@@ -170,7 +188,7 @@ def label_mapping(spark, d):
 @_register("one_hot_protected", 'SELECT l_orderkey, l_linenumber, (l_returnflag = \'A\')::DOUBLE AS "A", (l_returnflag = \'N\')::DOUBLE AS "N", (l_returnflag = \'R\')::DOUBLE AS "R" FROM lineitem')
 def one_hot_protected(spark, d):
     coded, mapping = encode.label_encode(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag"))
-    return encode.dummies(coded, "l_returnflag", mapping["l_returnflag"]).drop("l_returnflag")
+    return encode.dummies(coded, "l_returnflag", encode.labels_of(mapping["l_returnflag"])).drop("l_returnflag")
 
 
 @_register(
@@ -483,7 +501,7 @@ def _model_rows(spark, d) -> tuple[DataFrame, DataFrame]:
 
 
 def _add_models() -> None:
-    for name in (*models.SURROGATES, models.TARGET):
+    for name in (*models.SURROGATES, "linear_svc", models.TARGET):
         def one(spark, d, name=name):
             train, test = _model_rows(spark, d)
             return models.assess(train, test, name, ["price", "balance", "k"], "g")[0]
@@ -493,43 +511,78 @@ def _add_models() -> None:
 
 _add_models()
 
+#: A Gaussian naive Bayes in closed form on the rows of the model queries, and its assessment.
+SQL["model_assess_gaussian_nb_cells"] = (
+    """WITH b AS (SELECT o_orderkey AS id, c_mktsegment AS g, o_totalprice AS x0, c_acctbal AS x1, (o_custkey % 7)::DOUBLE AS x2, CASE WHEN o_totalprice + 100 * c_acctbal > 500000 THEN 1 ELSE 0 END AS y FROM orders JOIN customer ON o_custkey = c_custkey),
+h AS (SELECT *, (id * 2654435761 + 42 * 40503) % 4294967296 AS h FROM b), r AS (SELECT *, row_number() OVER (PARTITION BY g, y ORDER BY h, id) AS rn, count(*) OVER (PARTITION BY g, y) AS n FROM h),
+s AS (SELECT *, CASE WHEN rn <= floor(0.8e0 * n) THEN 'train' WHEN rn <= floor(0.9e0 * n) THEN 'val' ELSE 'test' END AS part FROM r),
+st AS (SELECT y AS k, count(*)::DOUBLE AS n, avg(x0) AS m0, avg(x1) AS m1, avg(x2) AS m2, var_pop(x0) AS v0, var_pop(x1) AS v1, var_pop(x2) AS v2 FROM s WHERE part = 'train' GROUP BY y),
+ev AS (SELECT greatest(var_pop(x0), var_pop(x1), var_pop(x2)) * 1e-9 AS e FROM s WHERE part = 'train'),
+ll AS (SELECT id, g, y, k, ln(st.n) - 0.5 * (ln(v0 + e) + ln(v1 + e) + ln(v2 + e) + (x0 - m0) ** 2 / (v0 + e) + (x1 - m1) ** 2 / (v1 + e) + (x2 - m2) ** 2 / (v2 + e)) AS l FROM s CROSS JOIN st CROSS JOIN ev WHERE part = 'test'),
+p AS (SELECT id, g, y, CASE WHEN max(CASE WHEN k = 1 THEN l END) > max(CASE WHEN k = 0 THEN l END) THEN 1 ELSE 0 END AS p FROM ll GROUP BY id, g, y)
+SELECT g, count(*) AS n, sum(p)::BIGINT AS pp, sum(y)::BIGINT AS pos, sum(y * p)::BIGINT AS tp, sum((1 - y) * p)::BIGINT AS fp FROM p GROUP BY g"""
+)
+
+
+@_register("model_assess_gaussian_nb_cells", SQL["model_assess_gaussian_nb_cells"])
+def model_assess_gaussian_nb_cells(spark, d):
+    """Contingency counts of the fitted model's predictions: what its assessment is made of."""
+    train, test = _model_rows(spark, d)
+    scored = models.fit_predict(train, test, "gaussian_nb", ["price", "balance", "k"])
+    return contingency.contingency(scored.select("g", F.col("target").cast("int").alias("y"), F.col("prediction").alias("p")), "g")
+
 
 @_register("feature_search")
 def feature_search(spark, d):
+    """The published search: 101 masks, 50 generations, 3 folds, a forest of 100 trees (each mask is fitted once)."""
     train, _ = _model_rows(spark, d)
-    kept = select_features(train, ["price", "balance", "k"], "g", "row_id", model="decision_tree", folds=2, size=4, generations=1)
+    kept = select_features(train, ["price", "balance", "k"], "g", "row_id")
     return spark.createDataFrame([(f,) for f in kept], "feature string")
 
 
-@_register("pipeline_search")
-def pipeline_search(spark, d):
-    """Exhaustive over sequences of massaging and no change for two groups of documents, by a decision tree."""
-    rows = documents_view(spark, d).withColumn("target", F.col("y").cast("double")).withColumn("g", F.when(F.col("g") == "en", "en").otherwise("other"))
-    rows = encode.stratified_split(rows.drop("y", "p"), "id", ["g", "target"], (("train", 0.7), ("aux", 0.3)))
-    train, held = (rows.where(F.col("part") == p).drop("part").cache() for p in ("train", "aux"))
-    groups = ["en", "other"]
+_ALL_SEQUENCES = """WITH RECURSIVE s AS (SELECT [c] AS codes, c AS last FROM (SELECT unnest(range(4)) AS c) g UNION ALL SELECT list_append(codes, c), c FROM s, (SELECT unnest(range(4)) AS c) g WHERE c >= last AND len(codes) < 4)"""
+
+
+@_register("sequence_space", _ALL_SEQUENCES + " SELECT len(codes)::INT AS genes, array_to_string([(c // 2)::VARCHAR || (c % 2)::VARCHAR for c in codes], '') AS genotype FROM s")
+def sequence_space(spark, d):
+    """Every sequence of two corrections for two groups, as digits."""
+    return spark.createDataFrame([(len(i), flatten(i)) for i in everything(2, 2)], "genes int, genotype string")
+
 
-    def massaged(df: DataFrame, group: int) -> DataFrame:
-        own = df.withColumn("u", (F.col("g") == groups[group]).cast("int"))
-        return corrections.massage(own, "u", "id", ["x"], target="target").drop("u")
+@_register(
+    "sequence_search_history",
+    _ALL_SEQUENCES
+    + """, v AS (SELECT codes, list_sum([((c * 7 + 3) % 5) for c in codes])::DOUBLE / len(codes) AS good, list_sum([((c * 5 + 1) % 3) for c in codes])::DOUBLE + len(codes) AS bad FROM s),
+o AS (SELECT *, row_number() OVER (ORDER BY len(codes), codes) AS place FROM v), top AS (SELECT *, rank() OVER (ORDER BY good DESC) AS r, row_number() OVER (ORDER BY good DESC, place) AS k FROM o),
+kept AS (SELECT * FROM top WHERE k <= (SELECT count(*) FROM top WHERE r = 1) + 1), best AS (SELECT * FROM kept ORDER BY bad, k LIMIT 1)
+SELECT array_to_string([(c // 2)::VARCHAR || (c % 2)::VARCHAR for c in codes], '') AS genotype, good AS m_good, bad AS m_bad, (SELECT avg(good) FROM o) AS m_goodmean, (SELECT avg(bad) FROM o) AS m_badmean FROM best""",
+)
+def sequence_search_history(spark, d):
+    """The whole search of a small space by a plain fitness: its best sequence, and the means of its population."""
+    codes = lambda i: [2 * g + a for g, a in i]
+    good = lambda i: sum((c * 7 + 3) % 5 for c in codes(i)) / len(i)
+    bad = lambda i: float(sum((c * 5 + 1) % 3 for c in codes(i)) + len(i))
+    found = Search(lambda i: ({"m": {"good": good(i)}}, {"m": {"bad": bad(i)}}), 2, 2, ["m"], ["good"], ["bad"])
+    best = found.run()
+    history = decoded(spark, found.history, ["0", "1"], ["0", "1"])
+    return history.select(F.lit(flatten(best)).alias("genotype"), "m_good", "m_bad", "m_goodmean", "m_badmean")
 
-    def evaluate(individual):
-        changed = apply_sequence(train, individual, [massaged], checkpointed)
-        scored = models.fit_predict(changed, held, "decision_tree", ["x", "toxic"]).select("g", F.col("target").cast("int").alias("y"), F.col("prediction").alias("p"))
-        good = {k.removeprefix("performance_"): v for k, v in performance.performance(scored).first().asDict().items()}
-        return {"decision_tree": good}, {"decision_tree": fairness.group_sse(scored, "g").first().asDict()}
 
-    metrics = [f"sse_{m}" for m in fairness.METRICS]
-    found = Search(evaluate, 2, 1, ["decision_tree"], ["accuracy", "f1_score", "auc"], metrics, intended=True)
-    found.run()
-    return decoded(spark, found.history, groups, ["massaging"])
+@_register("pipeline_search")
+def pipeline_search(spark, d):
+    """All four language groups of documents and the pool of four corrections, by the genetic search: smaller than the published one."""
+    rows = documents_view(spark, d).select(F.col("id").alias("row_id"), F.col("g").alias("protected_lang"), "x", "toxic", F.col("y").cast("double").alias("target"))
+    data, history = assessment.searched(
+        rows, "_dummy", "lang", ["x", "toxic"], assessment.Plan(pool=("massaging", "reweighing", "repair", "feature_search"), models=("decision_tree", "gaussian_nb"), sequences=SMALL_SEQUENCES, features=SMALL_FEATURES)
+    )
+    return history
 
 
 @_register("streaming_contingency", f"WITH v AS ({VIEW_SQL['lineitem']}) SELECT g, count(*) AS n, sum(p)::BIGINT AS pp, sum(y)::BIGINT AS pos, sum(y * p)::BIGINT AS tp, sum((1 - y) * p)::BIGINT AS fp FROM v GROUP BY g")
 def streaming_contingency(spark, d):
     """The lineitem view read as a stream to its end."""
     schema = table(spark, d, "lineitem").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "lineitem*.parquet").option("recursiveFileLookup", True).parquet(d)
+    stream = spark.readStream.schema(schema).parquet(f"{d}/lineitem.parque[t]")  # a pattern, so that the table may be one file or a folder of them
     rows = stream.select(F.col("l_returnflag").alias("g"), (F.col("l_linestatus") == "F").cast("int").alias("y"), (F.col("l_discount") >= 0.05).cast("int").alias("p"))
     name = f"live_{uuid.uuid4().hex}"
     query = live_counts(rows, "g").writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()

@@ -8,11 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where it is unset (one machine, tests) a temporary one."""
+    """The folder of spark.checkpoint.dir; only a local master may do without, with a temporary one."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return context._jsc.sc().getCheckpointDir().get()
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fairspark-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+        folder = tempfile.mkdtemp(prefix="fairspark-")
     context.setCheckpointDir(folder)
     return folder
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fairspark.functions.scalar import age_in_three, age_in_two, among, recode_by_pattern
-from fairspark.operators.encode import drop_invalid, label_encode, quantile_bins
+from fairspark.operators.encode import drop_invalid, label_encode, labels_of, quantile_bins
 
 
 @dataclass(frozen=True)
@@ -21,6 +21,8 @@ class Dataset:
     features: tuple[str, ...]
     protected: tuple[str, ...]
     mappings: dict[str, dict[int, str]] = field(default_factory=dict)
+    #: (value, code) of every encoded column.
+    tables: dict[str, DataFrame] = field(default_factory=dict)
 
     def protected_feature(self, name: str) -> str:
         if name not in self.protected:
@@ -64,6 +66,7 @@ def prepare(raw: DataFrame, name: str, protected: tuple[str, ...], bins: int = 4
     numeric = [f.name for f in rows.schema.fields if isinstance(f.dataType, T.NumericType) and f.name in features and f.name not in protected]
     rows = recode(quantile_bins(rows, numeric, bins))
     text = [f.name for f in rows.schema.fields if isinstance(f.dataType, T.StringType) and f.name in features]
-    coded, mappings = label_encode(rows, text)
+    coded, tables = label_encode(rows, text)
+    mappings = {p: labels_of(tables[p]) for p in protected if p in tables}
     coded = coded.withColumns({f"protected_{p}": F.col(p) for p in protected})
-    return Dataset(coded, tuple(features), protected, mappings)
+    return Dataset(coded, tuple(features), protected, mappings, tables)

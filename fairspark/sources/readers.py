@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fairspark.operators.reduce import first_or_last
+
 #: Fixed by the public datasets: names in order, numeric ones marked.
 CREDIT_NUMERIC = (2, 5, 8, 11, 13, 16, 18)
 CREDIT_SCHEMA = T.StructType([T.StructField(f"Attribute{i}", T.IntegerType() if i in CREDIT_NUMERIC else T.StringType()) for i in range(1, 21)] + [T.StructField("class", T.IntegerType())])
@@ -78,6 +80,24 @@ def seeds(spark: SparkSession, pattern: str, first: int, count: int, header: boo
     return with_seed(csv(spark, found, schema, header), r"(\d+)" + re.escape(after).replace(r"\ ", "(?: |%20)") + "$" if not before else re.escape(before).replace(r"\ ", "(?: |%20)") + r"(\d+)")
 
 
+def seeds_ends(spark: SparkSession, pattern: str, first: int, count: int, head: int | None = None, tail: int | None = None, schema: str | T.StructType | None = None) -> DataFrame:
+    """``seeds`` with the place of each row in its file (``ordinal``), and of each file only the first and last rows, if asked for.
+
+    A file of a seed is small and is read whole by one task, so that rows are numbered as they stand.
+    """
+    parts = []
+    for s in range(first, first + count):
+        parts += [(s, p) for p in existing(spark, [pattern.format(seed=s)])]
+    if not parts:
+        raise FileNotFoundError(pattern)
+    out = None
+    for s, p in parts:
+        own = spark.read.option("header", True).option("multiLine", True)
+        own = (own.schema(schema) if schema else own).csv(p).withColumn("ordinal", F.monotonically_increasing_id()).withColumn("seed", F.lit(s).cast("long"))
+        out = own if out is None else out.unionByName(own, allowMissingColumns=True)
+    return first_or_last(out, "seed", "ordinal", head, tail)
+
+
 def per_algorithm(spark: SparkSession, pattern: str, algorithms: Sequence[str], first: int, count: int, iteration: str = "num_iterations", keeper: str = "Massaging") -> DataFrame:
     """Files of each (algorithm, seed); a seed that lacks any algorithm's file goes; baseline rows stay with one algorithm only."""
     parts = []

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fairspark.functions.scalar import rounded_text
 
@@ -30,9 +31,20 @@ def save_results(metrics: DataFrame, distributions: DataFrame, path: str, by: Se
     append(distributions.fillna(0.0), f"{path}/distributions", by)
 
 
-def by_classifier(df: DataFrame, path: str, classifier: str = "classification_algorithm", order: Sequence[str] = ("value",)) -> None:
-    """A folder for each classifier, rows ordered within it."""
-    df.repartition(classifier).sortWithinPartitions(classifier, *order).write.mode("overwrite").partitionBy(classifier).parquet(path)
+def by_classifier(df: DataFrame, path: str, classifier: str = "classification_algorithm", order: Sequence[str] = ("value", "ordinal"), without: str | None = None) -> None:
+    """A folder for each classifier, rows in order within each of its files, NaN and null last; without: a set that is left out.
+
+    Rows are dealt by ranges of classifier and order, so that a large classifier has several files, in order by name.
+    """
+    rows = df if without is None else df.where(~F.col("set").eqNullSafe(F.lit(without)))
+    by = [F.col(c).asc_nulls_last() for c in (classifier, *order) if c in df.columns]
+    rows.repartitionByRange(*by).sortWithinPartitions(*by).write.mode("overwrite").partitionBy(classifier).parquet(path)
+
+
+def save_evolution(history: DataFrame, path: str, attribute: str, seed: int, iteration: int = 0) -> None:
+    """Adds the history of a search, a row a generation, with its attribute, iteration, seed and generation (from 0)."""
+    rows = history.withColumn("Generation", F.monotonically_increasing_id())  # generations of one search: a local table, in order
+    append(rows.coalesce(1).withColumns({"attribute": F.lit(attribute), "iteration": F.lit(iteration), "seed": F.lit(seed)}), path, ("attribute", "iteration", "seed"))
 
 
 def delete(spark: SparkSession, path: str) -> bool:

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from fairspark.functions import scalar
 from fairspark.operators import corrections, encode, fairness, performance, pipeline_search, reduce, report
-from fairspark.operators.feature_search import best_of, flipped, ramped, search
+from fairspark.operators.feature_search import Settings, best_of, flipped, ramped, search
 from fairspark.sources import prepare, readers, sinks
-from fairspark.sources.config import algorithm_config, dataset_config, pool, run_config
+from fairspark.sources.config import algorithm_config, dataset_config, plan, pool, run_config
 from fairspark.streaming.contingency import live_counts, metrics_of
 
 MICRO = [(1, "a", 1, 1), (2, "a", 1, 0), (3, "a", 0, 1), (4, "a", 0, 0), (5, "a", 1, 1), (6, "b", 1, 1), (7, "b", 0, 0), (8, "b", 0, 0), (9, "b", 1, 0), (10, "c", 0, 0), (11, "c", 0, 0), (12, "c", 1, 1)]
@@ -122,7 +122,7 @@ def test_metric_bounds(spark, rows):
 
 def test_feature_search_finds_the_better_mask():
     fitness = lambda m: (sum(m[:2]) - sum(m[2:]), float(sum(m)))
-    assert search(fitness, 5, size=12, generations=12, seed=1)[:2] == (1, 1)
+    assert search(fitness, 5, Settings(size=12, generations=12), seed=1)[:2] == (1, 1)
     assert best_of([(1, 1), (1, 0)], lambda m: (1.0, float(sum(m))), intended=True) == (1, 0)
     import numpy as np
 
@@ -145,7 +145,7 @@ def test_sequence_search():
         raise ValueError
 
     failing = pipeline_search.Search(refuses, 2, 1, ["m"], ["auc"], ["di"])
-    failing.genetic(size=4, generations=1)
+    failing.genetic(pipeline_search.Settings(size=4, generations=1))
     assert all(v[0]["m"]["auc"] == 0.0 for v in failing.known.values())
     assert pipeline_search.flatten(((0, 3), (1, 0))) == "0310"
 
@@ -170,14 +170,121 @@ def test_sources_and_preparation(spark, tmp_path):
     assert readers.csv(spark, str(tmp_path / "out")).first().x == "1.2346"
 
 
+def transcribed(evaluate, groups, algorithms, s, rng):
+    """The rules of the genetic search, one after another; draws in the same order."""
+    select = lambda some: pipeline_search.lexicographic(some, known, rng)
+    mean = lambda some, kind, m: sum(known[i][kind]["m"][m] for i in some) / len(some)
+    population = [pipeline_search.random_individual(groups, algorithms, rng) for _ in range(s.size)]
+    known = {i: evaluate(i) for i in population}
+    best = select(population)
+    history = [(best, mean(population, 0, "auc"), mean(population, 1, "di"))]
+    for _ in range(1, s.generations):
+        parents = []
+        for _ in population:
+            parents.append(select([population[i] for i in rng.choice(len(population), s.tournament, replace=False)]))
+        offspring = []
+        for j in range(0, len(population) - 1, 2):
+            offspring += pipeline_search.crossed(parents[j], parents[j + 1], s.crossover, rng)
+        offspring = [pipeline_search.mutated(i, s.mutation, groups, algorithms, rng) for i in offspring]
+        known |= {i: evaluate(i) for i in offspring}
+        following = []
+        for source, count in ((parents, s.elite), (offspring, len(population) - s.elite)):
+            for _ in range(count):
+                found = select(source)
+                source.remove(found)
+                following.append(found)
+        population = following
+        best = select(population)
+        history.append((best, mean(population, 0, "auc"), mean(population, 1, "di")))
+    return history
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_genetic_search_follows_the_rules(seed):
+    import numpy as np
+
+    evaluate = lambda i: ({"m": {"auc": sum((3 * g + 5 * a) % 7 for g, a in i) / len(i)}}, {"m": {"di": float(sum((2 * g + a) % 4 for g, a in i))}})
+    settings_ = pipeline_search.Settings(size=10, generations=6, elite=2)
+    found = pipeline_search.Search(evaluate, 3, 4, ["m"], ["auc"], ["di"], seed=seed)
+    best = found.genetic(settings_)
+    expected = transcribed(evaluate, 3, 4, settings_, np.random.default_rng(seed))
+    assert best == expected[-1][0]
+    assert len(found.history) == 6
+    for (own, scores, means), (other, auc, di) in zip(found.history, expected, strict=True):
+        assert own == other
+        assert scores == evaluate(own)
+        assert (means[0]["m"]["auc"], means[1]["m"]["di"]) == pytest.approx((auc, di))
+
+
 def test_settings(tmp_path):
+    from fairspark.plans.io_queries import _INI
+
     path = tmp_path / "c.cfg"
-    path.write_text("[Run]\nseed=42\nnum_runs=2\nnum_iterations=1\n[Paths]\nout=x\n[Classifiers]\nlr=True\nsvc=False\n[D]\ntarget=t\nprotected=a, b\ntrain_size=0.8\nvalidation_size=0.1\ntest_size=0.1\n[P]\nalgorithm_1=MSG\nsize=10\n")
-    assert run_config(str(path)).classifiers == ("lr",)
-    assert dataset_config(str(path), "D").protected == ("a", "b")
-    assert pool(algorithm_config(str(path), "P")) == {0: "MSG"}
+    path.write_text(_INI)
+    assert run_config(str(path)).surrogates == ("logistic_regression", "rbf_svc")
+    assert dataset_config(str(path), "German Credit").protected == ("Attribute9", "Attribute13")
+    assert pool(algorithm_config(str(path), "Pool")) == {0: "MSG", 1: "DIR"}
+    for section in ("none", "Repair"):
+        with pytest.raises(ValueError):
+            dataset_config(str(path), section)
+    path.write_text(_INI.replace("n_splits = 3\n", ""))
+    with pytest.raises(ValueError, match="n_splits"):
+        plan(str(path))
+
+
+def test_guards(spark, micro):
+    from fairspark.functions import text
+    from fairspark.sources import checks
+
+    data = prepare.Dataset(micro.selectExpr("id AS row_id", "y AS target", "g"), ("g",), ("g",))
+    for wrong in (lambda: checks.check_dataset(data), lambda: checks.check_dataset(1), lambda: checks.check_protected(data, "g"), lambda: checks.check_keys({"a": 1}, ["a", "b"]), lambda: checks.check_callable(3), lambda: checks.check_parameters(len, ["none"]), lambda: text.required("x", {})):
+        with pytest.raises(ValueError):
+            wrong()
+    checks.check_parameters(lambda seed: seed, ["seed"])
+    assert text.required("x", {"x": 1}) == 1
+
+
+def test_kernel_classifier_bends(spark):
+    """A ring around a blob: no line parts them."""
+    from fairspark.operators import models
+
+    rows = spark.range(800).select(F.col("id").alias("row_id"), (F.col("id") * 0.7).alias("t"), (F.col("id") % 2).cast("double").alias("target"))
+    rows = rows.select("row_id", "target", (F.cos("t") * (0.3 + F.col("target"))).alias("a"), (F.sin("t") * (0.3 + F.col("target"))).alias("b"))
+    right = lambda name: models.fit_predict(rows, rows, name, ["a", "b"]).agg(F.avg((F.col("prediction") == F.col("target")).cast("double"))).first()[0]
+    assert right("rbf_svc") > 0.97
+    assert right("linear_svc") < 0.8
+
+
+def test_large_tables_of_codes_have_all_values(spark):
+    df = spark.range(30_000).select(F.concat(F.lit("v"), F.col("id").cast("string")).alias("x"))
+    coded, tables = encode.label_encode(df)
+    assert coded.agg(F.count_distinct("x"), F.min("x"), F.max("x")).first()[:] == (30_000, 0, 29_999)
+    assert tables["x"].count() == 30_000
     with pytest.raises(ValueError):
-        dataset_config(str(path), "none")
+        encode.labels_of(tables["x"])
+    assert encode.labels_of(encode.label_codes(df.where("x IN ('v10', 'v9')"), "x")) == {0: "v10", 1: "v9"}
+
+
+@given(st.lists(st.one_of(st.none(), st.integers(-5, 5).map(float), st.floats(-100, 100)), min_size=1, max_size=40))
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+def test_quantile_edges_are_exact(spark, values):
+    import numpy as np
+
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    known = [v for v in values if v is not None]
+    edges = []
+    for e in np.quantile(known, np.arange(5) / 4) if known else []:
+        if not edges or e - edges[-1] > encode.NEAR:
+            edges.append(float(e))
+    assert encode.quantile_edges(df, ["x"])["x"] == pytest.approx(edges[1:-1], abs=1e-9)
+
+
+def test_repair_of_a_tiny_group(spark):
+    """The smallest group has one row: the others are one quantile each, moved as a whole."""
+    df = spark.createDataFrame([(i, "a" if i else "b", float(i * i), float(i)) for i in range(12)], "id long, g string, x double, y double")
+    out = {r.id: (r.x, r.y) for r in corrections.repaired(df, "g", "id", ["x", "y"]).collect()}
+    middle = sorted(i * i for i in range(1, 12))[5]
+    assert set(out.values()) == {(middle / 2, 3.0)}
 
 
 def test_stream_counts(spark, micro, tmp_path):
