@@ -17,7 +17,7 @@ Scale: patterns run in one pass over the texts, in Arrow batches; counting terms
 sums its own counts before the shuffle; distinct terms and entities of a text are joined by key.  Terms too frequent to
 reach the limit with any entity of a text leave before they are paired (a bound, which loses none), and the entities of
 one text alone, whose counts are the same, are paired as one.  Well supported terms are looked for in a third pass, which
-only sends on words whose hash falls into one of at most 2^20 buckets that such terms have.  No entity, term or document
+only sends on words whose hash falls into one of the 2^24 buckets that such terms have (2 MB of bits).  No entity, term or document
 list is collected.  Copies of one text are dealt over several keys where spans return to rows.
 
 Defined cases: a null text is empty and has no spans; null doc_ids stay; rows that repeat a text are documents each in
@@ -34,6 +34,7 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import partial
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -118,8 +119,8 @@ def _terms(text: str) -> set[str]:
     return {w.lower() for w in set(_TERM.findall(text)) if not _SHORT.fullmatch(w)}
 
 
-def _places(text: str, spans: list[tuple[int, int, int]]) -> dict[str, list[tuple[int, int]]]:
-    """All terms of a text, each with its places that touch no pattern span."""
+def _places(text: str, spans: list[tuple[int, int, int]], only: set[str] | None = None) -> dict[str, list[tuple[int, int]]]:
+    """All terms of a text (or some), each with its places that touch no pattern span."""
     taken: list[list[int]] = []
     for a, b in sorted((a, b) for _, a, b in spans):
         if taken and a <= taken[-1][1]:
@@ -130,7 +131,7 @@ def _places(text: str, spans: list[tuple[int, int, int]]) -> dict[str, list[tupl
     at = 0
     for m in _TERM.finditer(text):
         a, b = m.span()
-        if _SHORT.fullmatch(m[0]):
+        if (only is not None and m[0].lower() not in only) or _SHORT.fullmatch(m[0]):
             continue
         while at < len(taken) and taken[at][1] <= a:
             at += 1
@@ -228,28 +229,42 @@ def disclosing_terms(docs: DataFrame, texts: DataFrame, total: int, min_support:
     return pairs.join(told, ["entity", "term"]).groupBy("text_md5", "term").agg(F.max("disclosure").alias("disclosure"), firm)
 
 
-#: Buckets of hashes that tell which words (or texts) are worth sending on.
-BUCKETS = 1 << 20
+#: Buckets of hashes that tell which texts, and which words, are worth sending on; words' buckets are sent as bits, 2^16 a row.
+BUCKETS, WORD_BUCKETS = 1 << 20, 1 << 24
+
+
+def _bits(group: pa.Table) -> pa.Table:
+    bits = np.zeros(1 << 16, np.uint8)
+    bits[group.column("b").to_numpy() % (1 << 16)] = 1
+    return pa.table({"part": group.column("part")[:1], "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
 
 
 def _hits(batches: Iterator[pa.RecordBatch], buckets) -> Iterator[pa.RecordBatch]:
     """(text_md5, term, starts, ends) of the words of each text whose hash falls into a bucket."""
     schema = pa.schema([("text_md5", pa.string()), ("term", pa.string()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])
     wanted: dict[str, bool] = {}
+    table = np.unpackbits(np.frombuffer(buckets.value, np.uint8))
+
+    def is_wanted(word: str) -> bool:
+        term = word.lower()
+        return not _SHORT.fullmatch(word) and bool(table[zlib.crc32(term.encode("utf-8", "surrogatepass")) % WORD_BUCKETS])
+
     for batch in batches:
         rows = []
         for text in batch.column(0).to_pylist():
             if len(wanted) > HELD:
                 wanted.clear()
-            hit = False
-            for term in _terms(text):
-                if term not in wanted:
-                    wanted[term] = zlib.crc32(term.encode("utf-8", "surrogatepass")) % BUCKETS in buckets.value
-                hit |= wanted[term]
+            hit = set()
+            for word in set(_TERM.findall(text)):
+                known = wanted.get(word)
+                if known is None:
+                    known = wanted[word] = is_wanted(word)
+                if known:
+                    hit.add(word.lower())
             if hit:
                 md5 = _md5(text)
-                for term, places in _places(text, base_spans(text)).items():
-                    if wanted.get(term) and places:
+                for term, places in _places(text, base_spans(text), hit).items():
+                    if places:
                         rows.append({"text_md5": md5, "term": term, "starts": [a for a, _ in places], "ends": [b for _, b in places]})
         yield pa.RecordBatch.from_pylist(rows, schema)
 
@@ -257,8 +272,11 @@ def _hits(batches: Iterator[pa.RecordBatch], buckets) -> Iterator[pa.RecordBatch
 def _elsewhere(docs: DataFrame, told: DataFrame) -> DataFrame:
     """(text_md5, term, starts, ends, disclosure) of well supported terms in all texts of docs."""
     firm = materialise(told.where("firm IS NOT NULL").groupBy("term").agg(F.max("firm").alias("disclosure")), "pii-firm")
-    found = firm.select(F.pmod(F.crc32("term"), F.lit(BUCKETS)).alias("b")).distinct().collect()  # at most BUCKETS numbers
-    buckets = docs.sparkSession.sparkContext.broadcast(frozenset(r.b for r in found))
+    held = firm.select(F.pmod(F.crc32("term"), F.lit(WORD_BUCKETS)).alias("b")).distinct().withColumn("part", F.shiftright("b", 16).cast("int"))
+    bits = bytearray(WORD_BUCKETS // 8)
+    for r in held.groupBy("part").applyInArrow(_bits, "part int, bits binary").collect():  # WORD_BUCKETS bits at most
+        bits[r.part << 13 : (r.part + 1) << 13] = r.bits
+    buckets = docs.sparkSession.sparkContext.broadcast(bytes(bits))
     hits = docs.select("text").where("text IS NOT NULL").mapInArrow(partial(_hits, buckets=buckets), "text_md5 string, term string, starts array<int>, ends array<int>")
     hits = hits.groupBy("text_md5", "term").agg(F.first("starts").alias("starts"), F.first("ends").alias("ends"))
     return hits.join(firm, "term").select("text_md5", "term", "starts", "ends", "disclosure")
@@ -275,7 +293,7 @@ def pii_spans(docs: DataFrame, min_support: int = 3, generalise_at: float = 0.8)
     placed = placed.join(told.select("text_md5", "term", "disclosure"), ["text_md5", "term"]).unionByName(_elsewhere(docs, told))
     each = placed.groupBy("text_md5", "term").agg(F.first("starts").alias("starts"), F.first("ends").alias("ends"), F.max("disclosure").alias("disclosure"))
     spans = F.transform(F.arrays_zip("starts", "ends"), lambda x: F.struct(x["starts"].alias("start"), x["ends"].alias("end"), F.col("disclosure").alias("disclosure")))
-    terms = each.groupBy("text_md5").agg(F.array_sort(F.flatten(F.collect_list(spans))).alias("terms"))
+    terms = materialise(each.groupBy("text_md5").agg(F.array_sort(F.flatten(F.collect_list(spans))).alias("terms")), "pii-terms")
     rows = found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.col("spans").alias("base"), "text_md5")
     copies = rows.groupBy("text_md5").agg(F.count(F.lit(1)).alias("copies"))
     out = spread_join(rows, copies.join(terms, "text_md5"), "text_md5", "copies", total, F.xxhash64("doc_id"))
