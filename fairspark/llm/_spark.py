@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -98,3 +98,32 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def keyed(df: DataFrame, id_column: str, *columns: str) -> DataFrame:
+    """``key`` (a long of its own for each row), the id and the columns.
+
+    Whole-number ids that are there and differ are the keys.  Otherwise rows are numbered, and written down, as the numbers
+    depend on the run.
+    """
+    kept = [id_column, *columns]
+    if isinstance(df.schema[id_column].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        rows, ids = df.agg(F.count(F.lit(1)), F.count_distinct(id_column)).first()
+        if rows == ids:
+            return df.select(F.col(id_column).cast("long").alias("key"), *kept)
+    return materialise(df.select(F.monotonically_increasing_id().alias("key"), *kept), "keyed")
+
+
+def placed(df: DataFrame, order: list, keep: list[str], name: str) -> DataFrame:
+    """The ``keep`` columns and ``place``, the row's place (from 0) in the order; written to the shared folder.
+
+    Rows are dealt by sampled ranges of the whole order, so that one value of very many rows is no single task's; places are
+    those within a range after the rows of the ranges before, of which there are as many as shuffle partitions.
+    """
+    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    written = materialise(ordered.select(*keep, F.monotonically_increasing_id().alias("place")), name)
+    part = F.shiftright("place", 33)
+    sizes = written.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = F.broadcast(sizes.select("part", (before - F.shiftleft("part", 33)).alias("shift")))  # a row a partition
+    return written.join(sizes, part == F.col("part")).select(*keep, (F.col("place") + F.col("shift")).alias("place"))

@@ -14,8 +14,11 @@ from fairspark.llm.language_id import language_id
 from fairspark.llm.mixing import domain_of_source, mix
 from fairspark.llm.packing import best_fit_packing
 from fairspark.llm.pii import pii_spans
+from fairspark.llm.prefix_trie import headed, prefix_trie
 from fairspark.llm.quality_gam import quality_scores
 from fairspark.llm.quality_rules import quality_rules
+from fairspark.llm.ranked_search import ranked_search
+from fairspark.llm.simhash import document_fingerprints
 from fairspark.llm.substring_dedup import substring_dedup
 from fairspark.llm.warc import round_trip
 
@@ -81,6 +84,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), spans.alias("spans"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_fingerprints(table(spark, sf_dir, "documents"), radius=6, every=100)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"), headed(every=100, most=6))
+
+
 OP2_SQL = r"""
 WITH w AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
 base AS (
@@ -186,6 +201,48 @@ JOIN given_3 g ON u.domain = g.domain AND u.lang IS NOT DISTINCT FROM g.lang AND
 WHERE upto <= floor(g.given + 1e-6) AND floor(g.given + 1e-6) > 0
 """
 
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+q AS (SELECT item_id, term, count(*) AS times FROM i GROUP BY item_id, term),
+stat AS (SELECT count(*) FILTER (len(w) > 0) AS n, sum(len(w))::BIGINT AS l FROM d),
+p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) t GROUP BY doc_id, term),
+f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+weighed AS (SELECT item_id, q.term, times * floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM q JOIN f ON q.term = f.term, stat),
+m AS (SELECT doc_id, 75 + (25 * len(w)::BIGINT * n) // l AS m FROM d, stat WHERE len(w) > 0),
+s AS (
+  SELECT item_id, p.doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+  FROM weighed JOIN p ON weighed.term = p.term JOIN m ON m.doc_id = p.doc_id GROUP BY item_id, p.doc_id),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20
+"""
+
+#: crc32 bit by bit: a value of 0 to 255 is a byte to take in, -1 a step.
+OP13_SQL = r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT conv_id, xor(list_reduce(list_concat([4294967295::BIGINT], flatten([[ord(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] FOR x IN string_split(conv_id::VARCHAR, '')])),
+    lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM t) x),
+r AS (
+  SELECT c.conv_id, i AS k, role, text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 100 AND i <= h
+  UNION ALL SELECT c.conv_id, i + 10 AS k, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND i > h),
+s AS (SELECT c.conv_id, coalesce(list({'role': role, 'text': text} ORDER BY k) FILTER (k IS NOT NULL), []) AS seq FROM c LEFT JOIN r ON r.conv_id = c.conv_id GROUP BY c.conv_id),
+m AS (SELECT conv_id, len(seq) AS n, depth, seq[1:depth] AS prefix FROM (SELECT conv_id, seq, unnest(range(0, len(seq) + 1)) AS depth FROM s) x),
+node AS (
+  SELECT prefix, depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(n) = depth AS leaf, CASE WHEN depth = 0 THEN 0 ELSE length(prefix[depth]['text']) END AS chars,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends
+  FROM m GROUP BY prefix, depth),
+below AS (
+  SELECT x.prefix, x.depth, count(*) FILTER (y.leaf) AS n_leaves, sum((y.n_convs - 1) * y.chars) AS saved, count(*) FILTER (y.depth = x.depth + 1) AS n_children
+  FROM node x JOIN node y ON y.depth >= x.depth AND y.prefix[1:x.depth] = x.prefix GROUP BY x.prefix, x.depth)
+SELECT node.conv_id, node.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, node.n_convs, below.n_children, below.n_leaves, below.saved::BIGINT AS saved_tokens, node.ends AS ends_sha256
+FROM node JOIN below ON below.depth = node.depth AND below.prefix = node.prefix
+LEFT JOIN node p ON p.depth = node.depth - 1 AND p.prefix = node.prefix[1:node.depth - 1]
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_quality_rules": op2_quality_rules,
@@ -197,6 +254,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ann": op8_ann,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_pii": op10_pii,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_simhash": op12_simhash,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 SQL: dict[str, str] = {
@@ -205,4 +265,6 @@ SQL: dict[str, str] = {
     "op4_substring_dedup": OP4_SQL,
     "op2_quality_rules": OP2_SQL,
     "op5_mixing": OP5_SQL,
+    "op11_ranked_search": OP11_SQL,
+    "op13_prefix_trie": OP13_SQL,
 }
