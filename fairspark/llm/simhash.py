@@ -133,14 +133,16 @@ def edited_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     base = keyed(docs.select("doc_id", "text"), "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
     small = base.select("key", "doc_id", F.length("text").cast("long").alias("n_chars"), F.xxhash64("text").alias("tie"))
-    at = placed(small, [F.col("doc_id").asc_nulls_last(), F.col("tie").asc(), F.col("key").asc()], ["key", "n_chars"], "order")
+    at = placed(small, [F.col("doc_id").asc_nulls_last(), F.col("tie").asc(), F.col("key").asc()], ["key", "doc_id", "n_chars"], "order")
     total = at.count()
-    before = at.select(F.pmod(F.col("place") + 1, F.lit(max(total, 1))).alias("place"), F.floor(F.col("n_chars") / 4).alias("need"), F.col("key").alias("before"))
-    following = materialise(at.select("place", F.col("key").alias("next")).join(before, "place").select(F.col("before").alias("key"), "next", "need"), "following")
-    heads = base.join(following.select(F.col("next").alias("key"), F.col("key").alias("before"), "need").hint("merge"), "key")
-    heads = heads.select(F.col("before").alias("key"), F.substr("text", F.lit(1), F.col("need").cast("int")).alias("head"))
+    before = at.select(F.pmod(F.col("place") + 1, F.lit(max(total, 1))).alias("place"), F.floor(F.col("n_chars") / 4).alias("need"), F.col("key").alias("before"), "doc_id")
+    following = materialise(at.select("place", F.col("key").alias("next")).join(before, "place").select(F.col("before").alias("key"), "doc_id", "next", "need"), "following")
+    # Both joins take the same columns of the same rows by the same key, so that texts are shuffled once.
+    own = base.select("key", "text")
+    heads = own.join(following.select(F.col("next").alias("key"), F.col("key").alias("before"), "doc_id", "need").hint("merge"), "key")
+    heads = heads.select(F.col("before").alias("key"), "doc_id", F.substr("text", F.lit(1), F.col("need").cast("int")).alias("head"))
     kept = F.length("text") - F.floor(F.length("text") / 4).cast("int")
-    texts = base.join(heads.hint("merge"), "key")
+    texts = own.join(heads.hint("merge"), "key")
     return texts.select("key", "doc_id", "text", F.length("text").cast("long").alias("n_chars"), F.concat(F.substr("text", F.lit(1), kept), F.col("head")).alias("edited")), following.select("key", "next")
 
 
