@@ -1,8 +1,8 @@
 """Classifiers by name, fitted once and used as often as needed.
 
 pyspark.ml has no kernel support vector machine: rbf_svc is a linear one on random Fourier features of the radial kernel, which
-approximate it the better the more there are.  It has no XGBoost: gbt stands here under its own name.  Trees grow to a
-depth of 30, the most that Spark allows, and look at quantile bins of a feature; both are parameters.
+approximate it the better the more there are.  It has no XGBoost: gbt stands here under its own name.  Trees and forests are
+exact ones of any depth (``trees``); with a depth given they are Spark's, to 30 at most, by quantile bins of a feature.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fairspark.operators import trees
 from fairspark.operators.distribution import three_sets
 from fairspark.operators.encode import common_columns
 from fairspark.operators.fairness import fairness
@@ -30,9 +31,9 @@ _COLUMNS = {"labelCol": "target", "featuresCol": "_features", "predictionCol": "
 
 @dataclass(frozen=True)
 class Settings:
-    """depth and bins of trees, trees of a forest, depth and rounds of boosting, random features and penalty of rbf_svc."""
+    """depth (None: any, exactly) and bins of trees, trees of a forest, depth and rounds of boosting, random features and penalty of rbf_svc."""
 
-    depth: int = 30
+    depth: int | None = None
     bins: int = 256
     trees: int = 100
     boosted_depth: int = 6
@@ -52,8 +53,8 @@ def classifier(name: str, seed: int = 42, rows: int = 1000, settings: Settings =
         "linear_svc": lambda: LinearSVC(**_COLUMNS),
         "rbf_svc": lambda: LinearSVC(regParam=1.0 / (s.c * max(rows, 1)), standardization=False, maxIter=60, **_COLUMNS),
         "gaussian_nb": lambda: NaiveBayes(modelType="gaussian", **_COLUMNS),
-        "decision_tree": lambda: DecisionTreeClassifier(maxDepth=s.depth, maxBins=s.bins, seed=seed, **_COLUMNS),
-        "random_forest": lambda: RandomForestClassifier(numTrees=s.trees, maxDepth=s.depth, maxBins=s.bins, seed=seed, **_COLUMNS),
+        "decision_tree": lambda: DecisionTreeClassifier(maxDepth=s.depth or 30, maxBins=s.bins, seed=seed, **_COLUMNS),
+        "random_forest": lambda: RandomForestClassifier(numTrees=s.trees, maxDepth=s.depth or 30, maxBins=s.bins, seed=seed, **_COLUMNS),
         "gbt": lambda: GBTClassifier(maxIter=s.rounds, maxDepth=s.boosted_depth, maxBins=s.bins, seed=seed, **_COLUMNS),
     }
     if name not in made:
@@ -111,6 +112,9 @@ def predict(fitted: Fitted, rows: DataFrame) -> DataFrame:
 def fit_predict(train: DataFrame, validation: DataFrame, name: str, features: Sequence[str], seed: int = 42, settings: Settings = DEFAULTS) -> DataFrame:
     """Fits to the features that both have, chosen by name."""
     both = [c for c in common_columns(train, validation) if c in set(features)]
+    exact = {"decision_tree": trees.Growth(1, None, False, seed=seed), "random_forest": trees.Growth(settings.trees, seed=seed)}
+    if name in exact and settings.depth is None:
+        return trees.fit_predict(train, validation, both, exact[name])
     return predict(fit(train, name, both, seed, settings), validation)
 
 

@@ -208,13 +208,18 @@ def sink_by_classifier(spark, d):
     return read.join(before, ["classification_algorithm", "file"]).select("classification_algorithm", "event_id", (F.col("before") + F.col("row") + 1).alias("place"))
 
 
-@_register("sink_evolution", "SELECT 'race' AS attribute, 0 AS iteration, seed, generation AS \"Generation\", 'g' || generation AS \"Genotype\", (seed * 10 + generation)::DOUBLE AS m_auc FROM (SELECT unnest([42, 43]) AS seed) s CROSS JOIN (SELECT unnest(range(3)) AS generation) g")
+@_register(
+    "sink_evolution",
+    """SELECT 'race' AS attribute, 0 AS iteration, seed, user_id % 30 AS "Generation", 'g' || (user_id % 30) AS "Genotype", avg(value) + seed AS m_auc, max(value) AS m_aucmean
+FROM events, (SELECT unnest([42, 43]) AS seed) s GROUP BY seed, user_id % 30""",
+)
 def sink_evolution(spark, d):
-    path = _folder(spark, "evolution")
+    """Histories of two seeds from events, a generation a row, as they come: in several partitions and any order."""
+    path, generation = _folder(spark, "evolution"), F.col("user_id") % 30
     for seed in (42, 43):
-        history = spark.createDataFrame([(f"g{k}", float(seed * 10 + k)) for k in range(3)], "Genotype string, m_auc double").coalesce(1)
+        history = table(spark, d, "events").groupBy(generation.alias("Generation")).agg(F.concat(F.lit("g"), F.first(generation).cast("string")).alias("Genotype"), (F.avg("value") + seed).alias("m_auc"), F.max("value").alias("m_aucmean"))
         sinks.save_evolution(history, path, "race", seed)
-    return readers.parquet(spark, path).select("attribute", "iteration", "seed", "Generation", "Genotype", "m_auc")
+    return readers.parquet(spark, path).select("attribute", "iteration", "seed", "Generation", "Genotype", "m_auc", "m_aucmean")
 
 
 @_register("sink_backup", "SELECT n_nationkey, n_name, n_regionkey FROM nation")

@@ -483,14 +483,25 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fairness.fairness(documents_view(spark, sf_dir), "g")
 
 
-@_register("search_space_size", "SELECT 2 AS groups, 4 AS algorithms, 494 AS size UNION ALL SELECT 3, 4, 18563 UNION ALL SELECT 5, 4, 30045014")
+_GROUPS = {"lineitem": "l_returnflag", "documents": "lang", "customer": "c_mktsegment"}
+
+
+@_register(
+    "search_space_size",
+    "WITH g AS (" + " UNION ALL ".join(f"SELECT '{t}' AS of, count(DISTINCT {c}) AS groups FROM {t}" for t, c in _GROUPS.items()) + ") "
+    "SELECT of, groups, 4 AS algorithms, ((factorial((6 * groups)::INT) / factorial((4 * groups)::INT) / factorial((2 * groups)::INT)) - 1)::BIGINT AS size FROM g",
+)
 def search_space_size(spark, d):
-    return spark.createDataFrame([(g, 4, space_size(g, 4)) for g in (2, 3, 5)], "groups int, algorithms int, size int")
+    """How many sequences of four corrections the groups of three tables allow."""
+    counts = [(t, table(spark, d, t).agg(F.count_distinct(c)).first()[0]) for t, c in _GROUPS.items()]
+    return spark.createDataFrame([(t, n, 4, space_size(n, 4)) for t, n in counts], "of string, groups long, algorithms int, size long")
 
 
-@_register("gene_product", "SELECT g.range::INT AS group_code, a.range::INT AS algorithm_code FROM range(5) g CROSS JOIN range(4) a")
+@_register("gene_product", "WITH g AS (SELECT lang, dense_rank() OVER (ORDER BY lang) - 1 AS code FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL) x) SELECT code::INT AS group_code, lang, a.range::INT AS algorithm_code FROM g CROSS JOIN range(4) a")
 def gene_product(spark, d):
-    return spark.createDataFrame(gene_pool(5, 4), "group_code int, algorithm_code int")
+    """Each group of documents with each of four corrections."""
+    labels = encode.labels_of(encode.label_codes(table(spark, d, "documents"), "lang"))
+    return spark.createDataFrame([(g, labels[g], a) for g, a in gene_pool(len(labels), 4)], "group_code int, lang string, algorithm_code int")
 
 
 def _model_rows(spark, d) -> tuple[DataFrame, DataFrame]:
@@ -534,38 +545,57 @@ def model_assess_gaussian_nb_cells(spark, d):
 
 @_register("feature_search")
 def feature_search(spark, d):
-    """The published search (101 masks, 50 generations, 3 folds; each mask is fitted once), but by a decision tree for a forest."""
+    """The published search: 101 masks, 50 generations, 3 folds, judged by a forest of 100 trees; the sensitive column is searched too."""
     train, _ = _model_rows(spark, d)
-    kept = select_features(train, ["price", "balance", "k"], "g", "row_id", feature_searches.Settings(model="decision_tree"))
+    codes = encode.label_codes(train, "g")
+    train = train.join(F.broadcast(codes.select(F.col("value").alias("g"), F.col("code").cast("double").alias("segment"))), "g")  # a row a group
+    kept = select_features(train, ["price", "balance", "k", "segment"], "segment", "row_id")
     return spark.createDataFrame([(f,) for f in kept], "feature string")
 
 
-_ALL_SEQUENCES = """WITH RECURSIVE s AS (SELECT [c] AS codes, c AS last FROM (SELECT unnest(range(4)) AS c) g UNION ALL SELECT list_append(codes, c), c FROM s, (SELECT unnest(range(4)) AS c) g WHERE c >= last AND len(codes) < 4)"""
+#: Two groups of lineitem, and what a gene (2 group + algorithm) is worth: counts of its rows, cut to few values so that some tie.
+_GENES = """WITH RECURSIVE codes AS (SELECT l_linestatus, dense_rank() OVER (ORDER BY l_linestatus) - 1 AS code FROM (SELECT DISTINCT l_linestatus FROM lineitem) x),
+worth AS (SELECT 2 * code + l_linenumber % 2 AS c, count(*) % 5 AS good, count(*) FILTER (l_quantity > 25) % 3 AS bad FROM lineitem JOIN codes USING (l_linestatus) GROUP BY 1),
+"""
+_ALL_SEQUENCES = """s AS (SELECT [c] AS codes, c AS last FROM (SELECT unnest(range((SELECT 2 * count(*) FROM codes))) AS c) g
+UNION ALL SELECT list_append(codes, c), c FROM s, (SELECT unnest(range((SELECT 2 * count(*) FROM codes))) AS c) g WHERE c >= last AND len(codes) < (SELECT 2 * count(*) FROM codes))"""
+
+
+def _genes(spark, d) -> tuple[dict[int, str], dict[tuple[int, int], tuple[int, int]]]:
+    """Labels of the two groups, and each gene's worth, from one aggregation."""
+    t = table(spark, d, "lineitem")
+    labels = encode.labels_of(encode.label_codes(t, "l_linestatus"))
+    worth = t.groupBy("l_linestatus", (F.col("l_linenumber") % 2).alias("a")).agg(F.count(F.lit(1)).alias("good"), F.count(F.when(F.col("l_quantity") > 25, 1)).alias("bad")).collect()  # a row a gene
+    numbers = {label: code for code, label in labels.items()}
+    return labels, {(numbers[r["l_linestatus"]], r["a"]): (r["good"] % 5, r["bad"] % 3) for r in worth}
 
 
-@_register("sequence_space", _ALL_SEQUENCES + " SELECT len(codes)::INT AS genes, array_to_string([(c // 2)::VARCHAR || (c % 2)::VARCHAR for c in codes], '') AS genotype FROM s")
+@_register("sequence_space", _GENES + _ALL_SEQUENCES + " SELECT len(codes)::INT AS genes, array_to_string([(c // 2)::VARCHAR || (c % 2)::VARCHAR for c in codes], '') AS genotype FROM s")
 def sequence_space(spark, d):
-    """Every sequence of two corrections for two groups, as digits."""
-    return spark.createDataFrame([(len(i), flatten(i)) for i in everything(2, 2)], "genes int, genotype string")
+    """Every sequence of two corrections for the groups of lineitem, as digits."""
+    labels, _ = _genes(spark, d)
+    return spark.createDataFrame([(len(i), flatten(i)) for i in everything(len(labels), 2)], "genes int, genotype string")
 
 
 @_register(
     "sequence_search_history",
-    _ALL_SEQUENCES
-    + """, v AS (SELECT codes, list_sum([((c * 7 + 3) % 5) for c in codes])::DOUBLE / len(codes) AS good, list_sum([((c * 5 + 1) % 3) for c in codes])::DOUBLE + len(codes) AS bad FROM s),
+    _GENES
+    + _ALL_SEQUENCES
+    + """, each AS (SELECT codes, unnest(codes) AS c FROM s),
+v AS (SELECT codes, sum(good)::DOUBLE / len(codes) AS good, sum(bad)::DOUBLE + len(codes) AS bad FROM each JOIN worth USING (c) GROUP BY codes),
 o AS (SELECT *, row_number() OVER (ORDER BY len(codes), codes) AS place FROM v), top AS (SELECT *, rank() OVER (ORDER BY good DESC) AS r, row_number() OVER (ORDER BY good DESC, place) AS k FROM o),
 kept AS (SELECT * FROM top WHERE k <= (SELECT count(*) FROM top WHERE r = 1) + 1), best AS (SELECT * FROM kept ORDER BY bad, k LIMIT 1)
-SELECT array_to_string([(c // 2)::VARCHAR || (c % 2)::VARCHAR for c in codes], '') AS genotype, good AS m_good, bad AS m_bad, (SELECT avg(good) FROM o) AS m_goodmean, (SELECT avg(bad) FROM o) AS m_badmean FROM best""",
+SELECT 0 AS "Generation", array_to_string([(c // 2)::VARCHAR || (c % 2)::VARCHAR for c in codes], '') AS genotype, good AS m_good, bad AS m_bad, (SELECT avg(good) FROM o) AS m_goodmean, (SELECT avg(bad) FROM o) AS m_badmean FROM best""",
 )
 def sequence_search_history(spark, d):
-    """The whole search of a small space by a plain fitness: its best sequence, and the means of its population."""
-    codes = lambda i: [2 * g + a for g, a in i]
-    good = lambda i: sum((c * 7 + 3) % 5 for c in codes(i)) / len(i)
-    bad = lambda i: float(sum((c * 5 + 1) % 3 for c in codes(i)) + len(i))
-    found = Search(lambda i: ({"m": {"good": good(i)}}, {"m": {"bad": bad(i)}}), 2, 2, ["m"], ["good"], ["bad"])
+    """The whole search of a small space by what its genes are worth: its best sequence, and the means of its population."""
+    labels, worth = _genes(spark, d)
+    good = lambda i: sum(worth[gene][0] for gene in i) / len(i)
+    bad = lambda i: float(sum(worth[gene][1] for gene in i) + len(i))
+    found = Search(lambda i: ({"m": {"good": good(i)}}, {"m": {"bad": bad(i)}}), len(labels), 2, ["m"], ["good"], ["bad"])
     best = found.run()
-    history = decoded(spark, found.history, ["0", "1"], ["0", "1"])
-    return history.select(F.lit(flatten(best)).alias("genotype"), "m_good", "m_bad", "m_goodmean", "m_badmean")
+    history = decoded(spark, found.history, list(labels.values()), ["0", "1"])
+    return history.select(F.col("Generation").cast("int").alias("Generation"), F.lit(flatten(best)).alias("genotype"), "m_good", "m_bad", "m_goodmean", "m_badmean")
 
 
 @_register("pipeline_search")

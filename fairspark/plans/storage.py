@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,3 +25,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def checkpointed(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Written as Parquet beside the checkpoints and read again.
+
+    Unlike a checkpoint it also forgets what the optimizer has inferred of the plan behind it, which grows from step to step
+    where steps go on from one another.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/steps/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

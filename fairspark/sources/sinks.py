@@ -42,9 +42,8 @@ def by_classifier(df: DataFrame, path: str, classifier: str = "classification_al
 
 
 def save_evolution(history: DataFrame, path: str, attribute: str, seed: int, iteration: int = 0) -> None:
-    """Adds the history of a search, a row a generation, with its attribute, iteration, seed and generation (from 0)."""
-    rows = history.withColumn("Generation", F.monotonically_increasing_id())  # generations of one search: a local table, in order
-    append(rows.coalesce(1).withColumns({"attribute": F.lit(attribute), "iteration": F.lit(iteration), "seed": F.lit(seed)}), path, ("attribute", "iteration", "seed"))
+    """Adds the history of a search, a row a generation by its number in ``Generation``, with its attribute, iteration and seed."""
+    append(history.withColumns({"attribute": F.lit(attribute), "iteration": F.lit(iteration), "seed": F.lit(seed)}), path, ("attribute", "iteration", "seed"))
 
 
 def delete(spark: SparkSession, path: str) -> bool:

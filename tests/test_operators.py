@@ -120,10 +120,21 @@ def test_metric_bounds(spark, rows):
         assert 0 <= r.fairness_true_positive_rate_diff <= 2
 
 
+class Judge:
+    """Plain fitness of masks, and the populations that it was shown."""
+
+    def __init__(self, performance, unfairness=lambda m: float(sum(m))):
+        self.performance, self.unfairness, self.shown = performance, unfairness, []
+
+    def prepare(self, masks):
+        self.shown.append(list(masks))
+
+
 def test_feature_search_finds_the_better_mask():
-    fitness = lambda m: (sum(m[:2]) - sum(m[2:]), float(sum(m)))
-    assert search(fitness, 5, Settings(size=12, generations=12), seed=1)[:2] == (1, 1)
-    assert best_of([(1, 1), (1, 0)], lambda m: (1.0, float(sum(m))), intended=True) == (1, 0)
+    judge = Judge(lambda m: sum(m[:2]) - sum(m[2:]))
+    assert search(judge, 5, Settings(size=12, generations=12), seed=1)[:2] == (1, 1)
+    assert best_of([(1, 1), (1, 0)], Judge(lambda m: 1.0), intended=True) == (1, 0)
+    assert best_of([(1, 1), (1, 0)], Judge(lambda m: 1.0)) == (1, 1)
     import numpy as np
 
     rng = np.random.default_rng(0)
@@ -131,6 +142,16 @@ def test_feature_search_finds_the_better_mask():
     assert flipped((0, 1), 1.0, rng) == (1, 0)
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_feature_search_returns_the_best_of_the_last_generation_it_judged(seed):
+    judge = Judge(lambda m: sum(b << i for i, b in enumerate(m)))
+    best = search(judge, 6, Settings(size=9, generations=3), seed=seed)
+    assert len(judge.shown) == 3 and all(len(masks) == 9 for masks in judge.shown)
+    assert best == max(judge.shown[-1], key=judge.performance)
+    for before, after in zip(judge.shown, judge.shown[1:], strict=False):  # one elite goes on
+        assert after[0] == max(before, key=judge.performance)
+
+
 def test_sequence_search():
     assert [pipeline_search.space_size(g, 4) for g in (2, 3, 5)] == [494, 18563, 30045014]
     assert sum(1 for _ in pipeline_search.everything(2, 4)) == 494
