@@ -3,8 +3,10 @@
 Each document is judged by five rules.  Two are base rules (too few words; too many words in repeated windows): a document
 that fails one goes.  Three are soft (symbols, repeated lines, length of words): alone they can't tell junk from unusual
 text.  The failures of each rule are summed by host, and a host's rates are shrunk by a beta prior for each rule, fitted to
-all hosts.  A host whose shrunk rate of any rule passes ``max_host_rate`` fails with all its documents; one whose shrunk
-rate of a soft rule lies above the corpus is suspect there, and loses the documents that fail that rule.
+all hosts.  A host is judged by what its posterior is nearly sure of: its shrunk rate less ``sure`` standard deviations of the
+posterior.  A host for which that passes ``max_host_rate`` in any rule fails with all its documents; one for which it passes
+``above`` times the corpus's rate of a soft rule is suspect there, and loses the documents that fail that rule.  So a few bad
+documents of a small host condemn nothing, and neither does a large host's rate a little over the corpus's.
 
 The prior of a rule has the mean m of all documents and a strength of 1 / rho - 1, where rho is the correlation of failures
 within hosts by the method of moments: with N documents, d of them of a host and H hosts, the scatter sum d (rate - m)^2 has
@@ -33,8 +35,6 @@ SPACES = " \t\n\x0b\x0c\r"
 BASE, SOFT = ("short", "repeats"), ("symbols", "lines", "lengths")
 #: Keys that a host's verdict is dealt over, so that a host of a third of all documents isn't one task's.
 SALTS = 64
-#: A rate this close to the corpus's is the same.
-NEAR = 1e-9
 
 
 def document_rules(docs: DataFrame, min_words: int = 10, max_repeat_percent: int = 20, window: int = 5, host_col: str = "source") -> DataFrame:
@@ -95,8 +95,11 @@ def _strength(docs: Column, squared: Column, hosts: Column, mean: Column, scatte
     return F.when(rho > 1e-9, F.least(F.lit(1e6), F.greatest(F.lit(1.0), F.try_divide(1 - rho, rho)))).otherwise(F.lit(1e6))
 
 
-def host_verdicts(rules: DataFrame, max_host_rate: float = 0.5) -> DataFrame:
-    """host, host_docs, rate_<rule> (shrunk), suspect_<rule> of soft rules, and host_ok, one row a host."""
+def host_verdicts(rules: DataFrame, max_host_rate: float = 0.5, sure: float = 3.0, above: float = 1.5) -> DataFrame:
+    """host, host_docs, rate_<rule> (shrunk), least_<rule> (what it surely passes), suspect_<rule> of soft rules, and host_ok, one row a host.
+
+    With d documents, f failures and a prior of mean m and strength s the posterior is beta(f + m s, d - f + (1 - m) s).
+    """
     names = [*BASE, *SOFT]
     hosts = rules.groupBy("host").agg(F.count(F.lit(1)).cast("double").alias("host_docs"), *(F.count_if(f"fails_{r}").cast("double").alias(f"n_{r}") for r in names))
     d = F.col("host_docs")
@@ -104,18 +107,21 @@ def host_verdicts(rules: DataFrame, max_host_rate: float = 0.5) -> DataFrame:
     mean = {r: F.col(f"sum_{r}") / F.col("docs") for r in names}
     prior = sums.select(*(mean[r].alias(f"mean_{r}") for r in names), *(_strength(F.col("docs"), F.col("squared"), F.col("hosts"), mean[r], F.col(f"square_{r}") - F.col("docs") * mean[r] * mean[r]).alias(f"strength_{r}") for r in names))
     rate = {r: (F.col(f"n_{r}") + F.col(f"mean_{r}") * F.col(f"strength_{r}")) / (d + F.col(f"strength_{r}")) for r in names}
-    judged = hosts.join(F.broadcast(prior)).select("host", F.col("host_docs").cast("long").alias("host_docs"), *(rate[r].alias(f"rate_{r}") for r in names), *((rate[r] > F.col(f"mean_{r}") + NEAR).alias(f"suspect_{r}") for r in SOFT))
-    return judged.withColumn("host_ok", F.greatest(*(f"rate_{r}" for r in names)) <= max_host_rate)
+    least = {r: rate[r] - sure * F.sqrt(rate[r] * (1 - rate[r]) / (d + F.col(f"strength_{r}") + 1)) for r in names}
+    judged = hosts.join(F.broadcast(prior)).select(
+        "host", F.col("host_docs").cast("long").alias("host_docs"), *(rate[r].alias(f"rate_{r}") for r in names), *(least[r].alias(f"least_{r}") for r in names), *((least[r] > above * F.col(f"mean_{r}")).alias(f"suspect_{r}") for r in SOFT)
+    )
+    return judged.withColumn("host_ok", F.greatest(*(f"least_{r}" for r in names)) <= max_host_rate)
 
 
-def quality_rules(docs: DataFrame, min_words: int = 10, max_repeat_percent: int = 20, window: int = 5, host_col: str = "source", max_host_rate: float = 0.5) -> DataFrame:
+def quality_rules(docs: DataFrame, min_words: int = 10, max_repeat_percent: int = 20, window: int = 5, host_col: str = "source", max_host_rate: float = 0.5, sure: float = 3.0, above: float = 1.5) -> DataFrame:
     """Per row of docs: doc_id, the figures, base_failed, the rules' failures, the host's rates and verdicts, and kept.
 
     One row is the prior (an aggregate without keys), so it may be broadcast; the host table is joined by key, as hosts
     grow with the corpus.  The figures of the rows are written to the shared folder, so that texts are read once.
     """
     rules = materialise(document_rules(docs, min_words, max_repeat_percent, window, host_col), "document-rules")
-    hosts = host_verdicts(rules, max_host_rate).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    hosts = host_verdicts(rules, max_host_rate, sure, above).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rules = rules.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)).cast("int"))
     joined = rules.join(hosts, rules["host"].eqNullSafe(hosts["host"]) & (rules["salt"] == hosts["salt"]), "left").drop(hosts["host"]).drop("salt")
     lost = reduce(lambda a, b: a | b, (F.col(f"fails_{r}") & F.col(f"suspect_{r}") for r in SOFT))

@@ -117,10 +117,11 @@ host AS (SELECT source, rule, count(*)::DOUBLE AS d, sum(failed::INT)::DOUBLE AS
 m AS (SELECT rule, sum(d) AS n, sum(d * d) AS dd, count(*)::DOUBLE AS h, sum(f) / sum(d) AS mean, sum(f * f / d) AS ff FROM host GROUP BY rule),
 c AS (SELECT *, ((ff - n * mean * mean) / nullif(mean * (1 - mean), 0) - (h - 1)) / nullif(n - dd / n - (h - 1), 0) AS rho FROM m),
 prior AS (SELECT rule, mean, CASE WHEN rho > 1e-9 THEN least(1e6, greatest(1.0, (1 - rho) / rho)) ELSE 1e6 END AS s FROM c),
-rate AS (SELECT source, rule, mean, (f + mean * s) / (d + s) AS rate FROM host JOIN prior USING (rule)),
+rate AS (SELECT source, rule, mean, d + s AS n, (f + mean * s) / (d + s) AS rate FROM host JOIN prior USING (rule)),
+sure AS (SELECT *, rate - 3 * sqrt(rate * (1 - rate) / (n + 1)) AS least FROM rate),
 verdict AS (
-  SELECT source, max(rate) <= 0.5 AS ok, bool_or(rule = 'symbols' AND rate > mean + 1e-9) AS symbols, bool_or(rule = 'lines' AND rate > mean + 1e-9) AS lines,
-    bool_or(rule = 'lengths' AND rate > mean + 1e-9) AS lengths FROM rate GROUP BY source)
+  SELECT source, max(least) <= 0.5 AS ok, bool_or(rule = 'symbols' AND least > 1.5 * mean) AS symbols, bool_or(rule = 'lines' AND least > 1.5 * mean) AS lines,
+    bool_or(rule = 'lengths' AND least > 1.5 * mean) AS lengths FROM sure GROUP BY source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, short OR repeats AS base_failed,
   NOT (short OR repeats) AND ok AND NOT ((fails.symbols AND verdict.symbols) OR (fails.lines AND verdict.lines) OR (fails.lengths AND verdict.lengths)) AS kept
 FROM fails JOIN verdict ON fails.source IS NOT DISTINCT FROM verdict.source

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 from conftest import SF
 from pyspark.sql import functions as F
 
@@ -30,7 +31,7 @@ def brute(rows, limit=0.5):
     hosts = {}
     for i, _, h in rows:
         hosts.setdefault(h, []).append(found[i])
-    rates, means = {h: [] for h in hosts}, []
+    rates, least, means = {h: [] for h in hosts}, {h: [] for h in hosts}, []
     for r in range(5):
         sizes = {h: (len(x), sum(f[r] for f in x)) for h, x in hosts.items()}
         n, count = sum(d for d, _ in sizes.values()), len(sizes)
@@ -42,11 +43,13 @@ def brute(rows, limit=0.5):
             rho = (sum(d * (f / d - mean) ** 2 for d, f in sizes.values()) / (mean * (1 - mean)) - (count - 1)) / below
             strength = min(1e6, max(1.0, (1 - rho) / rho)) if rho > 1e-9 else 1e6
         for h, (d, f) in sizes.items():
-            rates[h].append((f + mean * strength) / (d + strength))
+            rate = (f + mean * strength) / (d + strength)
+            rates[h].append(rate)
+            least[h].append(rate - 3 * (rate * (1 - rate) / (d + strength + 1)) ** 0.5)
     out = {}
     for i, _, h in rows:
-        f, rate = found[i], rates[h]
-        out[i] = not (f[0] or f[1]) and max(rate) <= limit and not any(f[r] and rate[r] > means[r] + 1e-9 for r in (2, 3, 4))
+        f = found[i]
+        out[i] = not (f[0] or f[1]) and max(least[h]) <= limit and not any(f[r] and least[h][r] > 1.5 * means[r] for r in (2, 3, 4))
     return out, rates
 
 
@@ -68,22 +71,40 @@ def test_verdicts_against_plain_python(spark):
     for r in out:
         assert all(abs(r[f"rate_{rule}"] - rates[r.host][k]) < 1e-9 for k, rule in enumerate(RULES))
     hosts = {r.host: r for r in out}
-    assert {h for h in hosts if not hosts[h].host_ok} == {"bad", "small", None}
-    assert hosts["small"].rate_short < 0.95
-    assert hosts["symbols"].suspect_symbols
+    assert {h for h in hosts if not hosts[h].host_ok} == {"bad"}
+    assert hosts["symbols"].suspect_symbols and hosts[None].suspect_lines
     assert not hosts["clean"].suspect_symbols
     assert sum(r.kept for r in out if r.host == "clean" and r.fails_symbols) == 2
 
 
+def test_the_prior_decides_where_raw_rates_would_not(spark):
+    """A small host that looks worse than a large bad one is spared, and the large one caught; raw rates have it the other way round."""
+    junk = CLEAN + " ### *** %%% $$$"
+    hosts = {f"plain{k}": (100, 3) for k in range(30)} | {"small": (2, 2), "large": (900, 400)}
+    rows = [(len(hosts) * 1000 * k + i, junk if i < bad else f"{CLEAN} number {i}", h) for k, (h, (n, bad)) in enumerate(hosts.items()) for i in range(n)]
+    out = quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).where("fails_symbols").groupBy("host").agg(F.bool_and("kept").alias("kept"), F.first("suspect_symbols").alias("suspect")).collect()
+    found = {r.host: r for r in out}
+    assert hosts["small"][1] / hosts["small"][0] > hosts["large"][1] / hosts["large"][0]
+    assert found["small"].kept and not found["small"].suspect
+    assert found["large"].suspect and not found["large"].kept
+    assert all(found[h].kept for h in hosts if h.startswith("plain"))
+
+
+def test_noise_condemns_nobody(spark):
+    rng = np.random.default_rng(0)
+    junk = CLEAN + " ### *** %%% $$$"
+    rows = [(i, junk if rng.random() < 0.07 else CLEAN, f"host{i % 40}") for i in range(4000)]
+    out = quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert out.where("suspect_symbols OR NOT host_ok OR NOT kept").count() == 0
+
+
 def test_equal_hosts_have_the_rate_of_the_corpus(spark):
     rows = [(i, "few" if i % 10 == 0 else CLEAN, f"host{i // 10 % 7}") for i in range(700)]
     out = quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string"))
     assert out.select(F.max(F.abs(F.col("rate_short") - 0.1))).first()[0] < 1e-9
 
 
-def test_verdicts_change_documents_of_the_provided_table(spark):
+def test_hosts_of_the_provided_table_differ_by_noise_only(spark):
     out = quality_rules.quality_rules(spark.read.parquet(f"{SF}/documents.parquet"))
-    row = out.agg(F.count_if(~F.col("kept") & ~F.col("base_failed")).alias("lost"), F.count_if("kept").alias("kept"), F.count_distinct(F.when(F.col("suspect_symbols"), F.col("host"))).alias("suspect")).first()
-    assert row.lost > 0
-    assert row.kept > 800
-    assert 0 < row.suspect < 20
+    assert out.where("suspect_symbols OR suspect_lines OR suspect_lengths OR NOT host_ok").count() == 0
+    assert out.where(F.col("kept") == F.col("base_failed")).count() == 0
