@@ -237,6 +237,56 @@ def test_genetic_search_follows_the_rules(seed):
         assert (means[0]["m"]["auc"], means[1]["m"]["di"]) == pytest.approx((auc, di))
 
 
+def test_corrected_tables_are_made_once_for_each_prefix():
+    """The published search, 30 x 30 with four corrections, over tables that say what was applied to them."""
+    alive, worst = set(), 0
+
+    def keep(table):
+        nonlocal worst
+        alive.add(table)
+        worst = max(worst, len(alive))
+        return table
+
+    def correction(a):
+        def change(table, group):
+            if (group, a) == (2, 3) and table:
+                raise ValueError("fails after another")
+            return (*table, (group, a))
+
+        return change
+
+    tables = pipeline_search.PrefixTables((), [correction(a) for a in range(4)], keep, alive.discard)
+    judged = []
+
+    def evaluate(individual):
+        assert tables.table(individual) == individual
+        judged.append(individual)
+        good = sum(7 * g + 3 * a for g, a in individual) % 11 / len(individual)
+        return {"m": {"auc": good}}, {"m": {"di": float(len(individual))}}
+
+    found = pipeline_search.Search(evaluate, 3, 4, ["m"], ["auc"], ["di"], levels=tables.levels)
+    found.genetic()
+    assert len(found.history) == 30 and not alive and tables.level == {(): ()}
+    assert len(judged) == len(set(judged)) > 30
+    fails = lambda i: (2, 3) in i[1:]
+    assert {i for i in found.known if fails(i)} and all(not fails(i) for i in judged)
+    assert all(found.known[i] == found.worst for i in found.known if fails(i))
+    assert tables.applied < 0.9 * sum(map(len, found.known))
+
+
+def test_prefix_tables_equal_applied_sequences(spark):
+    from fairspark.plans.storage import forgotten, stored
+
+    train = spark.range(20).withColumn("x", F.col("id") * 1.0)
+    steps = [lambda df, g: df.withColumn("x", F.col("x") * 2 + g), lambda df, g: df.withColumn("x", F.col("x") - 3 * g), lambda df, g: df.where(F.col("id") % 3 != g)]
+    some = [((0, 0),), ((0, 0), (1, 1)), ((0, 0), (1, 2)), ((0, 0), (1, 2), (1, 0)), ((1, 1),)]
+    tables = pipeline_search.PrefixTables(train, steps, stored, forgotten)
+    for level in tables.levels(some):
+        for one in level:
+            assert sorted(map(tuple, tables.table(one).collect())) == sorted(map(tuple, pipeline_search.apply_sequence(train, one, steps).collect()))
+    assert tables.applied == 5 < sum(map(len, some))
+
+
 def test_settings(tmp_path):
     from fairspark.plans.io_queries import _INI
 
