@@ -512,7 +512,7 @@ def _model_rows(spark, d) -> tuple[DataFrame, DataFrame]:
 
 
 def _add_models() -> None:
-    for name in (*models.SURROGATES, "linear_svc", models.TARGET):
+    for name in (*models.SURROGATES, "linear_svc", "gbt", models.TARGET):
         def one(spark, d, name=name):
             train, test = _model_rows(spark, d)
             return models.assess(train, test, name, ["price", "balance", "k"], "g")[0]
