@@ -1,6 +1,8 @@
 """python -m fairspark -dataset NAME -path FILE -protected A,B -algorithm X,Y -seed N -runs N -out FOLDER
 
-With -configs FILE the seed, runs, passes, surrogates, files of settings and the folder of results come from there.
+With -configs FILE the seed, runs, passes, surrogates, files of settings and the folder of results come from there.  With -run
+NAME results come in whole and once, and seeds whose results are there already are passed over: a run that was killed may be
+given again as it was.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from fairspark.sources.checks import check_dataset
 from fairspark.sources.config import dataset_config, plan, run_config
 from fairspark.sources.prepare import prepare
 from fairspark.sources.readers import LOADERS, load
-from fairspark.sources.sinks import save_results
+from fairspark.sources.sinks import published, save_results
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -35,6 +37,7 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("-runs", type=int, default=1)
     parser.add_argument("-iterations", type=int, default=1)
     parser.add_argument("-out")
+    parser.add_argument("-run", help="a name for this run, so that it may be repeated")
     args = parser.parse_args(argv)
     logging.basicConfig(level=logging.INFO)
     spark = SparkSession.builder.appName("fairspark").getOrCreate()
@@ -53,10 +56,13 @@ def main(argv: list[str] | None = None) -> None:
     check_dataset(dataset)
     shares = (own.train, own.validation, own.test) if own else (0.8, 0.1, 0.1)
     for seed in range(first, first + runs):
+        name = f"{args.run}-{seed}" if args.run else None
+        if name and published(spark, f"{out}/distributions", name):
+            continue
         logging.info("%s, seed %d", bold(args.dataset), seed)
         with_settings = plan(algorithms, seed, surrogates, f"{out}/evolution") if algorithms else replace(PUBLISHED, seed=seed, surrogates=surrogates, evolution=f"{out}/evolution")
         metrics, spread = run(dataset, args.dataset, names, iterations, shares, with_settings)
-        save_results(metrics.withColumn("seed", F.lit(seed)), spread.withColumn("seed", F.lit(seed)), out)
+        save_results(metrics.withColumn("seed", F.lit(seed)), spread.withColumn("seed", F.lit(seed)), out, run=name)
 
 
 if __name__ == "__main__":

@@ -180,6 +180,16 @@ def sink_append(spark, d):
     return readers.parquet(spark, path).groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.sum("c_custkey").alias("total"))
 
 
+@_register("sink_append_once", "SELECT 'r' || (s.seed) AS run, o_orderpriority, count(*) AS n, sum(o_orderkey)::BIGINT AS total FROM orders, (SELECT unnest([1, 2]) AS seed) s GROUP BY s.seed, o_orderpriority")
+def sink_append_once(spark, d):
+    """Two runs, one of them after an attempt that was killed, each published twice: every row is there once for each run."""
+    rows, path = table(spark, d, "orders").select("o_orderkey", "o_orderpriority"), _folder(spark, "once")
+    rows.where("o_orderkey % 2 = 0").write.parquet(f"{path}/_aside/r2")
+    for run in ("r1", "r2", "r1", "r2"):
+        sinks.append(rows, path, ["o_orderpriority"], run)
+    return readers.parquet(spark, path).groupBy("run", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("total"))
+
+
 @_register("sink_results", "SELECT 'metrics' AS what, p_partkey, CASE WHEN p_size % 3 <> 0 THEN p_retailprice END AS x FROM part UNION ALL SELECT 'distributions', p_partkey, CASE WHEN p_size % 3 <> 0 THEN p_retailprice ELSE 0.0 END FROM part")
 def sink_results(spark, d):
     """Metrics keep what is missing, distributions have 0 for it."""

@@ -287,6 +287,24 @@ def test_prefix_tables_equal_applied_sequences(spark):
     assert tables.applied == 5 < sum(map(len, some))
 
 
+def test_killed_and_repeated_appends_leave_each_row_once(spark, tmp_path):
+    rows, path = spark.range(30).withColumn("seed", F.col("id") % 3), str(tmp_path / "table")
+
+    def fails(batches):
+        yield from batches
+        raise RuntimeError("killed")
+
+    with pytest.raises(Exception, match="killed"):
+        sinks.append(rows.mapInArrow(fails, rows.schema), path, ["seed"], "a")
+    assert not sinks.published(spark, path, "a")
+    assert sinks.append(rows, path, ["seed"], "a") and not sinks.append(rows, path, ["seed"], "a")
+    assert sinks.append(rows.where("id < 5"), path, ["seed"], "b")
+    read = spark.read.parquet(path)
+    assert sorted((r["run"], r["id"]) for r in read.collect()) == sorted([("a", i) for i in range(30)] + [("b", i) for i in range(5)])
+    with pytest.raises(ValueError):
+        sinks.append(rows, path, ["seed"], "../elsewhere")
+
+
 def test_settings(tmp_path):
     from fairspark.plans.io_queries import _INI
 
