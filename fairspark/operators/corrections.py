@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fairspark.operators.ranking import hash32, ranked, sliced_by, value_edges
+from fairspark.operators.ranking import hash32, ranked_by_range
 
 #: Fixed value: smoothing of variances, by the largest variance of a feature.
 SMOOTHING = 1e-9
@@ -54,7 +54,7 @@ def massaging_candidates(df: DataFrame, group: str, key: str, features: Sequence
     scored = naive_bayes_scores(df, features, target)
     sign = F.when(F.col(group) == 1, -1).otherwise(1) * (-1 if intended else 1)
     scored = scored.withColumn("_order", sign * F.col("p0"))
-    out = ranked(scored, [group, target], [F.col("_order"), F.col(key)], sliced_by(F.col("_order"), value_edges(scored, "_order")), "rank")
+    out = ranked_by_range(scored, [group, target], [F.col("_order"), F.col(key)])
     return out.drop("_order")
 
 
@@ -105,7 +105,7 @@ def resample(df: DataFrame, group: str, key: str, target: str = "y", seed: int =
     second = hash32("draw", seed, 2246822519, 97) / F.lit(float(1 << 32))
     drawn = drawn.join(F.broadcast(cells), (F.col("u1") >= F.col("lo")) & (F.col("u1") < F.col("hi")))
     drawn = drawn.select("draw", F.col(group).alias("_s"), F.col(target).alias("_y"), (F.floor(second * F.col("n")) + 1).alias("_place"))
-    rows = ranked(df, [group, target], [F.col(key)], sliced_by(F.col(key).cast("double"), value_edges(df, key)), "_rank")
+    rows = ranked_by_range(df, [group, target], [F.col(key)], "_rank")
     return drawn.join(rows, (F.col("_s") == F.col(group)) & (F.col("_y") == F.col(target)) & (F.col("_place") == F.col("_rank"))).select("draw", *df.columns)
 
 
@@ -123,10 +123,7 @@ def repair_all(df: DataFrame, group: str, key: str, features: Sequence[str], lev
     """
     values = [F.struct(F.lit(f).alias("feature"), F.col(f"`{f}`").cast("double").alias("x")) for f in features]
     long = df.select(F.col(key).alias("key"), F.col(group).alias("g"), F.inline(F.array(*values)))
-    slices = F.lit(0)
-    for f in features:
-        slices = F.when(F.col("feature") == f, sliced_by(F.col("x"), value_edges(df, f))).otherwise(slices)
-    rows = ranked(long, ["feature", "g"], [F.col("x"), F.col("key")], slices, "_rank", "_n")
+    rows = ranked_by_range(long, ["feature", "g"], [F.col("x"), F.col("key")], "_rank", "_n")
     least = df.groupBy(group).count().agg(F.min("count")).first()[0] or 0
     rank, n = F.col("_rank") - 1, F.col("_n")
     rows = rows.withColumn("_q", F.expr(f"((_rank - 1) * {least}L) div _n"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fairspark.operators.ranking import hash32, ranked, running_total, sliced_by
+from fairspark.operators.ranking import hash32, ranked, ranked_by_range, running_total, sliced_by
 
 #: Fixed value: edges closer than this are one.
 NEAR = 1e-8
@@ -72,11 +72,10 @@ def quantile_bins(df: DataFrame, columns: Sequence[str], bins: int = 4) -> DataF
 def label_codes(df: DataFrame, column: str) -> DataFrame:
     """(value, code) of the distinct non-null values, codes by ascending value from 0.
 
-    Values are ranked by slices of their first bytes, so that no task sorts them all.
+    Values are ranked by sampled ranges, so that no task sorts them all.
     """
     values = df.select(F.col(f"`{column}`").alias("value")).where("value IS NOT NULL").distinct()
-    first = F.hex(F.substring(F.col("value").cast("string").cast("binary"), 1, 2)) if isinstance(values.schema[0].dataType, T.StringType) else F.lit(0)
-    return ranked(values, [], [F.col("value")], first, "code").select("value", (F.col("code") - 1).cast("int").alias("code"))
+    return ranked_by_range(values, [], [F.col("value")], "code").select("value", (F.col("code") - 1).cast("int").alias("code"))
 
 
 def label_encode(df: DataFrame, columns: Sequence[str] | None = None) -> tuple[DataFrame, dict[str, DataFrame]]:
