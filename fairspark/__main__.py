@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from fairspark.functions.text import bold
 from fairspark.plans.assessment import CORRECTIONS, MULTICLASS, PUBLISHED, run
-from fairspark.sources.checks import check_dataset
+from fairspark.sources.checks import check_dataset, check_keys
 from fairspark.sources.config import dataset_config, plan, run_config
 from fairspark.sources.prepare import prepare
 from fairspark.sources.readers import LOADERS, load
@@ -54,6 +54,7 @@ def main(argv: list[str] | None = None) -> None:
     surrogates = settings.surrogates if settings else PUBLISHED.surrogates
     dataset = prepare(load(spark, args.dataset, args.path), args.dataset, protected)
     check_dataset(dataset)
+    check_keys(CORRECTIONS | MULTICLASS, names)
     shares = (own.train, own.validation, own.test) if own else (0.8, 0.1, 0.1)
     for seed in range(first, first + runs):
         name = f"{args.run}-{seed}" if args.run else None

@@ -237,11 +237,14 @@ def sink_backup(spark, d):
     return sinks.backup(table(spark, d, "nation"), _folder(spark, "backup"))
 
 
-@_register("sink_delete", "SELECT TRUE AS there, FALSE AS again")
+@_register("sink_delete", "SELECT TRUE AS there, FALSE AS again, r_regionkey, r_name FROM region WHERE r_regionkey >= 2")
 def sink_delete(spark, d):
-    path = _folder(spark, "gone")
-    sinks.append(table(spark, d, "region"), path)
-    return spark.createDataFrame([(sinks.delete(spark, path), sinks.delete(spark, path))], "there boolean, again boolean")
+    """A table is deleted and written anew, by other rows: those of before are gone."""
+    path, rows = _folder(spark, "gone"), table(spark, d, "region").select("r_regionkey", "r_name")
+    sinks.append(rows, path)
+    there, again = sinks.delete(spark, path), sinks.delete(spark, path)
+    sinks.append(rows.where("r_regionkey >= 2"), path)
+    return readers.parquet(spark, path).select(F.lit(there).alias("there"), F.lit(again).alias("again"), "r_regionkey", "r_name")
 
 
 @_register("sink_aggregated_csv", "SELECT event_type AS metric, printf('%.4f', round_even(avg(value / 500), 4)) AS fairness_x, printf('%.4f', round_even(avg(value), 4)) AS performance_x FROM events GROUP BY event_type")
@@ -278,9 +281,9 @@ def bag_append(spark, d):
 
 @_register("text_helpers", "SELECT n_nationkey, upper(n_name) AS name, chr(27) || '[1m' || n_name || chr(27) || '[0m' AS bold FROM nation")
 def text_helpers(spark, d):
-    """Messages are made in the driver, of small things."""
-    rows = [(r.n_nationkey, text.name_of(f"a/b/{r.n_name}.csv.gz"), text.bold(r.n_name)) for r in table(spark, d, "nation").collect()]
-    return spark.createDataFrame(rows, "n_nationkey int, name string, bold string")
+    """Names of files and emphasis, row by row."""
+    path = F.concat(F.lit("a/b/"), F.col("n_name"), F.lit(".csv.gz"))
+    return table(spark, d, "nation").select("n_nationkey", text.names_of(path).alias("name"), text.bolds(F.col("n_name")).alias("bold"))
 
 
 _INI = """[global]
