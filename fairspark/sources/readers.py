@@ -9,6 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from fairspark.operators.reduce import first_or_last
 
@@ -75,16 +76,42 @@ def seeds(spark: SparkSession, pattern: str, first: int, count: int, header: boo
     found = existing(spark, [pattern.format(seed=s) for s in range(first, first + count)])
     if not found:
         raise FileNotFoundError(pattern)
-    before, after = pattern.rsplit("/", 1)[-1].split("{seed}")
-    # File names come back as URIs: what isn't plain is encoded there.
-    return with_seed(csv(spark, found, schema, header), r"(\d+)" + re.escape(after).replace(r"\ ", "(?: |%20)") + "$" if not before else re.escape(before).replace(r"\ ", "(?: |%20)") + r"(\d+)")
+    return with_seed(csv(spark, found, schema, header), _seed_in(pattern))
 
 
-def seeds_ends(spark: SparkSession, pattern: str, first: int, count: int, head: int | None = None, tail: int | None = None, schema: str | T.StructType | None = None) -> DataFrame:
+def _seed_in(pattern: str) -> str:
+    """What finds the seed in a file's URI, where names that aren't plain are encoded."""
+    before, after = (re.escape(x).replace(r"\ ", "(?: |%20)") for x in pattern.rsplit("/", 1)[-1].split("{seed}"))
+    return before + r"(\d+)" if before else r"(\d+)" + after + "$"
+
+
+def numbered(files: DataFrame, by: Sequence[str] = (), ordinal: str = "ordinal") -> DataFrame:
+    """Adds the place (from 0) of each row in its file, or in all files of a value of ``by``, which follow one another by name.
+
+    files comes straight from a reader.  Files are read in splits, however large they are: a split's rows are counted, and a
+    row's place is that in its split after the rows of the splits before.
+    """
+    names = {"_split_file": "file_path", "_split_start": "file_block_start"}
+    rows = files.withColumns({k: F.col(f"_metadata.{v}") for k, v in names.items()} | {"_split_id": F.monotonically_increasing_id()})
+    within = Window.partitionBy(*(by or ["_split_file"])).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)  # a row a split
+    splits = rows.groupBy(*by, *names).agg(F.min("_split_id").alias("_first"), F.count(F.lit(1)).alias("_in")).withColumn("_before", F.coalesce(F.sum("_in").over(within), F.lit(0)))
+    splits = splits.select(*(F.col(k).alias(f"_of{k}") for k in names), "_first", "_before")
+    joined = rows.join(splits, (F.col("_split_file") == F.col("_of_split_file")) & (F.col("_split_start") == F.col("_of_split_start")))
+    return joined.withColumn(ordinal, F.col("_split_id") - F.col("_first") + F.col("_before")).drop(*names, "_split_id", *(f"_of{k}" for k in names), "_first", "_before")
+
+
+def seeds_ends(spark: SparkSession, pattern: str, first: int, count: int, head: int | None = None, tail: int | None = None, schema: str | T.StructType | None = None, multiline: bool = False) -> DataFrame:
     """``seeds`` with the place of each row in its file (``ordinal``), and of each file only the first and last rows, if asked for.
 
-    A file of a seed is small and is read whole by one task, so that rows are numbered as they stand.
+    With a schema all files are one read, in splits of any file (``multiline``: whole files, as values may hold line ends).
+    Without, each file's header says its columns, so that each is read by itself, and whole.
     """
+    if schema is not None:
+        found = existing(spark, [pattern.format(seed=s) for s in range(first, first + count)])
+        if not found:
+            raise FileNotFoundError(pattern)
+        rows = with_seed(spark.read.option("header", True).option("multiLine", multiline).schema(schema).csv(found), _seed_in(pattern))
+        return first_or_last(numbered(rows, ["seed"]), "seed", "ordinal", head, tail)
     parts = []
     for s in range(first, first + count):
         parts += [(s, p) for p in existing(spark, [pattern.format(seed=s)])]
@@ -92,8 +119,7 @@ def seeds_ends(spark: SparkSession, pattern: str, first: int, count: int, head:
         raise FileNotFoundError(pattern)
     out = None
     for s, p in parts:
-        own = spark.read.option("header", True).option("multiLine", True)
-        own = (own.schema(schema) if schema else own).csv(p).withColumn("ordinal", F.monotonically_increasing_id()).withColumn("seed", F.lit(s).cast("long"))
+        own = spark.read.option("header", True).option("multiLine", True).csv(p).withColumn("ordinal", F.monotonically_increasing_id()).withColumn("seed", F.lit(s).cast("long"))
         out = own if out is None else out.unionByName(own, allowMissingColumns=True)
     return first_or_last(out, "seed", "ordinal", head, tail)
 
