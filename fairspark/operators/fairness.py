@@ -56,16 +56,20 @@ def fairness(df: DataFrame, group: str, truth: str = "y", prediction: str = "p",
     """One row a group (``value``), each against the rest, with ``fairness_<metric>`` columns.
 
     With features (and an integer key that tells rows apart) there is ``fairness_consistency`` too: three nearest neighbours
-    by the features and by being in the group.
+    by the features and by being in the group, of the same values of ``within``.
     """
     counts = with_rest(contingency(df, *within, group, truth=truth, prediction=prediction), *within)
     out = counts.select(*within, F.col(group).alias("value"), *(METRICS[m]().alias(f"fairness_{m}") for m in metrics))
     if not features:
         return out
-    if within or key is None:
-        raise ValueError("consistency needs a key, and is of all rows")
-    near = consistency(df, key, group, features, prediction).select(F.col("value").alias("_value"), F.col("consistency").alias("fairness_consistency"))
-    return out.join(near, F.col("value").cast("string").eqNullSafe(F.col("_value")), "left").drop("_value")
+    if key is None:
+        raise ValueError("consistency needs a key")
+    near = consistency(df, key, group, features, prediction, within=within)
+    near = near.select(*(F.col(c).alias(f"_within{i}") for i, c in enumerate(within)), F.col("value").alias("_value"), F.col("consistency").alias("fairness_consistency"))
+    same = F.col("value").cast("string").eqNullSafe(F.col("_value"))
+    for i, c in enumerate(within):
+        same = same & F.col(c).eqNullSafe(F.col(f"_within{i}"))
+    return out.join(near, same, "left").drop("_value", *(f"_within{i}" for i in range(len(within))))
 
 
 def group_sse(df: DataFrame, group: str, truth: str = "y", prediction: str = "p", within: Sequence[str] = (), key: str | None = None, features: Sequence[str] = ()) -> DataFrame:

@@ -46,7 +46,7 @@ def _blocks(rows: int, width: int) -> Iterator[slice]:
 
 
 class Index:
-    """points(grp, x, key, p), x without nulls, by the cells of pivots."""
+    """points(scope, grp, x, key, p), x without nulls, by scope and the cells of pivots; scopes don't see one another."""
 
     def __init__(self, points: DataFrame, width: int, pivots: int | None = None, vectors: int | None = None) -> None:
         """width: features of x; vectors: how many x there are, where that is known."""
@@ -81,7 +81,7 @@ class Index:
         return points.mapInArrow(place, f"{schema}, cell int, far double")
 
     def visits(self, queries: DataFrame, k: int, slack: float = 0.0) -> DataFrame:
-        """(x, cell, bound) of queries(x), distinct: the cells that may hold points within the bound.
+        """(scope, x, cell, bound) of queries(scope, x), distinct: the cells that may hold points within the bound.
 
         bound: the squared distance of the k-th nearest point of the query's own cell, plus slack; infinite where there aren't k.
         """
@@ -100,14 +100,15 @@ class Index:
                 rows.append(row + part.start)
                 cells.append(cell)
                 bounds.append(bound[row])
-            return pa.table({"x": asked.column("x").take(pa.array(np.concatenate(rows))), "cell": pa.array(np.concatenate(cells), pa.int32()), "bound": np.concatenate(bounds)})
+            taken = asked.take(pa.array(np.concatenate(rows)))
+            return pa.table({"scope": taken.column("scope"), "x": taken.column("x"), "cell": pa.array(np.concatenate(cells), pa.int32()), "bound": np.concatenate(bounds)})
 
-        own = self.placed(queries.select("x")).select("x", "cell")
-        held = self.points.select("x", "cell")
-        return own.groupBy("cell").cogroup(held.groupBy("cell")).applyInArrow(lambda q, c: meet(q.select(["x"]), c.select(["x"])), "x array<double>, cell int, bound double")
+        own = self.placed(queries.select("scope", "x")).select("scope", "x", "cell")
+        held = self.points.select("scope", "x", "cell")
+        return own.groupBy("scope", "cell").cogroup(held.groupBy("scope", "cell")).applyInArrow(lambda q, c: meet(q.select(["scope", "x"]), c.select(["x"])), "scope string, x array<double>, cell int, bound double")
 
     def nearest(self, queries: DataFrame, k: int, slack: float = 0.0) -> DataFrame:
-        """(x, grp, key, p, d2): of each grp the k nearest points to each of queries(x), ties to the smaller key.
+        """(scope, x, grp, key, p, d2): of each grp the k nearest points of its scope to each of queries(scope, x), ties to the smaller key.
 
         Only points within the k-th distance over all groups, plus slack, come: more than k of them, where groups share it.
         """
@@ -131,23 +132,26 @@ class Index:
                 chosen.append(at[keep])
                 far.append(found[keep])
             taken = held.take(pa.array(np.concatenate(chosen)))
-            return pa.table({"x": asked.column("x").take(pa.array(np.concatenate(rows))), "grp": taken.column("grp"), "key": taken.column("key"), "p": taken.column("p"), "d2": np.concatenate(far)})
+            own = asked.take(pa.array(np.concatenate(rows)))
+            return pa.table({"scope": own.column("scope"), "x": own.column("x"), "grp": taken.column("grp"), "key": taken.column("key"), "p": taken.column("p"), "d2": np.concatenate(far)})
 
         asked = self.visits(queries, k, slack)
-        met = asked.groupBy("cell").cogroup(self.points.groupBy("cell")).applyInArrow(lambda q, c: best(q.select(["x", "bound"]), c.select(["grp", "x", "key", "p"])), "x array<double>, grp string, key long, p double, d2 double")
-        place = F.row_number().over(Window.partitionBy("x", "grp").orderBy("d2", "key"))
+        by = ["scope", "cell"]
+        met = asked.groupBy(*by).cogroup(self.points.groupBy(*by)).applyInArrow(lambda q, c: best(q.select(["scope", "x", "bound"]), c.select(["grp", "x", "key", "p"])), "scope string, x array<double>, grp string, key long, p double, d2 double")
+        place = F.row_number().over(Window.partitionBy("scope", "x", "grp").orderBy("d2", "key"))
         return met.withColumn("place", place).where(F.col("place") <= k).drop("place")
 
 
 def _firsts(k: int):
-    """Of each batch's rows the k of smallest key of each grp and x, so that few are left to sort where vectors repeat."""
+    """Of each batch's rows the k of smallest key of each scope, grp and x, so that few are left to sort where vectors repeat."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             x, key = _matrix(batch.column("x")), batch.column("key").to_numpy()
-            code = batch.column("grp").dictionary_encode().indices.fill_null(-1).to_numpy()
+            grp, scope = (batch.column(c).dictionary_encode().indices.fill_null(-1).to_numpy().astype(np.int64) for c in ("grp", "scope"))
+            code = scope * len(key) + grp
             order = np.lexsort((key, *x.T, code))
             first = np.ones(len(order), bool)
             first[1:] = (code[order[1:]] != code[order[:-1]]) | (x[order[1:]] != x[order[:-1]]).any(1)
@@ -163,44 +167,50 @@ def _mean_gap(p, others, take: int):
     return F.abs(p - (p + F.aggregate(nearest, F.lit(0.0), lambda s, e: s + e["p"])) / (1 + F.size(nearest)))
 
 
-def consistency(df: DataFrame, key: str, protected: str, features: Sequence[str], prediction: str = "p", k: int = 3) -> DataFrame:
-    """(value, consistency) of each group of ``protected``, as text, a null one too: neighbours by the features and by being in the group or not.
+def consistency(df: DataFrame, key: str, protected: str, features: Sequence[str], prediction: str = "p", k: int = 3, within: Sequence[str] = ()) -> DataFrame:
+    """(within..., value, consistency) of each group of ``protected``, as text, a null one too: neighbours by the features and by being in the group or not.
 
     Distance is Euclidean, a row is its own first neighbour, and ties go to the smaller key.  Keys differ; rows without a key or
-    a prediction, or with a null or NaN feature, take no part.
+    a prediction, or with a null or NaN feature, take no part.  within: columns whose values are looked at each by themselves.
     """
     own = F.col(protected).cast("string")
+    scope = F.to_json(F.struct(*within)) if within else F.lit("")
     x = F.array(*(F.col(c).cast("double") + F.lit(0.0) for c in features))
-    rows = df.select(own.alias("grp"), x.alias("x"), F.col(key).cast("long").alias("key"), F.col(prediction).cast("double").alias("p"))
+    rows = df.select(scope.alias("scope"), own.alias("grp"), x.alias("x"), F.col(key).cast("long").alias("key"), F.col(prediction).cast("double").alias("p"))
     rows = rows.where("key IS NOT NULL AND p IS NOT NULL").where(F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v)))
-    place = F.row_number().over(Window.partitionBy("grp", "x").orderBy("key"))
-    least = rows.mapInArrow(_firsts(k), "grp string, x array<double>, key long, p double")
+    place = F.row_number().over(Window.partitionBy("scope", "grp", "x").orderBy("key"))
+    least = rows.mapInArrow(_firsts(k), "scope string, grp string, x array<double>, key long, p double")
     first = checkpointed(least.withColumn("place", place).where(F.col("place") <= k).drop("place"))
-    sizes = first.groupBy("grp", "x").agg(F.count(F.lit(1)).alias("n"))
+    sizes = first.groupBy("scope", "grp", "x").agg(F.count(F.lit(1)).alias("n"))
     known = sizes.agg(F.collect_set("grp").alias("groups"), F.bool_or(F.col("grp").isNull()).alias("none"), F.min("n").alias("fewest"), F.count_distinct("x").alias("vectors")).first()
     groups = [*([None] if known["none"] else []), *sorted(known["groups"])]  # values of a protected attribute
 
     at = F.struct("grp", "key", "p", "d2", "same")
     found = first.withColumn("d2", F.lit(0.0)).withColumn("same", F.lit(True))
     if groups and known["fewest"] < k:
-        few = sizes.where(F.col("n") < k).select("x").distinct()
+        few = sizes.where(F.col("n") < k).select("scope", "x").distinct()
         # A neighbour by features and group is within the k-th distance by features alone, and the 1 that the group may add.
         others = Index(first, len(features), vectors=known["vectors"]).nearest(few, k, slack=1.0)
-        others = others.withColumn("same", F.lit(False)).select(*found.columns)
-        found = found.unionByName(others)
+        found = found.unionByName(others.withColumn("same", F.lit(False)).select(*found.columns))
     # A vector's own rows come from both, and count once.
-    found = found.groupBy("x", "grp", "key").agg(F.first("p").alias("p"), F.min("d2").alias("d2"), F.max("same").alias("same"))
-    entries = found.groupBy("x").agg(F.collect_list(at).alias("entries"))  # 2 k a group
-    counted = rows.groupBy("grp", "x", "p").agg(F.count(F.lit(1)).alias("n"))
+    found = found.groupBy("scope", "x", "grp", "key").agg(F.first("p").alias("p"), F.min("d2").alias("d2"), F.max("same").alias("same"))
+    entries = found.groupBy("scope", "x").agg(F.collect_list(at).alias("entries"))  # 2 k a group
+    counted = rows.groupBy("scope", "grp", "x", "p").agg(F.count(F.lit(1)).alias("n"))
     each = F.explode(F.array(*(F.lit(g).cast("string") for g in groups))) if groups else F.lit(None).cast("string")
-    cells = first.select("grp", "x").distinct().join(entries, "x").withColumn("value", each)
+    cells = first.select("scope", "grp", "x").distinct().join(entries, ["scope", "x"]).withColumn("value", each)
     inside = F.col("grp").eqNullSafe(F.col("value"))
     augmented = F.transform("entries", lambda e: F.struct((e["d2"] + F.when(e["grp"].eqNullSafe(F.col("value")) != inside, 1.0).otherwise(0.0)).alias("d2"), e["key"].alias("key"), e["p"].alias("p"), (e["same"] & e["grp"].eqNullSafe(F.col("grp"))).alias("own")))
     cells = checkpointed(cells.withColumn("near", F.slice(F.sort_array(augmented), 1, k)).drop("entries"))  # as near is read again and again
     gap = lambda p, skip: _mean_gap(p, F.filter("near", lambda e: e["key"] != skip) if skip is not None else F.col("near"), k - 1)
     mend = F.aggregate(F.filter("near", lambda e: e["own"]), F.lit(0.0), lambda s, e: s + gap(e["p"], e["key"]) - gap(e["p"], None))
-    cells = cells.select("grp", "x", "value", "near", mend.alias("mend"))
-    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("grp", "x")]
-    sums = counted.alias("a").join(cells.alias("b"), same).groupBy("b.value").agg(F.sum(F.col("n") * gap(F.col("p"), None)).alias("gaps"), F.sum("n").alias("n"))
-    mends = cells.groupBy(F.col("value").alias("mended")).agg(F.sum("mend").alias("mend"))
-    return sums.join(mends, F.col("value").eqNullSafe(F.col("mended"))).select("value", (1 - (F.col("gaps") + F.col("mend")) / F.col("n")).alias("consistency"))
+    cells = cells.select("scope", "grp", "x", "value", "near", mend.alias("mend"))
+    equal = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    joined = counted.alias("a").join(cells.alias("b"), [equal(f"a.{c}", f"b.{c}") for c in ("scope", "grp", "x")])
+    sums = joined.groupBy("b.scope", "b.value").agg(F.sum(F.col("n") * gap(F.col("p"), None)).alias("gaps"), F.sum("n").alias("n"))
+    mends = cells.groupBy(F.col("scope").alias("mended"), F.col("value").alias("mended_value")).agg(F.sum("mend").alias("mend"), F.bool_or(inside).alias("there"))
+    out = sums.join(mends, equal("scope", "mended") & equal("value", "mended_value")).where("there")  # a group that a scope has
+    out = out.select("scope", "value", (1 - (F.col("gaps") + F.col("mend")) / F.col("n")).alias("consistency"))
+    if not within:
+        return out.drop("scope")
+    names = df.select(*within, scope.alias("_scope")).distinct()
+    return out.join(names, F.col("scope") == F.col("_scope")).select(*within, "value", "consistency")

@@ -7,7 +7,7 @@ import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
-from fairspark.operators import feature_search, models, neighbours, trees
+from fairspark.operators import fairness, feature_search, models, neighbours, trees
 from fairspark.plans.queries import QUERIES
 
 
@@ -42,6 +42,18 @@ def test_consistency_equals_brute_force_with_a_null_group(spark, kind, monkeypat
     assert got == pytest.approx(brute_consistency(rows))
 
 
+def test_consistency_within_keys_is_that_of_each_by_itself(spark):
+    rng = np.random.default_rng(11)
+    rows = [(["a", "b"][int(rng.integers(2))] if i % 3 else "only", (float(rng.normal()),), i, float(rng.integers(2))) for i in range(120)]
+    seeds = [i % 3 for i in range(120)]
+    df = spark.createDataFrame([(s, r[0], *r[1], r[2], float(r[3]), int(i % 2)) for i, (s, r) in enumerate(zip(seeds, rows, strict=True))], "seed int, g string, f double, key long, p double, y int").withColumn("p", F.col("p").cast("int"))
+    got = {(r["seed"], r["value"]): r["fairness_consistency"] for r in fairness.fairness(df, "g", within=["seed"], key="key", features=["f"]).collect()}
+    want = {(s, g): v for s in range(3) for g, v in brute_consistency([r for r, t in zip(rows, seeds, strict=True) if t == s]).items()}
+    assert got == pytest.approx(want)
+    sums = fairness.group_sse(df, "g", within=["seed"], key="key", features=["f"])
+    assert {r["seed"] for r in sums.collect()} == {0, 1, 2} and "sse_consistency" in sums.columns
+
+
 def test_consistency_leaves_out_rows_without_a_feature(spark):
     rows = [("a", (float(i),), i, float(i % 2)) for i in range(9)]
     df, names = scored(spark, [*rows, ("a", (float("nan"),), 90, 1.0), ("a", (None,), 91, 1.0), ("b", (1.0,), 92, None)], 1)
@@ -54,9 +66,9 @@ def test_index_finds_the_nearest_whatever_its_pivots(spark, pivots, monkeypatch)
     monkeypatch.setattr(neighbours, "HELD", 500)
     rng = np.random.default_rng(pivots)
     x = np.concatenate([rng.normal(size=(90, 2)), rng.normal(size=(60, 2)) * 0.01 + 4, rng.integers(0, 3, (40, 2))])
-    points = spark.createDataFrame([("ab"[i % 2], v.tolist(), i, 0.0) for i, v in enumerate(x)], "grp string, x array<double>, key long, p double")
+    points = spark.createDataFrame([("ab"[i % 2], v.tolist(), i, 0.0) for i, v in enumerate(x)], "grp string, x array<double>, key long, p double").withColumn("scope", F.lit("s"))
     got = {}
-    for r in neighbours.Index(points, 2, pivots).nearest(points.select("x").distinct(), 4, slack=0.5).collect():
+    for r in neighbours.Index(points, 2, pivots).nearest(points.select("scope", "x").distinct(), 4, slack=0.5).collect():
         got.setdefault((tuple(r["x"]), r["grp"]), []).append((r["d2"], r["key"]))
     for q in {tuple(v) for v in x}:
         d2 = ((x - np.array(q)) ** 2).sum(1)
@@ -70,9 +82,9 @@ def test_index_finds_the_nearest_whatever_its_pivots(spark, pivots, monkeypatch)
 
 def test_index_compares_few_pairs(spark):
     t = spark.read.parquet(SF.replace("sf0.01", "sf0.1") + "/orders.parquet").where("o_orderkey % 20 = 0")
-    points = t.select(F.lit("g").alias("grp"), F.array("o_totalprice", F.pmod("o_custkey", F.lit(997)).cast("double") * 100).alias("x"), F.col("o_orderkey").alias("key"), F.lit(0.0).alias("p"))
+    points = t.select(F.lit("s").alias("scope"), F.lit("g").alias("grp"), F.array("o_totalprice", F.pmod("o_custkey", F.lit(997)).cast("double") * 100).alias("x"), F.col("o_orderkey").alias("key"), F.lit(0.0).alias("p"))
     index = neighbours.Index(points, 2)
-    vectors = points.select("x").distinct()
+    vectors = points.select("scope", "x").distinct()
     n = vectors.count()
     sizes = index.points.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
     compared = index.visits(vectors, 3, 1.0).groupBy("cell").agg(F.count(F.lit(1)).alias("asked")).join(sizes, "cell").agg(F.sum(F.col("asked") * F.col("n"))).first()[0]
